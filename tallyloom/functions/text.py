@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,12 +24,12 @@ UNCERTAINTY_MARKERS = (
 )
 # Words that speak for and against the clause.  Every longer "no" phrase
 # contains NO, so NO and ABSENT decide the same as the full list.
-YES_PATTERN = "YES|CONTAINS|PRESENT|FOUND"
-NO_PATTERN = "NO|ABSENT"
+YES_WORDS = ("YES", "CONTAINS", "PRESENT", "FOUND")
+NO_WORDS = ("NO", "ABSENT")
 
-# Any run of characters that are not blanks, with Unicode blanks and the four
-# information separators U+001C to U+001F counted as blanks.
-WORD_PATTERN = r"(?U)[^\s\x1c-\x1f]+"
+# Blanks are the Unicode blanks and the four information separators U+001C to U+001F.
+BLANK = r"\s\x1c-\x1f"
+WORD_PATTERN = rf"(?U)[^{BLANK}]+"
 
 MAX_RESPONSE_WORDS = 750
 MIN_RESPONSE_WORDS = 10
@@ -38,26 +40,39 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD_PATTERN))
 
 
+def has_words(text: Column, n: int) -> Column:
+    """Whether a text has at least ``n`` words; reads no further than the n-th."""
+    return text.rlike(rf"(?U)^[{BLANK}]*+(?:[^{BLANK}]++[{BLANK}]++){{{n - 1}}}[^{BLANK}]")
+
+
 def words(text: Column) -> Column:
     """The blank-separated words of a text, without empty edge items."""
     return F.regexp_extract_all(text, F.lit(f"({WORD_PATTERN})"))
 
 
-def flag_reason(response: Column, n_words: Column, max_words: int = MAX_RESPONSE_WORDS) -> Column:
-    """Why a response is discarded, or NULL when it is kept; the first rule that fits wins."""
-    upper, lower = F.upper(response), F.lower(response)
+def flag_reason(response: Column, upper: Column, lower: Column, max_words: int = MAX_RESPONSE_WORDS) -> Column:
+    """Why a response is discarded, or NULL when it is kept; the first rule that fits wins.
+
+    ``upper`` and ``lower`` are the response in upper and lower case, made once by the caller.  A
+    text of n words has at least 2n - 1 characters, so only longer texts are counted.
+    """
+    n_words = word_count(response)
     rule = F.when(
-        n_words > max_words, F.concat(F.lit("too_long ("), n_words.cast("string"), F.lit(" words)"))
-    ).when(~(F.contains(upper, F.lit("YES")) | F.contains(upper, F.lit("NO"))), F.lit("missing_answer"))
+        (F.char_length(response) > 2 * max_words) & (n_words > max_words),
+        F.concat(F.lit("too_long ("), n_words.cast("string"), F.lit(" words)")),
+    ).when(~contains_any(upper, ("YES", "NO")), F.lit("missing_answer"))
     for marker in UNCERTAINTY_MARKERS:
         rule = rule.when(F.contains(lower, F.lit(marker)), F.lit(f"uncertainty ({marker})"))
-    return rule.when(n_words < MIN_RESPONSE_WORDS, F.lit("too_short"))
+    return rule.when(~has_words(response, MIN_RESPONSE_WORDS), F.lit("too_short"))
+
+
+def contains_any(text: Column, parts: Sequence[str]) -> Column:
+    return reduce(or_, [F.contains(text, F.lit(part)) for part in parts])
 
 
-def parse_answer(response: Column) -> Column:
-    """YES, NO, or NULL when the response says both or neither."""
-    upper = F.upper(response)
-    yes, no = upper.rlike(YES_PATTERN), upper.rlike(NO_PATTERN)
+def parse_answer(upper: Column) -> Column:
+    """YES, NO, or NULL when the upper-case response says both or neither."""
+    yes, no = contains_any(upper, YES_WORDS), contains_any(upper, NO_WORDS)
     return F.when(yes & ~no, F.lit("YES")).when(no & ~yes, F.lit("NO"))
 
 

@@ -55,10 +55,13 @@ def quantile_chunk(df: DataFrame, value: str, parts: int = 64, fine: int = 64) -
 
 @dataclass(frozen=True)
 class Scan:
-    """One running value: ``kind`` is sum, min or max; exclusive leaves the current row out."""
+    """One running value: ``kind`` is sum, min or max; exclusive leaves the current row out.
+
+    ``value`` is a column name or an expression.
+    """
 
     kind: str
-    value: Column
+    value: Column | str
     inclusive: bool = True
 
 
@@ -77,34 +80,47 @@ def prefix_scan(
     order: str,
     scans: Mapping[str, Scan],
     chunk: Column | None = None,
+    costly: bool = False,
 ) -> DataFrame:
     """Running sums, minima and maxima along ``order`` in each group.
 
     ``order`` must be unique in its group and group columns must not be null.  ``chunk`` must never
     fall as ``order`` rises; by default it is the integer chunk of ``order``.
+
+    The rows are needed twice, for the chunk totals and for the windows.  By default the totals are
+    added up where the rows lie, from a second, narrow read of the input.  With ``costly`` the rows
+    are made and moved once and both uses share that one exchange: right when making a row is dear,
+    and when ``df`` has no more columns than the group, the order and the scanned columns.
     """
-    group = list(group)
     keys = [*group, "__chunk"]
+    types = dict(df.dtypes)
+    given = {
+        key: F.coalesce(key, F.raise_error(F.lit(f"null group column {key}")).cast(types[key])) for key in group
+    }
     cut = integer_chunk(order) if chunk is None else chunk
-    for key in group:
-        cut = F.when(F.col(key).isNull(), F.raise_error(F.lit(f"null group column {key}"))).otherwise(cut)
-    rows = df.withColumns({"__chunk": cut, **{f"__in_{n}": s.value for n, s in scans.items()}})
+    rows = df.withColumns(given).withColumn("__chunk", F.coalesce(cut.cast("long"), F.lit(0).cast("long")))
+    inputs = {n: s.value if isinstance(s.value, str) else f"__in_{n}" for n, s in scans.items()}
+    rows = rows.withColumns({inputs[n]: s.value for n, s in scans.items() if not isinstance(s.value, str)})
+    if costly:
+        rows = rows.repartition(*keys)
 
     totals = rows.groupBy(*keys).agg(
-        *[_FOLD[s.kind](f"__in_{n}").alias(f"__total_{n}") for n, s in scans.items()]
+        *[_FOLD[s.kind](inputs[n]).alias(f"__total_{n}") for n, s in scans.items()],
+        F.min(order).alias("__start"),  # both uses read the same columns, so they share the exchange
     )
-    before = W.partitionBy(*group).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*group).orderBy("__start").rowsBetween(W.unboundedPreceding, -1)
     carried = totals.select(
         *keys,
         *[_FOLD[s.kind](f"__total_{n}").over(before).alias(f"__carry_{n}") for n, s in scans.items()],
     )
     inside = W.partitionBy(*keys).orderBy(order)
-    out = rows.join(carried, on=keys, how="left")
+    out = rows.join(carried, on=keys)
+    values = {}
     for name, scan in scans.items():
         frame = inside.rowsBetween(W.unboundedPreceding, 0 if scan.inclusive else -1)
-        local = _FOLD[scan.kind](f"__in_{name}").over(frame)
-        out = out.withColumn(name, _merge(scan.kind, F.col(f"__carry_{name}"), local))
-    return out.select(*df.columns, *scans)
+        local = _FOLD[scan.kind](inputs[name]).over(frame)
+        values[name] = _merge(scan.kind, F.col(f"__carry_{name}"), local)
+    return out.withColumns(values).select(*df.columns, *scans)
 
 
 def dense_position(

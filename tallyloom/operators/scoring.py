@@ -86,7 +86,7 @@ def answer_until_decided(
         log = spark.read.parquet(path).drop("start")
         closed = (
             decide(log, k, max_votes, failed="failed")
-            .where(F.col("end_seq").isNotNull())
+            .where("closed")
             .select(*TASK)
             .unionByName(log.where("failed").select(*TASK))
         )

@@ -5,8 +5,9 @@ vote.  The vote stops as soon as one answer leads the other by k (with two answe
 the rule "one answer alone has k votes"), or after ``max_votes`` votes.  Then the answer with more
 votes wins; at a tie the one seen first; without any vote the answer is NO.
 
-Only the first ``max_votes`` voting responses of a task can matter, so the log is cut to those
-per task before it is moved; a task with very many responses costs no more than any other.
+The log is read once.  Each response becomes a few small numbers, and their running sums along the
+log give the state of the vote after every response; the end of a vote is then the first row where
+a stop rule holds.  The sums are made in chunks, so a task may have any number of responses.
 """
 
 from __future__ import annotations
@@ -14,15 +15,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as tx
-from tallyloom.operators.joins import salted_join
+from tallyloom.operators.ordered import Scan, prefix_scan
 
 TASK = ("contract_id", "clause_category")
 MAX_VOTES = 20
 
+COUNTS = ("yes_votes", "no_votes", "responses", "red_flagged", "discarded")
+# seq of the row that stands for the earlier part of a log; real responses count from 0
+CARRIED_SEQ = -1
+
 
 def read_responses(
     log: DataFrame, max_words: int = tx.MAX_RESPONSE_WORDS, failed: str | None = None
@@ -31,32 +35,62 @@ def read_responses(
 
     ``failed`` names a flag of calls that gave no response; such a row has neither.
     """
-    marked = log.withColumn("__words", tx.word_count(F.col("response")))
-    reason = tx.flag_reason(F.col("response"), F.col("__words"), max_words)
-    answer = F.when(reason.isNull(), tx.parse_answer(F.col("response")))
+    text = F.col("response")
+    marked = log.withColumns({"__upper": F.upper(text), "__lower": F.lower(text)})
+    reason = tx.flag_reason(text, F.col("__upper"), F.col("__lower"), max_words)
     if failed:
         reason = F.when(~F.col(failed), reason)
+    answer = F.when(F.col("reason").isNull(), tx.parse_answer(F.col("__upper")))
+    if failed:
         answer = F.when(~F.col(failed), answer)
-    return marked.withColumns({"reason": reason, "answer": answer}).drop("__words")
+    return marked.withColumn("reason", reason).withColumn("answer", answer).drop("__upper", "__lower")
 
 
-def _valid_votes(read: DataFrame, task: Sequence[str], max_votes: int, failed: str | None) -> DataFrame:
-    """The first ``max_votes`` votes of each task with the lead after each of them."""
-    along = W.partitionBy(*task).orderBy("seq")
-    votes = (
-        read.where(F.col("answer").isNotNull())
-        .select(*task, "seq", "answer")
-        .withColumn("nth", F.row_number().over(along))
-        .where(F.col("nth") <= max_votes)
+def _ballots(
+    log: DataFrame, task: Sequence[str], failed: str | None, max_words: int, carried: DataFrame | None
+) -> DataFrame:
+    """Each response as numbers: its votes, flags and failures."""
+    read = read_responses(log, max_words, failed)
+    ballots = read.select(
+        *task,
+        F.col("seq").cast("long").alias("seq"),
+        *[
+            F.coalesce(mark.cast("long"), F.lit(0)).alias(name)
+            for name, mark in {
+                "yes": F.col("answer") == "YES",
+                "no": F.col("answer") == "NO",
+                "drawn": F.col("seq").isNotNull(),
+                "flag": F.col("reason").isNotNull(),
+                "none": F.col("answer").isNull(),
+                "fail": F.col(failed) if failed else F.col("seq").isNull(),
+            }.items()
+        ],
     )
-    if failed:
-        # an open call ends the vote: only what came before the first failure counts
-        first_failure = read.where(F.col(failed)).groupBy(*task).agg(F.min("seq").alias("__fail"))
-        votes = votes.join(first_failure, on=list(task), how="left").where(
-            F.col("__fail").isNull() | (F.col("seq") < F.col("__fail"))
-        )
-    sign = F.when(F.col("answer") == "YES", 1).otherwise(-1)
-    return votes.withColumn("lead", F.sum(sign).over(along.rowsBetween(W.unboundedPreceding, 0)))
+    if carried is None:
+        return ballots
+    earlier = carried.select(
+        *task,
+        F.lit(CARRIED_SEQ).cast("long").alias("seq"),
+        F.col("yes_votes").alias("yes"),
+        F.col("no_votes").alias("no"),
+        F.col("responses").alias("drawn"),
+        F.col("red_flagged").alias("flag"),
+        F.col("discarded").alias("none"),
+        F.lit(0).cast("long").alias("fail"),
+    )
+    return ballots.unionByName(earlier)
+
+
+def _running(ballots: DataFrame, task: Sequence[str], k: int, max_votes: int) -> DataFrame:
+    """The state of the vote after each ballot, and whether the vote ends there."""
+    sums = ("yes", "no", "drawn", "flag", "none", "fail")
+    state = prefix_scan(
+        ballots, task, "seq", {f"n_{c}": Scan("sum", c) for c in sums}, costly=True
+    ).where(F.col("n_fail") == 0)  # a failed call ends the vote of its task
+    votes = F.col("n_yes") + F.col("n_no")
+    is_vote = (F.col("seq") != CARRIED_SEQ) & (F.col("yes") + F.col("no") > 0)
+    ahead = is_vote & (votes <= max_votes) & (F.abs(F.col("n_yes") - F.col("n_no")) >= k)
+    return state.withColumns({"ahead": ahead, "closes": ahead | (is_vote & (votes == max_votes))})
 
 
 def decide(
@@ -68,53 +102,42 @@ def decide(
     max_words: int = tx.MAX_RESPONSE_WORDS,
     carried: DataFrame | None = None,
 ) -> DataFrame:
-    """One decision per task that has at least one vote in the log.
+    """One decision per task that has a response.
 
-    Columns: the task, ``answer``, ``yes_votes``, ``no_votes``, ``total_votes``, ``converged``,
-    ``first_answer``, ``first_seq`` (the first vote) and ``end_seq`` (the last response drawn; NULL
-    when the whole log, or all up to a failure, was drawn).  ``carried`` has the yes_votes, no_votes
-    and first_answer of earlier parts of the log, for tasks that were still open after them.
+    ``responses`` counts all responses drawn, ``red_flagged`` the flagged ones among them and
+    ``discarded`` the flagged and the unreadable ones.  ``closed`` tells whether a stop rule ended
+    the vote.  ``carried`` has the counts of earlier parts of the log (``COUNTS`` and
+    ``first_answer``), for tasks that were still open after them.
     """
     task = list(task)
-    votes = _valid_votes(read_responses(log, max_words, failed), task, max_votes, failed)
-    if carried is None:
-        base = {"__yes": F.lit(0), "__no": F.lit(0), "__before": F.lit(None).cast("string")}
-        votes = votes.withColumns(base)
-    else:
-        earlier = carried.select(
-            *task,
-            F.col("yes_votes").alias("__yes"),
-            F.col("no_votes").alias("__no"),
-            F.col("first_answer").alias("__before"),
-        )
-        votes = votes.join(earlier, task, "left").fillna(0, ["__yes", "__no"])
-    votes = votes.withColumns(
-        {"nth": F.col("nth") + F.col("__yes") + F.col("__no"), "lead": F.col("lead") + F.col("__yes") - F.col("__no")}
-    ).where(F.col("nth") <= max_votes)
-    whole = W.partitionBy(*task).orderBy("seq").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    stop = F.min(F.when(F.abs("lead") >= k, F.col("nth"))).over(whole)
-    counted = votes.withColumn("stop", stop).where(F.col("stop").isNull() | (F.col("nth") <= F.col("stop")))
-    tally = counted.groupBy(*task).agg(
-        (F.count_if(F.col("answer") == "YES") + F.max("__yes")).alias("yes_votes"),
-        (F.count_if(F.col("answer") == "NO") + F.max("__no")).alias("no_votes"),
-        F.max("nth").cast("long").alias("total_votes"),
-        F.coalesce(F.max("__before"), F.min_by("answer", "nth")).alias("first_answer"),
-        F.min("seq").alias("first_seq"),
-        F.max("seq").alias("__last"),
-        F.max("stop").isNotNull().alias("converged"),
+    state = _running(_ballots(log, task, failed, max_words, carried), task, k, max_votes)
+    after = F.struct("seq", "n_yes", "n_no", "n_drawn", "n_flag", "n_none", "ahead")
+    real_vote = (F.col("seq") != CARRIED_SEQ) & (F.col("yes") + F.col("no") > 0)
+    ends = state.groupBy(*task).agg(
+        F.min(F.when(F.col("closes"), after)).alias("__end"),
+        F.max(after).alias("__last"),
+        F.min(F.when(real_vote, F.struct("seq", F.when(F.col("yes") > 0, "YES").otherwise("NO").alias("a")))).alias(
+            "__first"
+        ),
     )
-    closed = F.col("converged") | (F.col("total_votes") >= max_votes)
-    return tally.select(
+    at = F.coalesce("__end", "__last")
+    first = F.col("__first.a")
+    if carried is not None:
+        earlier = carried.select(*task, F.col("first_answer").alias("__before"))
+        ends = ends.join(earlier, task, "left")
+        first = F.coalesce(F.col("__before"), first)
+    return ends.select(
         *task,
-        leading_answer().alias("answer"),
-        "yes_votes",
-        "no_votes",
-        "total_votes",
-        "converged",
-        "first_answer",
-        "first_seq",
-        F.when(closed, F.col("__last")).alias("end_seq"),
-    )
+        at["n_yes"].alias("yes_votes"),
+        at["n_no"].alias("no_votes"),
+        (at["n_yes"] + at["n_no"]).alias("total_votes"),
+        F.coalesce(F.col("__end.ahead"), F.lit(False)).alias("converged"),
+        F.col("__end").isNotNull().alias("closed"),
+        at["n_drawn"].alias("responses"),
+        at["n_flag"].alias("red_flagged"),
+        at["n_none"].alias("discarded"),
+        first.alias("first_answer"),
+    ).withColumn("answer", leading_answer())
 
 
 def leading_answer() -> Column:
@@ -126,48 +149,23 @@ def leading_answer() -> Column:
     )
 
 
-def drawn_responses(
+def vote(
+    tasks: DataFrame,
     log: DataFrame,
-    decisions: DataFrame,
+    k: int = 3,
+    max_votes: int = MAX_VOTES,
     task: Sequence[str] = TASK,
     failed: str | None = None,
     max_words: int = tx.MAX_RESPONSE_WORDS,
 ) -> DataFrame:
-    """The responses each vote has drawn, up to its end, with reason, answer and vote marks.
-
-    Keeps ``__salt`` for a following aggregate by task (see ``salted_join``).
-    """
-    task = list(task)
-    ends = decisions.select(*task, "end_seq", "first_seq")
-    if failed:
-        failure = log.where(F.col(failed)).groupBy(*task).agg(F.min("seq").alias("__fail"))
-        ends = ends.join(failure, on=task, how="full").withColumn(
-            "end_seq", F.coalesce("end_seq", F.col("__fail") - 1)
-        )
-    read = read_responses(log, max_words, failed).select(*task, "seq", "reason", "answer")
-    joined = salted_join(read, ends, task, F.col("seq"), how="left")
-    return joined.where(F.col("end_seq").isNull() | (F.col("seq") <= F.col("end_seq"))).select(
-        *task, "__salt", "seq", "reason", "answer", "first_seq"
-    )
-
-
-def draw_counts(drawn: DataFrame, task: Sequence[str] = TASK) -> DataFrame:
-    """Responses drawn per task, flagged ones, and discarded ones (flagged or unreadable)."""
-    counts = ("responses", "red_flagged", "discarded")
-    return (
-        drawn.groupBy(*task, "__salt")
-        .agg(
-            F.count("*").alias("responses"),
-            F.count_if(F.col("reason").isNotNull()).alias("red_flagged"),
-            F.count_if(F.col("answer").isNull()).alias("discarded"),
-        )
-        .groupBy(*task)
-        .agg(*[F.sum(c).alias(c) for c in counts])
+    """Decide every task, also those without any response (NO, not converged)."""
+    decisions = decide(log, k, max_votes, task, failed, max_words).drop("first_answer", "closed")
+    return tasks.join(decisions, on=list(task), how="left").fillna(
+        {"answer": "NO", "converged": False, "total_votes": 0, **{c: 0 for c in COUNTS}}
     )
 
 
-def vote(
-    tasks: DataFrame,
+def drawn_responses(
     log: DataFrame,
     k: int = 3,
     max_votes: int = MAX_VOTES,
@@ -175,23 +173,17 @@ def vote(
     failed: str | None = None,
     max_words: int = tx.MAX_RESPONSE_WORDS,
 ) -> DataFrame:
-    """Decide every task, also those without any response (NO, not converged).
+    """The responses a vote draws, up to its end, with the number of votes before each."""
+    state = _running(_ballots(log, list(task), failed, max_words, None), task, k, max_votes)
+    closed = {"__closed": Scan("max", F.col("closes").cast("int"), inclusive=False)}
+    kept = prefix_scan(state, task, "seq", closed).where(F.coalesce("__closed", F.lit(0)) == 0)
+    before = F.col("n_yes") + F.col("n_no") - F.col("yes") - F.col("no")
+    return kept.select(*task, "seq", before.alias("votes_before"))
 
-    ``responses`` counts all responses drawn, ``red_flagged`` the flagged ones among them and
-    ``discarded`` the flagged and the unreadable ones.
-    """
-    task = list(task)
-    decisions = decide(log, k, max_votes, task, failed, max_words)
-    drawn = draw_counts(drawn_responses(log, decisions, task, failed, max_words), task)
-    zero = ("yes_votes", "no_votes", "total_votes", "responses", "red_flagged", "discarded")
-    return (
-        tasks.join(decisions, on=task, how="left")
-        .join(drawn, on=task, how="left")
-        .fillna(0, subset=list(zero))
-        .withColumn("answer", F.coalesce("answer", F.lit("NO")))
-        .withColumn("converged", F.coalesce("converged", F.lit(False)))
-        .drop("end_seq", "first_seq", "first_answer")
-    )
+
+def sampling_temperature(drawn: DataFrame, first: float = 0.0, later: float = 0.1) -> DataFrame:
+    """The temperature each drawn response was asked with: ``first`` up to the first valid vote."""
+    return drawn.withColumn("temperature", F.when(F.col("votes_before") == 0, F.lit(first)).otherwise(F.lit(later)))
 
 
 def vote_counts(decided: DataFrame) -> Column:
@@ -201,13 +193,3 @@ def vote_counts(decided: DataFrame) -> Column:
         F.struct(F.lit("NO").alias("key"), F.col("no_votes").alias("value")),
     )
     return F.map_from_entries(F.filter(entries, lambda e: e["value"] > 0))
-
-
-def sampling_temperature(drawn: DataFrame, first: float = 0.0, later: float = 0.1) -> DataFrame:
-    """The temperature each drawn response was asked with: ``first`` up to the first valid vote."""
-    return drawn.withColumn(
-        "temperature",
-        F.when(F.col("first_seq").isNull() | (F.col("seq") <= F.col("first_seq")), F.lit(first)).otherwise(
-            F.lit(later)
-        ),
-    )

@@ -132,8 +132,7 @@ def vote_counts(t):
     vote_ctes(3, 20),
 )
 def sampling_temperatures(t):
-    drawn = voting.drawn_responses(t.vote_log, voting.decide(t.vote_log))
-    return voting.sampling_temperature(drawn).select("seq", "temperature")
+    return voting.sampling_temperature(voting.drawn_responses(t.vote_log)).select("seq", "temperature")
 
 
 @query(

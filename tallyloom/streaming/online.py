@@ -12,21 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyloom.operators.voting import (
-    MAX_VOTES,
-    TASK,
-    decide,
-    draw_counts,
-    drawn_responses,
-    leading_answer,
-)
+from tallyloom.operators.voting import MAX_VOTES, TASK, decide, leading_answer
 
 SNAPSHOT_EVERY = 20
 STATE = (
     "contract_id long, clause_category string, yes_votes long, no_votes long, first_answer string,"
     " converged boolean, closed boolean, responses long, red_flagged long, discarded long"
 )
-COUNTS = ("yes_votes", "no_votes", "responses", "red_flagged", "discarded")
 
 
 def _state_before(spark: SparkSession, path: str, batch: int) -> DataFrame:
@@ -49,28 +41,10 @@ def _state_before(spark: SparkSession, path: str, batch: int) -> DataFrame:
 def _advance(batch: DataFrame, before: DataFrame, k: int, max_votes: int) -> DataFrame:
     """The new state of the tasks in a batch that were still open."""
     task = list(TASK)
-    touched = batch.select(*task).distinct()
-    state = before.join(touched, task, "left_semi")
+    state = before.join(batch.select(*task).distinct(), task, "left_semi")
     rows = batch.join(state.where("closed").select(*task), task, "left_anti")
-    open_state = state.where("NOT closed")
-    decisions = decide(rows, k, max_votes, carried=open_state)
-    drawn = draw_counts(drawn_responses(rows, decisions))
-    old = open_state.select(*task, *[F.col(c).alias(f"old_{c}") for c in (*COUNTS, "first_answer")])
-    new = decisions.select(
-        *task, "yes_votes", "no_votes", "first_answer", "converged", F.col("end_seq").isNotNull().alias("closed")
-    )
-    merged = drawn.join(new, task, "left").join(old, task, "left")
-    updates = {}
-    for c in ("yes_votes", "no_votes", "first_answer"):
-        updates[c] = F.coalesce(c, f"old_{c}")
-    for c in ("responses", "red_flagged", "discarded"):
-        updates[c] = F.col(c) + F.coalesce(f"old_{c}", F.lit(0))
-    return (
-        merged.withColumns(updates)
-        .fillna(0, list(COUNTS))
-        .fillna(False, ["converged", "closed"])
-        .select(*[f.split(" ")[0] for f in STATE.split(", ")])
-    )
+    decided = decide(rows, k, max_votes, carried=state.where("NOT closed"))
+    return decided.select(*[f.split(" ")[0] for f in STATE.split(", ")])
 
 
 def vote_online(
