@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from tallyloom.plans import voting  # noqa: F401
+from tallyloom.plans import landing, voting  # noqa: F401
 from tallyloom.plans.catalog import ORACLES, QUERIES  # noqa: F401

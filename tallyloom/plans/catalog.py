@@ -65,7 +65,11 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = (), ctes:
     def register(build: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = lambda spark, sf_dir: build(Tables(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return build(Tables(spark, sf_dir))
+
+        run.__name__, run.__doc__, run.__module__ = name, build.__doc__, build.__module__
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = with_views(sql, *views, ctes=ctes)
         return build
