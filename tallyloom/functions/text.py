@@ -127,7 +127,7 @@ def fill_template(template: str, values: Mapping[str, Column]) -> Column:
 def show_value(value: Column, data_type: T.DataType, cut: int | None = None) -> Column:
     """Floats with four decimals; anything else as text, cut to ``cut`` characters if given."""
     if isinstance(data_type, (T.DoubleType, T.FloatType)):
-        return F.format_string("%.4f", value.cast("double"))
+        return F.when(value.isNotNull(), F.format_string("%.4f", value.cast("double")))
     text = value.cast("string")
     return F.substring(text, 1, cut) if cut else text
 
@@ -159,3 +159,16 @@ def duration_seconds(text: Column) -> Column:
     return F.when(amount != "", amount.cast("long") * factor).otherwise(
         F.raise_error(F.concat(F.lit("unknown duration: "), text))
     )
+
+
+# What an image name and a tag may look like.
+IMAGE_PART = r"^[a-z0-9][a-z0-9._/-]{0,127}\z"
+TAG = r"^[A-Za-z0-9_][A-Za-z0-9_.-]{0,127}\z"
+
+
+def valid_image_part(name: Column) -> Column:
+    return name.rlike(IMAGE_PART)
+
+
+def valid_tag(tag: Column) -> Column:
+    return tag.rlike(TAG)

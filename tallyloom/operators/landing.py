@@ -109,3 +109,16 @@ def collection_stats(contracts: DataFrame) -> DataFrame:
         F.coalesce(F.sum("text_length"), F.lit(0)).alias("total_text_length"),
         (F.coalesce(F.sum("text_length"), F.lit(0)) / F.greatest(total, F.lit(1))).alias("avg_text_length"),
     )
+
+
+def dataset_cards(df: DataFrame, name: str) -> DataFrame:
+    """A short card per data set: its size and fields."""
+    fields = "\n".join(f"- `{c}`" for c in df.columns)
+    content = F.concat(
+        F.lit("# Dataset: "),
+        F.col(name),
+        F.lit("\n\n**Samples:** "),
+        F.count("*").cast("string"),
+        F.lit(f"\n\n## Fields\n\n{fields}"),
+    )
+    return df.groupBy(name).agg(content.alias("content"))

@@ -100,7 +100,7 @@ def compare_runs(runs: DataFrame, summaries: DataFrame) -> DataFrame:
         F.date_format("created_at", "yyyy-MM-dd HH:mm").alias("created"),
         shown("epochs"),
         shown("learning_rate"),
-        F.coalesce(F.format_string("%.4f", F.col("best_loss")), F.lit("N/A")).alias("best_loss"),
+        F.coalesce(tx.show_value(F.col("best_loss"), T.DoubleType()), F.lit("N/A")).alias("best_loss"),
     )
 
 

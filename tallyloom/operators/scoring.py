@@ -56,7 +56,7 @@ def answer_tasks(
             yield batch.assign(response=texts, failed=failed)
 
     asked = tasks.select(
-        *TASK, F.explode(F.sequence(F.lit(first_round), F.lit(first_round + rounds - 1))).cast("long").alias("seq")
+        *TASK, F.explode(F.array(*[F.lit(n).cast("long") for n in range(first_round, first_round + rounds)])).alias("seq")
     )
     schema = "contract_id long, clause_category string, seq long, response string, failed boolean"
     return asked.withColumn("contract_id", F.col("contract_id").cast("long")).mapInPandas(run, schema)
