@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 20
 
 
-def integer_chunk(order: str, width: int = CHUNK) -> Column:
-    """Chunk of a unique integer key: no chunk of a group can hold more than ``width`` rows."""
-    return F.floor(F.col(order) / F.lit(width))
+def integer_chunk(order: str) -> Column:
+    """Chunk of a unique integer key: no chunk of a group can hold more than ``CHUNK`` rows."""
+    return F.floor(F.col(order) / F.lit(CHUNK))
 
 
 def quantile_chunk(df: DataFrame, value: str, parts: int = 64, fine: int = 64) -> Column:

@@ -73,24 +73,29 @@ def answer_until_decided(
 ) -> DataFrame:
     """Ask in blocks of rounds and go on only with the tasks that are not decided yet.
 
-    The log of each block is written below ``path``, so no call is made twice, and a task stops
-    costing calls at most one block after its decision.
+    The answers and the open tasks of each block are written below ``path``, so no call is made
+    twice, and a task stops costing calls at most one block after its decision.
     """
     spark = tasks.sparkSession
-    open_tasks = tasks.select(*TASK).distinct()
+    task_schema = "contract_id long, clause_category string"
+    log_schema = f"{task_schema}, seq long, response string, failed boolean"
+
+    def open_at(start: int) -> DataFrame:
+        return spark.read.schema(task_schema).parquet(f"{path}/open/start={start}")
+
+    first = tasks.select(F.col("contract_id").cast("long").alias("contract_id"), "clause_category").distinct()
+    first.write.mode("overwrite").parquet(f"{path}/open/start=1")
     for start in range(1, max_rounds + 1, block):
+        open_tasks = open_at(start)
+        if open_tasks.isEmpty():
+            break
         rounds = min(block, max_rounds - start + 1)
         answer_tasks(open_tasks, load_responder, rounds, start).write.mode("overwrite").parquet(
-            f"{path}/start={start}"
+            f"{path}/log/start={start}"
         )
-        log = spark.read.parquet(path).drop("start")
-        closed = (
-            decide(log, k, max_votes, failed="failed")
-            .where("closed")
-            .select(*TASK)
-            .unionByName(log.where("failed").select(*TASK))
-        )
-        open_tasks = tasks.select(*TASK).distinct().join(closed.distinct(), list(TASK), "left_anti")
-        if open_tasks.isEmpty():
-            break
-    return spark.read.parquet(path).drop("start")
+        log = spark.read.schema(log_schema).parquet(f"{path}/log").join(open_tasks, list(TASK), "left_semi")
+        over = decide(log, k, max_votes, failed="failed").where("closed").select(*TASK)
+        broken = log.where("failed").select(*TASK)
+        still_open = open_tasks.join(over.unionByName(broken).distinct(), list(TASK), "left_anti")
+        still_open.write.mode("overwrite").parquet(f"{path}/open/start={start + block}")
+    return spark.read.schema(log_schema).parquet(f"{path}/log")

@@ -538,7 +538,7 @@ def _load_responder():
 def answered_tasks(t):
     """Tasks answered in blocks until decided, then voted on."""
     tasks = reviewed_tasks(t)
-    log = scoring.answer_until_decided(tasks, _load_responder, shared_dir(t.spark, "answers"))
+    log = scoring.answer_until_decided(tasks, _load_responder, shared_dir(t.spark, "answers"), block=10, max_rounds=20)
     decided = voting.vote(tasks, log, failed="failed")
     return decided.select("contract_id", "clause_category", "answer", "total_votes", "converged")
 

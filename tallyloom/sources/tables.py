@@ -197,6 +197,14 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text)
 
 
+def vote_log_of(events: DataFrame) -> DataFrame:
+    """The vote log of an event table or stream."""
+    spark = events.sparkSession
+    name = "__event_stream" if events.isStreaming else "__events"
+    events.createOrReplaceTempView(name)
+    return spark.sql(VIEW_SQL["vote_log"][1].replace("{events}", name))
+
+
 def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metric series of the runs: the n-th event of a kind by a user is step n."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")

@@ -1,7 +1,7 @@
 """Incremental jobs: handle what is new since the last check, each item once.
 
 The checkpoint of a query holds what was seen.  A one-shot check uses ``availableNow``; a daemon
-gives an interval; a fresh checkpoint folder starts over.
+gives an interval; fresh checkpoint and output folders start over.
 """
 
 from __future__ import annotations
@@ -31,7 +31,11 @@ def _trigger(interval: str | None) -> dict:
 
 
 def collect_new(stream: DataFrame, out: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    """Append the rows of a stream to a parquet table, exactly once."""
+    """Append the rows of a stream to a parquet table, exactly once.
+
+    The table keeps its own list of finished batches, so starting over needs a fresh checkpoint and
+    a fresh table.
+    """
     return (
         stream.writeStream.format("parquet")
         .outputMode("append")
