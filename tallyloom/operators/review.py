@@ -147,3 +147,9 @@ def scaling_laws(
         .withColumn("k_min", k_min.cast("long"))
         .withColumn("relative_cost", cost)
     )
+
+
+def best_threshold(laws: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The smallest k of the grid whose expected full success reaches the target."""
+    enough = laws.where(F.col("p_full") >= F.col("target"))
+    return enough.groupBy(*keys).agg(F.min("k").alias("k"))
