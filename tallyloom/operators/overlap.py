@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +14,7 @@ from tallyloom.functions import text as tx
 from tallyloom.functions.stemming import stem_word
 
 EPSILON = 0.1
+ROWS_AT_ONCE = 64
 
 
 def align(predictions: DataFrame, references: DataFrame) -> DataFrame:
@@ -24,10 +26,18 @@ def bleu_tokens(text: Column) -> Column:
     return tx.words(F.lower(text))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stem_words(tokens: pd.Series) -> pd.Series:
-    """Stem the words of more than three letters."""
-    return tokens.map(lambda ws: [stem_word(w) if len(w) > 3 else w for w in ws])
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def stem_words(tokens: pa.Array) -> pa.Array:
+    """Stem the words of more than three letters; each distinct word of a batch once."""
+    words = tokens.flatten().dictionary_encode()
+    stems = [stem_word(w) if len(w) > 3 else w for w in words.dictionary.to_pylist()]
+    values = pa.array(stems, pa.string()).take(words.indices)
+    return pa.ListArray.from_arrays(_offsets(tokens), values)
+
+
+def _offsets(lists: pa.Array) -> pa.Array:
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
 
 
 def rouge_tokens(text: Column, stemmed: bool = True) -> Column:
@@ -48,29 +58,61 @@ def lcs_length(a: list, b: list) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf(T.IntegerType())
-def common_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([lcs_length(list(x), list(y)) for x, y in zip(a, b)], dtype="int32")
+def _word_numbers(*sides: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of several list columns as numbers, with the row and the end of their list."""
+    words = pa.concat_arrays([side.flatten().cast(pa.string()) for side in sides]).dictionary_encode()
+    sizes = np.concatenate([np.diff(_offsets(side).to_numpy()) for side in sides])
+    rows = np.tile(np.arange(len(sides[0])), len(sides))
+    return words.indices.to_numpy().astype("int64"), np.repeat(rows, sizes), np.repeat(np.cumsum(sizes), sizes)
+
 
+@F.arrow_udf(T.IntegerType())
+def common_subsequence(a: pa.Array, b: pa.Array) -> pa.Array:
+    numbers, _, _ = _word_numbers(a, b)
+    left, right = _offsets(a).to_numpy(), _offsets(b).to_numpy() + len(a.flatten())
+    pairs = zip(left, left[1:], right, right[1:])
+    found = [lcs_length(numbers[i:j].tolist(), numbers[k:m].tolist()) for i, j, k, m in pairs]
+    return pa.array(found, pa.int32())
 
-def shared_ngrams(a: list, b: list, n: int) -> int:
-    """Number of n-grams two texts have in common, each counted as often as in the text with fewer."""
-    left = Counter(zip(*(a[i:] for i in range(n))))
-    right = Counter(zip(*(b[i:] for i in range(n))))
-    return sum((left & right).values())
+
+def count_shared_ngrams(p: pa.Array, r: pa.Array, max_n: int) -> np.ndarray:
+    """Per row and n, the n-grams both lists have, each as often as in the list with fewer.
+
+    All rows of a batch are counted together: an n-gram is the number of its first n - 1 words
+    together with its last word, and numbers start anew in each row.
+    """
+    word, row, end = _word_numbers(p, r)
+    is_left = np.arange(len(word)) < len(p.flatten())
+    n_words = int(word.max(initial=0)) + 1
+    at, gram = np.arange(len(word)), row
+    out = np.zeros((len(p), max_n), dtype="int32")
+    for n in range(1, max_n + 1):
+        fits = at + n <= end[at]
+        at, gram = at[fits], gram[fits]
+        gram, _ = pd.factorize(gram * n_words + word[at + n - 1])
+        size = int(gram.max(initial=-1)) + 1
+        left = np.bincount(gram[is_left[at]], minlength=size)
+        right = np.bincount(gram[~is_left[at]], minlength=size)
+        home = np.zeros(size, dtype="int64")
+        home[gram] = row[at]
+        out[:, n - 1] = np.bincount(home, weights=np.minimum(left, right), minlength=len(p))
+    return out
 
 
 def clipped_overlaps(p: Column, r: Column, max_n: int) -> Column:
     """The overlap for n = 1 to ``max_n`` as an array.
 
-    A pair is handled where it lies, without any shuffle.  (Unfolding all n-grams into rows and
-    grouping them by pair gives the same numbers but took 40 times as long.)
+    A pair is handled where it lies, without any shuffle.  Unfolding all n-grams into rows and
+    grouping them by pair gives the same numbers but took far longer and moved every n-gram.
     """
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def overlaps(a: pd.Series, b: pd.Series) -> pd.Series:
-        pairs = zip(a.map(list), b.map(list))
-        return pd.Series([[shared_ngrams(x, y, n) for n in range(1, max_n + 1)] for x, y in pairs], dtype=object)
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def overlaps(a: pa.Array, b: pa.Array) -> pa.Array:
+        # few rows at a time, so that the number tables stay in the processor's cache
+        parts = [(a[i : i + ROWS_AT_ONCE], b[i : i + ROWS_AT_ONCE]) for i in range(0, len(a), ROWS_AT_ONCE)]
+        counts = np.concatenate([np.zeros((0, max_n), "int32"), *[count_shared_ngrams(*ab, max_n) for ab in parts]])
+        offsets = np.arange(len(a) + 1, dtype="int32") * max_n
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(counts.ravel()))
 
     return overlaps(p, r)
 
