@@ -29,6 +29,11 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(file_name(path), r"^(.+)\.[^.]+$", "$1")
 
 
+def base(path: Column) -> Column:
+    """The whole path without its last extension: the key a file shares with its sidecars."""
+    return F.regexp_replace(path, r"([^/])\.[^./]+$", "$1")
+
+
 def parent_dir(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 
@@ -57,14 +62,12 @@ def media_kind(
     )
 
 
-def path_prefixes(path: Column) -> Column:
-    """The path itself and all its ancestors as (depth, dir) structs, root left out."""
-    parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    depths = F.when(F.size(parts) > 0, F.sequence(F.lit(1), F.size(parts)))
-    return F.transform(
-        depths,
-        lambda d: F.struct(
-            d.alias("depth"),
-            F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), d), "/")).alias("dir"),
-        ),
-    )
+def clean_path(path: Column) -> Column:
+    """An absolute path with single slashes and none at its end."""
+    return F.concat(F.lit("/"), F.trim(F.regexp_replace(path, "/+", "/"), F.lit("/")))
+
+
+def path_depth(clean: Column) -> Column:
+    """The number of names in a clean path; 0 for the root."""
+    slashes = F.char_length(clean) - F.char_length(F.replace(clean, F.lit("/"), F.lit("")))
+    return F.when(clean == "/", F.lit(0)).otherwise(slashes)

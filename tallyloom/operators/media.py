@@ -23,6 +23,7 @@ def path_parts(files: DataFrame) -> DataFrame:
         {
             "filename": px.file_name(path),
             "stem": px.stem(path),
+            "base": px.base(path),
             "suffix": px.suffix(path),
             "source_dir": px.parent_name(path),
         }
@@ -51,20 +52,23 @@ def readable(json: Column) -> Column:
     )
 
 
-def visual_samples(files: DataFrame, captions: DataFrame, sidecars: DataFrame) -> DataFrame:
-    """Images of a data set with their caption and metadata, where there are any."""
+def visual_samples(files: DataFrame, captions: DataFrame, sidecars: DataFrame, on: str = "stem") -> DataFrame:
+    """Images of a data set with their caption and metadata, where there are any.
+
+    ``on`` is ``stem``, or ``base`` when sidecars of several folders must not be mixed.
+    """
     images = path_parts(select_media(files, px.DATASET_EXTENSIONS, hidden=False))
-    found = captions.select("stem", F.trim("caption").alias("caption"))
+    found = captions.select(on, F.trim("caption").alias("caption"))
     meta = sidecars.where(readable(F.col("json"))).select(
-        "stem", *[c.alias(n) for n, c in sidecar_fields(F.col("json")).items()]
+        on, *[c.alias(n) for n, c in sidecar_fields(F.col("json")).items()]
     )
-    return images.join(found, "stem", "left").join(meta, "stem", "left")
+    return images.join(found, on, "left").join(meta, on, "left")
 
 
-def training_pairs(files: DataFrame, captions: DataFrame) -> DataFrame:
+def training_pairs(files: DataFrame, captions: DataFrame, on: str = "stem") -> DataFrame:
     """Images that have a caption."""
     images = path_parts(select_media(files, px.PAIR_EXTENSIONS))
-    return images.join(captions.select("stem", F.trim("caption").alias("caption")), "stem")
+    return images.join(captions.select(on, F.trim("caption").alias("caption")), on)
 
 
 def media_counts(files: DataFrame, source: Column) -> DataFrame:

@@ -34,7 +34,7 @@ def object_folder(spark: SparkSession, path: str) -> DataFrame:
 
 
 def whole_texts(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    """One row per file with its path, stem and whole text."""
+    """One row per file with its path, stem, path without extension, and whole text."""
     files = (
         spark.read.option("wholetext", "true")
         .option("pathGlobFilter", glob)
@@ -42,17 +42,18 @@ def whole_texts(spark: SparkSession, path: str, glob: str) -> DataFrame:
         .text(path)
         .select(F.regexp_replace("_metadata.file_path", "^file:/*", "/").alias("path"), "value")
     )
-    return files.select("path", px.stem(F.col("path")).alias("stem"), F.col("value").alias("text"))
+    path = F.col("path")
+    return files.select("path", px.stem(path).alias("stem"), px.base(path).alias("base"), F.col("value").alias("text"))
 
 
 def caption_sidecars(spark: SparkSession, path: str) -> DataFrame:
-    return whole_texts(spark, path, "*.txt").select("path", "stem", F.trim("text").alias("caption"))
+    return whole_texts(spark, path, "*.txt").select("path", "stem", "base", F.trim("text").alias("caption"))
 
 
 def json_sidecars(spark: SparkSession, path: str) -> DataFrame:
     """JSON files as text with the parsed value; unreadable ones have NULL."""
     return whole_texts(spark, path, "*.json").select(
-        "path", "stem", F.col("text").alias("json"), F.try_parse_json("text").alias("value")
+        "path", "stem", "base", F.col("text").alias("json"), F.try_parse_json("text").alias("value")
     )
 
 

@@ -42,6 +42,20 @@ def test_sidecars(spark, folder):
     assert (fields["title"], fields["author"], fields["score"]) == ("T", "", 7)
 
 
+def test_sidecars_of_two_folders(spark, tmp_path):
+    for name in ("one", "two"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.png").write_bytes(b"1")
+        (tmp_path / name / "x.txt").write_text(f"caption {name}")
+    (tmp_path / "two" / "x.json").write_text('{"title": "T"}')
+    files = readers.media_folder(spark, str(tmp_path), px.IMAGE_EXTENSIONS)
+    captions = readers.caption_sidecars(spark, str(tmp_path))
+    samples = media.visual_samples(files, captions, readers.json_sidecars(spark, str(tmp_path)), on="base")
+    got = {r["source_dir"]: (r["caption"], r["title"]) for r in samples.collect()}
+    assert got == {"one": ("caption one", None), "two": ("caption two", "T")}
+    assert media.training_pairs(files, captions, on="base").count() == 2
+
+
 def test_object_folder(spark, folder):
     keys = {r["key"]: r["size"] for r in readers.object_folder(spark, folder).collect()}
     assert keys["sub/d.webp"] == 3
@@ -67,8 +81,9 @@ def test_manifest_files_and_nearest(spark, tmp_path):
     (tmp_path / "broken.json").write_text("{")
     found = readers.manifests(spark, str(tmp_path)).withColumn("seq", F.lit(1))
     assert found.count() == 2
-    nullid = spark.createDataFrame([(None, "/d/x/null", 1)], "id string, output_dir string, seq int")
-    homes = found.select("id", "output_dir", "seq").unionByName(nullid)
+    schema = "id string, name string, output_dir string, seq int"
+    nullid = spark.createDataFrame([(None, None, "/d/x/null", 1)], schema)
+    homes = found.select("id", "name", "output_dir", "seq").unionByName(nullid)
     ann = spark.createDataFrame(
         [("a", "/d/x/y/z"), ("b", "/d/w"), ("c", "/other"), ("d", "/d/x"), ("e", "/d/x/null/deep"), ("f", "/")],
         "id string, input_dir string",
@@ -163,6 +178,8 @@ def test_urls_and_durations(spark):
 def test_paths(spark):
     df = spark.createDataFrame([("/a/b/.x",), ("/a/b/c.tar.gz",), ("/a/noext",), ("/a/.h.jpg",)], "path string")
     p = F.col("path")
+    bases = [r[0] for r in df.select(px.base(p)).collect()]
+    assert bases == ["/a/b/.x", "/a/b/c.tar", "/a/noext", "/a/.h"]
     got = [tuple(r) for r in df.select(px.stem(p), px.suffix(p), px.parent_name(p), px.is_hidden(p)).collect()]
     assert got == [(".x", "", "b", True), ("c.tar", ".gz", "b", False), ("noext", "", "a", False), (".h", ".jpg", "a", True)]
 
