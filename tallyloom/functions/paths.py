@@ -64,7 +64,9 @@ def media_kind(
 
 def clean_path(path: Column) -> Column:
     """An absolute path with single slashes and none at its end."""
-    return F.concat(F.lit("/"), F.trim(F.regexp_replace(path, "/+", "/"), F.lit("/")))
+    is_clean = F.startswith(path, F.lit("/")) & ~F.contains(path, F.lit("//")) & ~F.endswith(path, F.lit("/"))
+    cleaned = F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(path, "/+", "/"), "^/|/$", ""))
+    return F.when(is_clean, path).otherwise(cleaned)
 
 
 def path_depth(clean: Column) -> Column:

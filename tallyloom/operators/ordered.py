@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Rows per chunk for integer order keys that are unique inside their group.
-CHUNK = 1 << 20
+CHUNK = 1 << 22
 
 
 def integer_chunk(order: str) -> Column:

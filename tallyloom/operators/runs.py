@@ -230,3 +230,12 @@ def against_baseline(metrics: DataFrame, baseline: DataFrame, keys: Sequence[str
         (F.col("mean") + half).alias("high"),
         (100 * (F.col("mean") - F.col("baseline")) / F.nullif(F.abs("baseline"), F.lit(0.0))).alias("improvement"),
     )
+
+
+def numeric_entries(df: DataFrame, key: str, json: str) -> DataFrame:
+    """The entries of a JSON object that are numbers; others cannot be tracked as metrics."""
+    entries = F.from_json(F.when(F.startswith(F.ltrim(json), F.lit("{")), F.col(json)), "map<string,variant>")
+    readable = df.where(F.try_parse_json(json).isNotNull())
+    rows = readable.select(key, F.explode(entries).alias("key", "__v"))
+    number = F.schema_of_variant("__v").rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)")
+    return rows.where(number).select(key, "key", F.try_variant_get("__v", "$", "double").alias("value"))

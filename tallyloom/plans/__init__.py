@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from tallyloom.plans import landing, lineage, runs, scores, streams, voting  # noqa: F401
+from tallyloom.plans import landing, lineage, notes, runs, scores, streams, voting  # noqa: F401
 from tallyloom.plans.catalog import ORACLES, QUERIES  # noqa: F401
