@@ -30,14 +30,14 @@ def _ratio(part: Column, whole: Column) -> Column:
 
 def class_scores(pairs: DataFrame) -> DataFrame:
     """Precision, recall, F1 and support of each label that occurs on either side."""
-    n, hit = F.col("n"), F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0)
+    n, none = F.col("n"), F.lit(0).cast("long")
+    hit = F.when(F.col("truth") == F.col("predicted"), n).otherwise(none)
+
+    def side(label: str, tp: Column, support: Column, said: Column) -> Column:
+        return F.struct(F.col(label).alias("label"), tp.alias("tp"), support.alias("support"), said.alias("said"))
+
     sides = pair_counts(pairs).select(
-        F.inline(
-            F.array(
-                F.struct(F.col("truth").alias("label"), hit.alias("tp"), n.alias("support"), F.lit(0).cast("long").alias("said")),
-                F.struct(F.col("predicted").alias("label"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("support"), n.alias("said")),
-            )
-        )
+        F.inline(F.array(side("truth", hit, n, none), side("predicted", none, none, n)))
     )
     sums = sides.groupBy("label").agg(*[F.sum(c).alias(c) for c in ("tp", "support", "said")])
     return sums.withColumns(

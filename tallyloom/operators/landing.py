@@ -14,16 +14,22 @@ RESERVED = ("id", "text", "text_length", "timestamp")
 
 
 def land_text(df: DataFrame, order: str, text: str = "text", limit: int = 0) -> DataFrame:
-    """Number records from 0 along ``order``, keep the first ``limit`` numbers, drop missing texts.
+    """Number records from 0 along the unique key ``order``, keep the first ``limit`` numbers, drop
+    missing texts.
 
-    A record without text still uses up its number.  ``limit`` <= 0 keeps all.
+    A record without text still uses up its number.  ``limit`` <= 0 keeps all.  Only the keys are
+    numbered; the texts move once, spread evenly by key, and not at all for a small ``limit``.
     """
-    numbered = dense_position(df, [], order, "__n").withColumn("id", F.col("__n") - 1)
+    numbers = dense_position(df.select(order), [], order, "__n").select(order, (F.col("__n") - 1).alias("__id"))
     if limit > 0:
-        numbered = numbered.where(F.col("id") < limit)
+        numbers = numbers.where(F.col("__id") < limit)
     rest = [c for c in df.columns if c not in (text, "id")]
-    return numbered.where(F.col(text).isNotNull()).select(
-        "id", F.col(text).alias("text"), F.char_length(text).alias("text_length"), *rest
+    return (
+        df.where(F.col(text).isNotNull())
+        .join(numbers, order)
+        .select(
+            F.col("__id").alias("id"), F.col(text).alias("text"), F.char_length(text).alias("text_length"), *rest
+        )
     )
 
 
