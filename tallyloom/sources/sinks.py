@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,9 +44,11 @@ def captions(results: DataFrame, path: str, form: str = "jsonl") -> str:
 
 def notes(rows: DataFrame, path: str) -> str:
     """(filename, content) rows, added to those already there; existing names are not replaced."""
-    spark = rows.sparkSession
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
-        rows = rows.join(spark.read.parquet(path).select("filename"), "filename", "left_anti")
+    try:
+        existing = rows.sparkSession.read.schema("filename string, content string").parquet(path)
+        rows = rows.join(existing.select("filename"), "filename", "left_anti")
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
     rows.write.mode("append").parquet(path)
     return path

@@ -56,3 +56,27 @@ def test_bad_rows_go_to_the_rejects(spark):
     watch.run_once(query)
     assert spark.read.parquet(f"{out}/kept").count() == 15
     assert spark.read.parquet(f"{out}/rejected").count() == 5
+
+
+def test_daemon_and_baseline(spark):
+    path, out, checkpoint = (shared_dir(spark, n) for n in ("in", "out", "check"))
+    spark.range(10).write.parquet(path)
+    fresh = watch.after_baseline(watch.new_files(spark, path, "id long"), spark.range(5), "id")
+    query = watch.collect_new(fresh, out, checkpoint, interval="1 second")
+    try:
+        query.processAllAvailable()
+        spark.range(10, 12).write.mode("append").parquet(path)
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == [5, 6, 7, 8, 9, 10, 11]
+
+
+def test_repeats_are_dropped(spark):
+    path = shared_dir(spark, "in")
+    rows = spark.range(30).selectExpr("id % 7 AS k", "timestamp_seconds(1700000000 + id) AS ts")
+    rows.coalesce(1).write.parquet(path)
+    stream = watch.first_of_key(watch.new_files(spark, path, "k long, ts timestamp"), ["k"], "ts", "1 hour")
+    out = shared_dir(spark, "out")
+    watch.run_once(watch.collect_new(stream, out, shared_dir(spark, "check")))
+    assert sorted(r["k"] for r in spark.read.parquet(out).collect()) == list(range(7))
