@@ -26,7 +26,6 @@ def bleu_tokens(text: Column) -> Column:
     return tx.words(F.lower(text))
 
 
-@F.arrow_udf(T.ArrayType(T.StringType()))
 def stem_words(tokens: pa.Array) -> pa.Array:
     """Stem the words of more than three letters; each distinct word of a batch once."""
     words = tokens.flatten().dictionary_encode()
@@ -40,13 +39,21 @@ def _offsets(lists: pa.Array) -> pa.Array:
     return pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
 
 
-def rouge_tokens(text: Column, stemmed: bool = True) -> Column:
-    tokens = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"))
-    return stem_words(tokens) if stemmed else tokens
+def rouge_tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"))
 
 
 def lcs_length(a: list, b: list) -> int:
-    """Length of the longest common subsequence, one bit per item of ``a``."""
+    """Length of the longest common subsequence, one bit per item of ``a``.
+
+    A common start and a common end belong to it in any case and are counted first.
+    """
+    start, end, short = 0, 0, min(len(a), len(b))
+    while start < short and a[start] == b[start]:
+        start += 1
+    while end < short - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
     places: dict = {}
     for i, item in enumerate(a):
         places[item] = places.get(item, 0) | (1 << i)
@@ -55,7 +62,7 @@ def lcs_length(a: list, b: list) -> int:
     for item in b:
         hit = row & places.get(item, 0)
         row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+    return start + end + len(a) - row.bit_count()
 
 
 def _word_numbers(*sides: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,13 +73,12 @@ def _word_numbers(*sides: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return words.indices.to_numpy().astype("int64"), np.repeat(rows, sizes), np.repeat(np.cumsum(sizes), sizes)
 
 
-@F.arrow_udf(T.IntegerType())
-def common_subsequence(a: pa.Array, b: pa.Array) -> pa.Array:
+def common_subsequences(a: pa.Array, b: pa.Array) -> np.ndarray:
     numbers, _, _ = _word_numbers(a, b)
     left, right = _offsets(a).to_numpy(), _offsets(b).to_numpy() + len(a.flatten())
     pairs = zip(left, left[1:], right, right[1:])
     found = [lcs_length(numbers[i:j].tolist(), numbers[k:m].tolist()) for i, j, k, m in pairs]
-    return pa.array(found, pa.int32())
+    return np.array(found, dtype="int32").reshape(-1, 1)
 
 
 def count_shared_ngrams(p: pa.Array, r: pa.Array, max_n: int) -> np.ndarray:
@@ -99,19 +105,29 @@ def count_shared_ngrams(p: pa.Array, r: pa.Array, max_n: int) -> np.ndarray:
     return out
 
 
-def clipped_overlaps(p: Column, r: Column, max_n: int) -> Column:
-    """The overlap for n = 1 to ``max_n`` as an array.
+def clipped_overlaps(
+    p: Column, r: Column, max_n: int, stemmed: bool = False, longest: bool = False
+) -> Column:
+    """The overlap for n = 1 to ``max_n`` as an array, then the common subsequence if asked for.
 
-    A pair is handled where it lies, without any shuffle.  Unfolding all n-grams into rows and
-    grouping them by pair gives the same numbers but took far longer and moved every n-gram.
+    A pair is handled where it lies, without any shuffle, and its words go to Python once.
+    Unfolding all n-grams into rows and grouping them by pair gives the same numbers but took far
+    longer and moved every n-gram.
     """
+    width = max_n + longest
+
+    def count(a: pa.Array, b: pa.Array) -> np.ndarray:
+        if stemmed:
+            a, b = stem_words(a), stem_words(b)
+        grams = count_shared_ngrams(a, b, max_n)
+        return np.hstack([grams, common_subsequences(a, b)]) if longest else grams
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def overlaps(a: pa.Array, b: pa.Array) -> pa.Array:
         # few rows at a time, so that the number tables stay in the processor's cache
         parts = [(a[i : i + ROWS_AT_ONCE], b[i : i + ROWS_AT_ONCE]) for i in range(0, len(a), ROWS_AT_ONCE)]
-        counts = np.concatenate([np.zeros((0, max_n), "int32"), *[count_shared_ngrams(*ab, max_n) for ab in parts]])
-        offsets = np.arange(len(a) + 1, dtype="int32") * max_n
+        counts = np.concatenate([np.zeros((0, width), "int32"), *[count(*ab) for ab in parts]])
+        offsets = np.arange(len(a) + 1, dtype="int32") * width
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(counts.ravel()))
 
     return overlaps(p, r)
@@ -182,14 +198,14 @@ def f_measure(hit: Column, predicted: Column, expected: Column) -> Column:
 def rouge_scores(pairs: DataFrame, stemmed: bool = True, longest: bool = True) -> DataFrame:
     """ROUGE-1, -2 and -L F-measure of each pair."""
     tokens = pairs.select(
-        "pos",
-        rouge_tokens(F.col("prediction"), stemmed).alias("p"),
-        rouge_tokens(F.col("reference"), stemmed).alias("r"),
+        "pos", rouge_tokens(F.col("prediction")).alias("p"), rouge_tokens(F.col("reference")).alias("r")
     )
     p, r = F.col("p"), F.col("r")
-    extra = [common_subsequence(p, r).alias("lcs")] if longest else []
     counted = tokens.select(
-        "pos", clipped_overlaps(p, r, 2).alias("o"), F.size(p).alias("n_pred"), F.size(r).alias("n_ref"), *extra
+        "pos",
+        clipped_overlaps(p, r, 2, stemmed, longest).alias("o"),
+        F.size(p).alias("n_pred"),
+        F.size(r).alias("n_ref"),
     )
     scores = [
         f_measure(
@@ -200,7 +216,7 @@ def rouge_scores(pairs: DataFrame, stemmed: bool = True, longest: bool = True) -
         for n in (1, 2)
     ]
     if longest:
-        scores.append(f_measure(F.col("lcs"), F.col("n_pred"), F.col("n_ref")).alias("rougeL"))
+        scores.append(f_measure(F.col("o")[2], F.col("n_pred"), F.col("n_ref")).alias("rougeL"))
     return counted.select("pos", *scores)
 
 
