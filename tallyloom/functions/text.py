@@ -31,6 +31,7 @@ NO_WORDS = ("NO", "ABSENT")
 BLANK = r"\s\x1c-\x1f"
 WORD_PATTERN = rf"(?U)[^{BLANK}]+"
 
+# The word limits of a response, and how much text a question quotes.
 MAX_RESPONSE_WORDS = 750
 MIN_RESPONSE_WORDS = 10
 PROMPT_CHARS = 4000

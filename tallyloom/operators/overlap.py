@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from tallyloom.functions import text as tx
 from tallyloom.functions.stemming import stem_word
 
+# Fixed value: what a zero overlap counts as.
 EPSILON = 0.1
 ROWS_AT_ONCE = 64
 

@@ -23,6 +23,7 @@ def note_name(year: Column, title: Column) -> Column:
     return F.concat(year.cast("string"), F.lit("-"), F.substring(tx.slug(title), 1, 50), F.lit(".md"))
 
 
+# The layout of a paper note.
 PAPER_NOTE = """---
 type: paper
 title: "{{title}}"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators.voting import vote_counts
 
+# Fixed value: the assumed price of one vote.
 COST_PER_VOTE = 0.03
 
 

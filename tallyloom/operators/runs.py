@@ -140,6 +140,7 @@ def param_entries(params: Mapping[str, T.DataType]) -> Column:
     )
 
 
+# The layout of a run note.
 RUN_NOTE = """---
 type: run-summary
 run_id: "{{run_id}}"
