@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyloom.session import ship
 from tallyloom.sources.tables import VIEW_SQL, table, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +67,7 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = (), ctes:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
             return build(Tables(spark, sf_dir))
 
         run.__name__, run.__doc__, run.__module__ = name, build.__doc__, build.__module__

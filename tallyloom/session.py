@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import re
+import shutil
 import tempfile
 import uuid
+import zipfile
 from functools import cache
 
 from pyspark.sql import SparkSession
 
+_PACKAGE = os.path.dirname(os.path.abspath(__file__))
+_SHIPPED: set[str] = set()
 
-def local_session(cpus: int | str = 8, memory: str = "16g", app: str = "tallyloom") -> SparkSession:
+
+def local_session(
+    cpus: int | str = 8, memory: str = "16g", app: str = "tallyloom", shared: str | None = None
+) -> SparkSession:
     """A single-machine session for tests and the benchmark; a cluster brings its own."""
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
@@ -21,21 +31,47 @@ def local_session(cpus: int | str = 8, memory: str = "16g", app: str = "tallyloo
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, which do not share the driver's import path.
+
+    The archive goes through Spark's own file service, so no shared folder is needed.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    folder = tempfile.mkdtemp(prefix="tallyloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "tallyloom_package.zip")
+    root = os.path.dirname(_PACKAGE)
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for at, _, names in os.walk(_PACKAGE):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(at, name)
+                    out.write(path, os.path.relpath(path, root))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the folder that every executor can reach.
 
-    The cluster names that folder in ``spark.checkpoint.dir``.  Only when it is unset (a local
-    session in tests) is a folder on this machine used instead.
+    The cluster names that folder in ``spark.checkpoint.dir``.  Only when it is unset in a local
+    session, where driver and executors are one process, is a folder on this machine used instead; it
+    goes when the process ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         base = _local_dir()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
@@ -43,4 +79,6 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
 
 @cache
 def _local_dir() -> str:
-    return tempfile.mkdtemp(prefix="tallyloom-")
+    folder = tempfile.mkdtemp(prefix="tallyloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder

@@ -9,7 +9,8 @@ from tallyloom.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(cpus=4, memory="6g", app="tests")
+def spark(tmp_path_factory):
+    shared = str(tmp_path_factory.mktemp("shared"))
+    session = local_session(cpus=4, memory="6g", app="tests", shared=shared)
     yield session
     session.stop()

@@ -32,4 +32,4 @@ def test_entry(spark):
 
     row = entry.entry(spark).first()
     assert row["total_clauses"] == 2 * row["total_contracts"]
-    assert set(entry.queries()) == set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries())
