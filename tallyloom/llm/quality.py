@@ -183,8 +183,10 @@ def judged(counted: DataFrame, model: VoteModel) -> DataFrame:
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the votes keep, with their columns."""
-    # the text travels under a name of its own, since features() replaces columns named like its counts
-    counted = features(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text)), text)
+    # the row travels as one column, since features() replaces columns named like its counts
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{text}`").alias("__text"))
+    # written once: the model reads all votes before any document can be judged
+    counted = written(features(rows, "__text").drop("__text"), "quality")
     verdict = judged(counted, VoteModel.fit(counted))
     return verdict.filter("kept").select(*[F.col(f"__row.`{c}`") for c in docs.columns])
 
