@@ -7,7 +7,7 @@ Decoding concatenates the vocabulary's strings as the vocabulary's library does.
 The file's steps are followed: its added tokens are cut out of the raw text, the rest is put into NFC,
 white space becomes one space, letters are lowered, and words are split, mapped to byte characters and
 closed by the word-end mark.  White space separates words for good, so the codes of a run of
-non-space characters can be kept and used again; the stores hold at most ``KEPT`` runs and words per worker.
+non-space characters can be kept and used again; the stores hold at most twice ``KEPT`` runs and words per worker.
 
 Defined results: a null text counts as empty and has no tokens; the hash of nothing is that of an empty
 string.  Bytes without a vocabulary entry are left out, as the file has no unknown token.  Repeated rows
@@ -23,13 +23,18 @@ import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
-import pyarrow as pa
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEPT = 300_000
+from tallyloom.llm.common import Store, bounded
+
+KEPT = 200_000
+BLOCK_CHARS = 1 << 23
 FILE = "word_bpe_49k.json"
 # white space of the file's expressions
 SPACE = "\t-\r\x20\x85\xa0  -     　"
@@ -61,8 +66,8 @@ class Bpe:
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(pattern.replace(r"\s", SPACE))
         self.characters = byte_characters()
-        self.kept: dict[str, tuple[int, str, str]] = {}
-        self.words_kept: dict[str, list[str]] = {}
+        self.numbers = {s: str(i) for s, i in self.vocabulary.items()}
+        self.kept, self.words_kept = Store(KEPT), Store(KEPT)
 
     def merged(self, word: str) -> list[str]:
         """The symbols of a word after all merges."""
@@ -94,34 +99,68 @@ class Bpe:
 
     def _run(self, run: str) -> tuple[int, str, str]:
         """Number of tokens, ids and strings (each joined by spaces) of a run without white space."""
-        found, known = [], self.words_kept
-        for word in self.words.findall(run):
-            if (symbols := known.get(word)) is None:
-                if len(known) >= KEPT:
-                    known.clear()
-                symbols = known[word] = [s for s in self.merged(word) if s in self.vocabulary]
+        found, words = [], self.words.findall(run)
+        for word, symbols in zip(words, self.words_kept.all(words), strict=True):
+            if symbols is None:
+                symbols = [s for s in self.merged(word) if s in self.vocabulary]
+                self.words_kept.put(word, symbols)
             found += symbols
-        if len(self.kept) >= KEPT:
-            self.kept.clear()
-        got = (len(found), " ".join(str(self.vocabulary[s]) for s in found), " ".join(found))
-        self.kept[run] = got
+        got = (len(found), " ".join([self.numbers[s] for s in found]), self.joined(found))
+        self.kept.put(run, got)
         return got
 
     def normal(self, text: str) -> str:
         text = self.other_spaces.sub(" ", unicodedata.normalize("NFC", text))
         return text.replace("Σ", "σ").lower()
 
-    def codes(self, text: str) -> tuple[int, str, str]:
-        """Number of tokens, ids joined by one space, decoded text."""
+    def codes(self, texts: list[str]) -> tuple[list[int], pa.Array, pa.Array]:
+        """Number of tokens, ids joined by one space, and decoded text, of each text.
+
+        Arrow cuts the normal texts at spaces, finds the distinct runs, and joins what they stand for.
+        """
+        normal, specials = [], {}
+        for n, text in enumerate(texts):
+            if "<|" in text and self.cut.search(text):
+                specials[n] = text
+                text = ""
+            normal.append(self.normal(text))
+        # a word and the punctuation that ends its run are coded apart anyway
+        cut = pc.replace_substring_regex(pa.array(normal, pa.large_string()), r"(\pL)([.,;:!?]+ )", r"\1 \2")
+        lists = pc.split_pattern(cut, " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        offsets -= offsets[0]
+        coded = lists.flatten().dictionary_encode()
+        runs = coded.dictionary.to_pylist()
+        known = self.kept.all(runs)
+        found = [k if k is not None else self._run(r) for k, r in zip(known, runs, strict=True)]
+        sizes = np.fromiter((n for n, _, _ in found), np.int64, len(found))
+        codes = coded.indices.to_numpy()
+        counts = sizes[codes]
+        held = counts > 0  # runs without tokens would leave empty strings in the joined ones
+        bounds = pa.array(np.concatenate([[0], np.cumsum(held)])[offsets], pa.int32())
+        totals = np.diff(np.concatenate([[0], np.cumsum(counts)])[offsets]).tolist()
+        out = []
+        for part in (1, 2):
+            strings = pa.array([f[part] for f in found], pa.string()).take(pa.array(codes[held]))
+            out.append(pc.binary_join(pa.ListArray.from_arrays(bounds, strings), " "))
+        if specials:
+            ids, decoded = (x.to_pylist() for x in out)
+            for n, text in specials.items():
+                totals[n], ids[n], decoded[n] = self._with_added(text)
+            out = [pa.array(x, pa.string()) for x in (ids, decoded)]
+        return totals, *out
+
+    def _with_added(self, text: str) -> tuple[int, str, str]:
+        """The same for a text that holds added tokens."""
         parts = []
-        for piece in self.cut.split(text) if "<|" in text else [text]:
+        for piece in self.cut.split(text):
             if piece in self.added:
                 parts.append((1, str(self.added[piece]), piece))
             elif piece:
-                kept, run = self.kept.get, self._run
-                parts += [kept(r) or run(r) for r in self.normal(piece).split(" ") if r]
+                n, ids, decoded = self.codes([piece])
+                parts.append((n[0], ids[0].as_py(), decoded[0].as_py()))
         parts = [p for p in parts if p[0]]
-        return sum(p[0] for p in parts), " ".join([p[1] for p in parts]), self.joined([p[2] for p in parts])
+        return sum(p[0] for p in parts), " ".join(p[1] for p in parts), self.joined([p[2] for p in parts])
 
     @staticmethod
     def joined(strings: list[str]) -> str:
@@ -129,7 +168,7 @@ class Bpe:
         return " ".join(strings)
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for i in self.codes(text)[1].split(" ") if i]
+        return [int(i) for i in self.codes([text])[1][0].as_py().split(" ") if i]
 
     def decode(self, ids: list[int]) -> str:
         return self.joined([self.strings[i] for i in ids if i in self.strings])
@@ -148,18 +187,17 @@ def encoded(docs: DataFrame, text: str = "text", path: str | None = None, tokens
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path or public_tokenizers.path(FILE))
+        digest = lambda strings: pa.array([hashlib.sha256(x.encode()).hexdigest() for x in strings])
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            for a in range(0, batch.num_rows, 500):
-                part = [bpe.codes(t.as_py() or "") for t in texts.slice(a, 500)]
-                columns = [batch.column(i).slice(a, 500) for i in range(len(keep))] + [
-                    pa.array([n for n, _, _ in part], pa.int64()),
-                    pa.array([hashlib.sha256(i.encode()).hexdigest() for _, i, _ in part]),
-                    pa.array([hashlib.sha256(d.encode()).hexdigest() for _, _, d in part]),
-                ]
+            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+            for a, b in bounded([len(t) for t in texts], BLOCK_CHARS):
+                counts, ids, decoded = bpe.codes(texts[a:b])
+                ids, decoded = ids.to_pylist(), decoded.to_pylist()
+                columns = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
+                columns += [pa.array(counts, pa.int64()), digest(ids), digest(decoded)]
                 if tokens:
-                    ids = [[int(x) for x in i.split(" ") if x] for _, i, _ in part]
-                    columns += [pa.array(ids, pa.list_(pa.int32())), pa.array([d for _, _, d in part])]
+                    numbers = [[int(x) for x in i.split(" ") if x] for i in ids]
+                    columns += [pa.array(numbers, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(added if tokens else added[:3])])
 
     kinds = ["long", "string", "string", "array<int>", "string"]

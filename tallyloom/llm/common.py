@@ -97,3 +97,28 @@ def shingles(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarr
         term = words[np.where(use, at + j, 0)] if len(words) else out
         out = np.where(use, mixed(out + MIX_A) ^ term * MIX_C, out)
     return mixed(out), n
+
+
+class Store(dict):
+    """A dict of the entries used lately: when full, it starts anew and takes back what is asked for."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.old = limit, {}
+
+    def put(self, key, value) -> None:
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+    def all(self, keys: list) -> list:
+        """The values of the keys, None where there is none."""
+        found = list(map(self.get, keys))
+        if self.old:
+            old = self.old
+            for i, value in enumerate(found):
+                if value is None and (value := old.get(keys[i])) is not None:
+                    found[i] = value
+                    self.put(keys[i], value)
+        return found

@@ -9,8 +9,8 @@ takes n * (2 + log2(m / n)) bits; ``select`` finds an end in it by sampled posit
 The table is ordered by doc_id with a range partitioning; each task streams its part to one file of the
 shared folder, under a name of its own, so a repeated task leaves an unused file and no damage.  The
 list of the files that count is written as a table.  Ids are made by the tokenizers library; runs of
-text between single spaces, and their words, are encoded once per worker and kept (at most twice ``KEPT``
-of either), which is exact, as the vocabulary's expressions never match across such a place.
+text are encoded once per worker and kept (at most twice ``KEPT``), which is exact, as they are cut only
+where the vocabulary's expressions never match across.
 
 Defined results: a null text counts as empty and has the end id alone.  Rows with equal doc_id follow
 each other; null ids come first and stay null.  An empty table gives an empty table.
@@ -29,23 +29,30 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import parts, written
+from tallyloom.llm.common import Store, bounded, parts, ranges, written
 from tallyloom.session import shared_dir
 
 FILE = "byte_bpe_50k.json"
 END_ID = 0
-KEPT = 250_000
+KEPT = 400_000
 MAGIC = b"TLEF0001"
 FOOTER = "<8sBBQQQQQ"  # magic, id width, low bits, documents, null ids, ids, low and high bytes
 SAMPLE = 256
 BLOCK = 4096
-CUT = re.compile(r"(?<=\S) (?=\S)")
+BLOCK_BYTES = 1 << 24
+SPACES = r"\x{9}-\x{d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}"
+MARK = "\x01"  # a run that has no space before it
+ODD_SPACE = f" [{SPACES}]|[{SPACES}] |{MARK}"
+CUTS = (
+    (r"(\pL)([.,;:!?]+[ \n])", rf"\1 {MARK}\2"),
+    (rf"([^{SPACES}])\n([^{SPACES}])", "\\1 " + MARK + "\n " + MARK + "\\2"),
+)
 
 
 class EliasFano:
@@ -88,26 +95,14 @@ class EliasFano:
         return upper + (rows << np.arange(self.low_bits)).sum(axis=1)
 
 
-class Store(dict):
-    """A dict of the entries used lately: when full, it starts anew and takes back what is asked for."""
-
-    def __init__(self, limit: int):
-        super().__init__()
-        self.limit, self.old = limit, {}
-
-    def put(self, key: str, value: bytes) -> bytes:
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
 class Encoder:
-    """Ids of texts as bytes, by the tokenizers library.
+    """Ids of texts, by the tokenizers library.
 
-    Runs between single spaces are looked up first, then the words of the runs that are new; what is new
-    among those is encoded by the library.
+    The texts of a batch are cut where the vocabulary's expressions always end a match: between single
+    spaces, before a final run of punctuation, around a single line feed.  Arrow puts the runs into a
+    dictionary, so Python sees each distinct run once per batch.  Runs seen before are looked up, new ones
+    encoded by the library.  Texts with other white space around a space, or with an added token, go to
+    the library as a whole.
     """
 
     def __init__(self, path: str):
@@ -115,40 +110,63 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = regex.compile(public_tokenizers.PATTERN)
-        self.runs, self.kept = Store(KEPT), Store(KEPT)
+        self.kind = np.dtype(f"<u{self.width}")
+        self.added = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.kept = Store(KEPT)
 
     def _bytes(self, ids: list[int]) -> bytes:
         return array.array("H" if self.width == 2 else "I", ids).tobytes()
 
-    def _whole(self, text: str) -> bytes:
-        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def _new_runs(self, runs: set[str]) -> dict[str, bytes]:
-        split = {run: self.words.findall(" " + run) for run in runs}
-        known, kept, old = {}, self.kept, self.kept.old
-        for word in {w for words in split.values() for w in words}:
-            if (data := kept.get(word)) is None and (data := old.get(word)) is not None:
-                kept.put(word, data)
-            known[word] = data
-        new = [w for w, data in known.items() if data is None]
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else []
-        known |= {w: kept.put(w, self._bytes(e.ids)) for w, e in zip(new, found, strict=True)}
-        return {run: b"".join([known[w] for w in words]) for run, words in split.items()}
-
-    def encode(self, text: str) -> bytes:
-        if not text or any(t in text for t in self.added):
-            return self._whole(text) if text else b""
-        first, *rest = CUT.split(text)
-        runs, old = self.runs, self.runs.old
-        missing = {r for r in rest if r not in runs}
-        held = {r: old[r] for r in missing if r in old}
-        held |= self._new_runs(missing - held.keys())
-        data = b"".join([held[r] if r in held else runs[r] for r in rest])
-        for r, ids in held.items():
-            runs.put(r, ids)
-        return self._whole(first) + data
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
+        return [self._bytes(e.ids) for e in found]
+
+    def _runs(self, runs: list[str]) -> list[bytes]:
+        """The ids of runs: those with MARK as they are, others with the space before them."""
+        data = self.kept.all(runs)
+        new = [i for i, d in enumerate(data) if d is None]
+        found = self._encoded([run[1:] if (run := runs[i])[:1] == MARK else " " + run for i in new])
+        for i, ids in zip(new, found, strict=True):
+            data[i] = ids
+            self.kept.put(runs[i], ids)
+        return data
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after the other, each closed by END_ID, and how many each has."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.match_substring_regex(texts, ODD_SPACE)
+        if self.added:
+            odd = pc.or_(odd, pc.match_substring_regex(texts, self.added))
+        odd = odd.to_numpy(zero_copy_only=False)
+        cut = pc.if_else(pa.array(odd), "", texts)
+        for pattern, by in CUTS:
+            cut = pc.replace_substring_regex(cut, pattern, by)
+        lists = pc.split_pattern(cut, " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        offsets -= offsets[0]
+        coded = lists.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        runs = coded.dictionary.to_pylist()
+        first = offsets[:-1]
+        # a text's first run has no space before it, and an odd text counts as one run
+        alone = [runs[c] for c in codes[first].tolist()]
+        for i in np.flatnonzero(odd):
+            alone[i] = texts[int(i)].as_py()
+        inner = np.ones(len(codes), bool)
+        inner[first] = False
+        used = np.unique(codes[inner])
+        data = self._encoded(alone) + self._runs([runs[i] for i in used]) + [self._bytes([END_ID])]
+        place = np.zeros(len(runs), np.int64)
+        place[used] = len(alone) + np.arange(len(used))
+        codes = place[codes]
+        codes[first] = np.arange(len(alone))
+        codes = np.insert(codes, offsets[1:], len(data) - 1)
+        bounds = offsets + np.arange(len(offsets))
+        sizes = np.fromiter((len(d) // self.width for d in data), np.int64, len(data))
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        counts = sizes[codes]
+        ids = np.frombuffer(b"".join(data), self.kind)[ranges(starts[codes], counts)]
+        return ids, np.add.reduceat(counts, bounds[:-1]) if len(texts) else np.zeros(0, np.int64)
 
 
 @cache
@@ -162,7 +180,6 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None) -> DataFr
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = loaded(path or public_tokenizers.path(FILE))
         shard, ids, ends, nulls, total, out, name = TaskContext.get().partitionId(), [], [], 0, 0, None, ""
-        closing = np.array([END_ID], f"<u{encoder.width}").tobytes()
         for batch in batches:
             if out is None:
                 system, base = pyarrow.fs.FileSystem.from_uri(folder)
@@ -171,15 +188,11 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None) -> DataFr
                 out = system.open_output_stream(f"{base}/{name.rpartition('/')[2]}")
             nulls += batch.column(0).null_count
             ids.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
-            lengths = []
-            for text in batch.column(1):
-                data = encoder.encode(text.as_py() or "") + closing
-                out.write(data)
-                lengths.append(len(data) // encoder.width)
-            sums = total + np.cumsum(np.array(lengths, np.int64))
-            if len(sums):
-                ends.append(sums)
-                total = int(sums[-1])
+            for a, b in bounded(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), BLOCK_BYTES):
+                data, lengths = encoder.encode(batch.column(1).slice(a, b - a))
+                out.write(data.tobytes())
+                ends.append(total + np.cumsum(lengths))
+                total += int(lengths.sum())
         if out is None:
             return
         code = EliasFano.of(np.concatenate(ends) if ends else np.zeros(0, np.int64))
