@@ -6,13 +6,14 @@
   propose candidates: at a similarity of 0.8 a pair escapes all bands with probability (1 - 0.8 ** 4) ** 24,
   about 3 in a million.
 * The share of equal lanes, counted by bit operations and corrected for chance collisions (1 in
-  2 ** BITS), estimates the similarity.  Pairs far below the threshold (five standard errors) go.
+  2 ** BITS), estimates the similarity.  Pairs far below the threshold (four standard errors) go.
 * First round: each class is paired with the smallest class of each of its buckets, so a bucket yields
   as many pairs as members.  Pairs are confirmed on their whole sets, and links become components.
-* Second round: buckets whose members still lie in more than one component compare those members, in
-  blocks of ``BLOCK`` on packed signatures inside a task.  Only pairs of different components that pass
-  the estimate leave the task; they are confirmed as before.  After it, every candidate pair is either
-  within a component or refuted.
+* Further rounds: buckets whose members still lie in more than one component compare those members, in
+  blocks of ``BLOCK`` on packed signatures inside a task.  Only pairs of different components leave the
+  task, the likeliest first: each round takes one interval of estimates (``STEPS``), confirms its pairs
+  and joins components before the next.  Each pair belongs to one interval, so in the end every candidate
+  pair lies within a component or is refuted, while a group that is linked early never yields its pairs.
 
 Components come from alternating large-star and small-star joins on the link table; nothing is collected.
 
@@ -39,6 +40,7 @@ BANDS = HASHES // ROWS
 BITS = 4
 PERCENT = 80
 BLOCK = 2000
+STEPS = (0.86, 0.79, 0.71)
 BLOCK_BYTES = 1 << 21
 LOWEST_LANE = U64(0x1111111111111111)
 LARGEST = (1 << 63) - 1
@@ -94,7 +96,7 @@ def estimate(one: np.ndarray, other: np.ndarray) -> np.ndarray:
 
 def lowest_estimate(percent: int) -> float:
     s = percent / 100
-    return s - 5 * (s * (1 - s) / HASHES) ** 0.5 / (1 - 1 / (1 << BITS))
+    return s - 4 * (s * (1 - s) / HASHES) ** 0.5 / (1 - 1 / (1 << BITS))
 
 
 def _batches(batches: Iterator[pa.RecordBatch], column: int):
@@ -180,10 +182,13 @@ def components(links: DataFrame, purpose: str = "components") -> DataFrame:
     return nodes.union(edges.select(F.col("b"), F.col("b")).distinct())
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def sets_among(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """The full sets of the documents with these ids; the texts are shuffled once."""
+    return written(full_sets(docs.join(ids.hint("merge"), "id", "left_semi"), size), "sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose full sets are similar enough."""
-    taking_part = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = full_sets(docs.join(taking_part, "id", "left_semi"), size)
     one = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
     other = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
     met = pairs.join(one, "a").join(other, "b").withColumn("common", F.size(F.array_intersect("x", "y")).cast("long"))
@@ -206,12 +211,12 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(score, "a long, b long")
 
 
-def _between_components(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components within the buckets (band, key) that pass the estimate.
+def _between_components(members: DataFrame, lowest: float, below: float) -> DataFrame:
+    """Pairs of different components within the buckets (band, key) with an estimate in the interval.
 
-    A bucket of n members is cut into n / BLOCK blocks, and pairs of blocks are compared in tasks of their own.
+    A bucket of n members is cut into n / BLOCK blocks, and pairs of blocks are compared in tasks of
+    their own.  With ``below`` of zero the result is not pairs but (id, null): the documents in any pair.
     """
-    lowest = lowest_estimate(percent)
     sizes = members.groupBy("band", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     rows = members.join(sizes, ["band", "key"]).withColumn("mine", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     rows = rows.withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -226,17 +231,31 @@ def _between_components(members: DataFrame, percent: int) -> DataFrame:
         right = left if same_block else np.flatnonzero(mine == hi)
         a, b = [], []
         for i in left:
-            met = (comp[right] != comp[i]) & ((rep[right] > rep[i]) if same_block else True)
-            near = right[met]
-            near = near[estimate(sig[near], sig[i]) >= lowest]
-            a.append(np.minimum(rep[near], rep[i]))
-            b.append(np.maximum(rep[near], rep[i]))
-        join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-        return pa.table({"a": join(a), "b": join(b)})
+            met = comp[right] != comp[i]
+            near = right[met & (rep[right] > rep[i])] if same_block else right[met]
+            if len(near):
+                like = estimate(sig[near], sig[i])
+                near = near[(like >= lowest) & (like < below)] if below else near[like >= lowest]
+                a.append(np.minimum(rep[near], rep[i]))
+                b.append(np.maximum(rep[near], rep[i]))
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        if below:
+            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        ids = np.unique(np.concatenate([a, b]))
+        return pa.table({"a": pa.array(ids, pa.int64()), "b": pa.nulls(len(ids), pa.int64())})
 
     return rows.groupBy("band", "key", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
 
 
+def _members(met: DataFrame, found: DataFrame) -> DataFrame:
+    """Bucket members (band, key, rep, sig) with their component, in buckets of more than one component."""
+    labelled = met.join(found, F.col("rep") == F.col("node"), "left").select(
+        "band", "key", "rep", "sig", F.coalesce("component", "rep").alias("comp")
+    )
+    several = labelled.groupBy("band", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y")
+    return labelled.join(several.select("band", "key"), ["band", "key"])
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
     """id (surrogate for null), n and component of every row of ``docs``."""
     rows = docs.select(F.col(key).cast("long").alias("id"), text_or_empty(text).alias("text"))
@@ -255,20 +274,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, text
     met = written(met, "buckets")
     pairs = met.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     tried = written(_estimated(pairs, classes, percent), "pairs")
-    links = written(confirmed(tried, rows, size, percent), "links")
+    ids = tried.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    links = written(confirmed(tried, sets_among(ids, rows, size), percent), "links")
     found = written(components(links), "components")
-    # second round: buckets that lie in more than one component
-    labelled = met.join(found, F.col("rep") == F.col("node"), "left").select(
-        "band", "key", "rep", F.coalesce("component", "rep").alias("comp")
-    )
-    mixed_up = labelled.groupBy("band", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y")
-    members = labelled.join(mixed_up.select("band", "key"), ["band", "key"])
-    members = members.join(classes.select("rep", "sig"), "rep")
-    more = _between_components(members.select("band", "key", "rep", "comp", "sig"), percent)
-    more = written(more.join(tried, ["a", "b"], "left_anti"), "more-pairs")
-    if not more.isEmpty():
-        links = links.union(written(confirmed(more, rows, size, percent), "more-links"))
-        found = written(components(links), "components")
+    # further rounds: buckets that lie in more than one component
+    signs = classes.select("rep", "sig")
+    members = _members(met.select("band", "key", "rep").join(signs, "rep"), found)
+    lowest = lowest_estimate(percent)
+    ids = written(_between_components(members, lowest, 0.0).select(F.col("a").alias("id")), "still-apart")
+    if not ids.isEmpty():
+        members = written(members.join(ids.withColumnRenamed("id", "rep"), "rep", "left_semi").drop("comp"), "members")
+        sets = sets_among(ids, rows, size)
+        bounds = [2.0, *STEPS, lowest]
+        for below, least in zip(bounds, bounds[1:], strict=False):
+            more = written(_between_components(_members(members, found), least, below), "more-pairs")
+            fresh = written(confirmed(more, sets, percent), "more-links")
+            if not fresh.isEmpty():
+                links = links.union(fresh)
+                found = written(components(links), "components")
     # rows -> classes -> components
     named = classes.select(F.col("h1").alias("x1"), F.col("h2").alias("x2"), "rep")
     named = named.join(found, F.col("rep") == F.col("node"), "left").select(
