@@ -40,12 +40,12 @@ from tallyloom.session import shared_dir
 
 FILE = "byte_bpe_50k.json"
 END_ID = 0
-KEPT = 400_000
+KEPT = 300_000
 MAGIC = b"TLEF0001"
 FOOTER = "<8sBBQQQQQ"  # magic, id width, low bits, documents, null ids, ids, low and high bytes
 SAMPLE = 256
 BLOCK = 4096
-BLOCK_BYTES = 1 << 24
+BLOCK_BYTES = 1 << 23
 SPACES = r"\x{9}-\x{d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}"
 MARK = "\x01"  # a run that has no space before it
 ODD_SPACE = f" [{SPACES}]|[{SPACES}] |{MARK}"
@@ -118,8 +118,11 @@ class Encoder:
         return array.array("H" if self.width == 2 else "I", ids).tobytes()
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
-        return [self._bytes(e.ids) for e in found]
+        out = []
+        for i in range(0, len(texts), 4096):  # the library's results are large
+            found = self.tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)
+            out += [self._bytes(e.ids) for e in found]
+        return out
 
     def _runs(self, runs: list[str]) -> list[bytes]:
         """The ids of runs: those with MARK as they are, others with the space before them."""
