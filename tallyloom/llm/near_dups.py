@@ -9,11 +9,11 @@
   2 ** BITS), estimates the similarity.  Pairs far below the threshold (four standard errors) go.
 * First round: each class is paired with the smallest class of each of its buckets, so a bucket yields
   as many pairs as members.  Pairs are confirmed on their whole sets, and links become components.
-* Further rounds: buckets whose members still lie in more than one component compare those members, in
-  blocks of ``BLOCK`` on packed signatures inside a task.  Only pairs of different components leave the
-  task, the likeliest first: each round takes one interval of estimates (``STEPS``), confirms its pairs
-  and joins components before the next.  Each pair belongs to one interval, so in the end every candidate
-  pair lies within a component or is refuted, while a group that is linked early never yields its pairs.
+* Second round: buckets whose members still lie in more than one component compare those members, in
+  blocks of ``BLOCK``: first on packed signatures, to find the documents that could be linked at all,
+  then, for these, on the full sets too.  A pair is looked at in the first band it shares, and only
+  links that join two components leave the task.  After it, every candidate pair lies within a
+  component or is refuted.
 
 Components come from alternating large-star and small-star joins on the link table; nothing is collected.
 
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import MIX_A, U64, bounded, mixed, shingles, text_or_empty, word_hashes, written
+from tallyloom.llm.common import MIX_A, U64, bounded, mixed, ranges, shingles, text_or_empty, word_hashes, written
 
 HASHES = 96
 ROWS = 4
@@ -40,7 +40,6 @@ BANDS = HASHES // ROWS
 BITS = 4
 PERCENT = 80
 BLOCK = 2000
-STEPS = (0.86, 0.79, 0.71)
 BLOCK_BYTES = 1 << 21
 LOWEST_LANE = U64(0x1111111111111111)
 LARGEST = (1 << 63) - 1
@@ -211,40 +210,71 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(score, "a long, b long")
 
 
-def _between_components(members: DataFrame, lowest: float, below: float) -> DataFrame:
-    """Pairs of different components within the buckets (band, key) with an estimate in the interval.
-
-    A bucket of n members is cut into n / BLOCK blocks, and pairs of blocks are compared in tasks of
-    their own.  With ``below`` of zero the result is not pairs but (id, null): the documents in any pair.
-    """
+def _blocks(members: DataFrame) -> DataFrame:
+    """Bucket members dealt to pairs of blocks: a bucket of n members has n / BLOCK blocks."""
     sizes = members.groupBy("band", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     rows = members.join(sizes, ["band", "key"]).withColumn("mine", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     rows = rows.withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumns({"lo": F.least("mine", "theirs"), "hi": F.greatest("mine", "theirs")})
-
-    def compare(table: pa.Table) -> pa.Table:
-        rep, comp = table.column("rep").to_numpy(), table.column("comp").to_numpy()
-        mine, hi = table.column("mine").to_numpy(), table.column("hi").to_numpy()
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), U64).reshape(len(rep), -1)
-        same_block = bool((table.column("lo").to_numpy() == hi).all())
-        left = np.flatnonzero(np.ones(len(rep), bool) if same_block else mine != hi)
-        right = left if same_block else np.flatnonzero(mine == hi)
+    return rows.withColumns({"lo": F.least("mine", "theirs"), "hi": F.greatest("mine", "theirs")})
+
+
+def _candidates(table: pa.Table, comp: np.ndarray, lowest: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Each member with those it may be linked with; ``comp`` may change on the way."""
+    mine, hi = table.column("mine").to_numpy(), table.column("hi").to_numpy()
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), U64).reshape(len(comp), -1)
+    same_block = bool((table.column("lo").to_numpy() == hi).all())
+    left = np.arange(len(comp)) if same_block else np.flatnonzero(mine != hi)
+    right = left if same_block else np.flatnonzero(mine == hi)
+    for n, i in enumerate(left):
+        near = right[n + 1 :] if same_block else right
+        near = near[comp[near] != comp[i]]
+        if len(near):
+            yield i, near[estimate(sig[near], sig[i]) >= lowest]
+
+
+def _still_apart(members: DataFrame, lowest: float) -> DataFrame:
+    """The ids of members with a similar signature in another component of their bucket."""
+
+    def find(table: pa.Table) -> pa.Table:
+        rep, seen = table.column("rep").to_numpy(), np.zeros(table.num_rows, bool)
+        for i, near in _candidates(table, table.column("comp").to_numpy(), lowest):
+            seen[near] = True
+            seen[i] |= len(near) > 0
+        return pa.table({"id": pa.array(rep[seen], pa.int64())})
+
+    return _blocks(members).groupBy("band", "key", "lo", "hi").applyInArrow(find, "id long").distinct()
+
+
+def _links_between(members: DataFrame, lowest: float, percent: int) -> DataFrame:
+    """Links (a, b) that join components of a bucket, confirmed on the members' full sets."""
+
+    def link(table: pa.Table) -> pa.Table:
+        rep, comp = table.column("rep").to_numpy(), table.column("comp").to_numpy().copy()
+        band = table.column("band")[0].as_py()
+        keys = np.stack(table.column("bands").to_pylist()).astype(np.int64)[:, :band]
+        items = table.column("items").combine_chunks()
+        sizes = np.diff(items.offsets.to_numpy()).astype(np.int64)
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        values, item = np.unique(items.flatten().to_numpy(), return_inverse=True)
+        flag = np.zeros(len(values), np.int64)
         a, b = [], []
-        for i in left:
-            met = comp[right] != comp[i]
-            near = right[met & (rep[right] > rep[i])] if same_block else right[met]
-            if len(near):
-                like = estimate(sig[near], sig[i])
-                near = near[(like >= lowest) & (like < below)] if below else near[like >= lowest]
-                a.append(np.minimum(rep[near], rep[i]))
-                b.append(np.maximum(rep[near], rep[i]))
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        if below:
-            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-        ids = np.unique(np.concatenate([a, b]))
-        return pa.table({"a": pa.array(ids, pa.int64()), "b": pa.nulls(len(ids), pa.int64())})
-
-    return rows.groupBy("band", "key", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
+        for i, near in _candidates(table, comp, lowest):
+            near = near[~(keys[near] == keys[i]).any(axis=1)]  # else an earlier band has the pair
+            if not len(near):
+                continue
+            own = item[starts[i] : starts[i] + sizes[i]]
+            flag[own] = 1
+            at = item[ranges(starts[near], sizes[near])]
+            common = np.add.reduceat(flag[at], np.concatenate([[0], np.cumsum(sizes[near])[:-1]]))
+            flag[own] = 0
+            for j in near[100 * common >= percent * (sizes[i] + sizes[near] - common)]:
+                if comp[j] != comp[i]:
+                    a.append(min(rep[i], rep[j]))
+                    b.append(max(rep[i], rep[j]))
+                    comp[comp == comp[j]] = comp[i]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return _blocks(members).groupBy("band", "key", "lo", "hi").applyInArrow(link, "a long, b long").distinct()
 
 
 def _members(met: DataFrame, found: DataFrame) -> DataFrame:
@@ -277,21 +307,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, text
     ids = tried.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     links = written(confirmed(tried, sets_among(ids, rows, size), percent), "links")
     found = written(components(links), "components")
-    # further rounds: buckets that lie in more than one component
-    signs = classes.select("rep", "sig")
-    members = _members(met.select("band", "key", "rep").join(signs, "rep"), found)
+    # second round: buckets that lie in more than one component
+    members = _members(met.select("band", "key", "rep").join(classes.select("rep", "sig"), "rep"), found)
     lowest = lowest_estimate(percent)
-    ids = written(_between_components(members, lowest, 0.0).select(F.col("a").alias("id")), "still-apart")
+    ids = written(_still_apart(members, lowest), "still-apart")
     if not ids.isEmpty():
-        members = written(members.join(ids.withColumnRenamed("id", "rep"), "rep", "left_semi").drop("comp"), "members")
-        sets = sets_among(ids, rows, size)
-        bounds = [2.0, *STEPS, lowest]
-        for below, least in zip(bounds, bounds[1:], strict=False):
-            more = written(_between_components(_members(members, found), least, below), "more-pairs")
-            fresh = written(confirmed(more, sets, percent), "more-links")
-            if not fresh.isEmpty():
-                links = links.union(fresh)
-                found = written(components(links), "components")
+        sets = sets_among(ids, rows, size).dropDuplicates(["id"]).withColumnRenamed("id", "rep")
+        whole = members.join(classes.select("rep", "bands"), "rep").join(sets, "rep")
+        fresh = written(_links_between(whole, lowest, percent), "more-links")
+        if not fresh.isEmpty():
+            found = written(components(links.union(fresh)), "components")
     # rows -> classes -> components
     named = classes.select(F.col("h1").alias("x1"), F.col("h2").alias("x2"), "rep")
     named = named.join(found, F.col("rep") == F.col("node"), "left").select(
