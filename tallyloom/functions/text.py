@@ -31,10 +31,9 @@ NO_WORDS = ("NO", "ABSENT")
 BLANK = r"\s\x1c-\x1f"
 WORD_PATTERN = rf"(?U)[^{BLANK}]+"
 
-# The word limits of a response, and how much text a question quotes.
+# The word limits of a response.
 MAX_RESPONSE_WORDS = 750
 MIN_RESPONSE_WORDS = 10
-PROMPT_CHARS = 4000
 
 
 def word_count(text: Column) -> Column:
@@ -103,13 +102,14 @@ def slug(text: Column) -> Column:
     )
 
 
-def clause_prompt(text: Column, category: Column, max_chars: int = PROMPT_CHARS) -> Column:
-    """The question put to a reviewer about one clause; the text part is cut at ``max_chars``."""
+def clause_prompt(text: Column, category: Column, max_chars: int | None = None) -> Column:
+    """The question put to a reviewer about one clause, with the whole text unless ``max_chars`` cuts it."""
+    # The wording of the question.
     return F.concat(
         F.lit("Given this contract text, does it contain a "),
         category,
         F.lit(" clause?\n\nContract:\n"),
-        F.substring(text, 1, max_chars),
+        text if max_chars is None else F.substring(text, 1, max_chars),
         F.lit(
             "\n\nInstructions:\n- Answer YES or NO\n- Provide a brief explanation citing specific"
             " contract text\n- Be concise (under 200 words)\n\nAnswer:"

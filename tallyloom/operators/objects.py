@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_KEYS = 1000
-
-
-def list_prefix(objects: DataFrame, prefix: str, max_keys: int | None = MAX_KEYS) -> DataFrame:
-    """Objects below a prefix in key order; ``max_keys`` is the page size of a listing."""
+def list_prefix(objects: DataFrame, prefix: str, page: int | None = None, after: str | None = None) -> DataFrame:
+    """All objects below a prefix, or a page of them in key order that starts after a key."""
     found = objects.where(F.startswith("key", F.lit(prefix)))
-    return found if max_keys is None else found.orderBy("key").limit(max_keys)
+    if after is not None:
+        found = found.where(F.col("key") > after)
+    return found if page is None else found.orderBy("key").limit(page)
 
 
 def look_up(objects: DataFrame, keys: DataFrame) -> DataFrame:

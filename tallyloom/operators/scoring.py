@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -69,9 +70,8 @@ def answer_until_decided(
     k: int = 3,
     max_votes: int = MAX_VOTES,
     block: int = 5,
-    max_rounds: int = 2 * MAX_VOTES,
 ) -> DataFrame:
-    """Ask in blocks of rounds and go on only with the tasks that are not decided yet.
+    """Ask in blocks of rounds until no task is open: each is decided, out of votes, or broken by an error.
 
     The answers and the open tasks of each block are written below ``path``, so no call is made
     twice, and a task stops costing calls at most one block after its decision.
@@ -85,12 +85,11 @@ def answer_until_decided(
 
     first = tasks.select(F.col("contract_id").cast("long").alias("contract_id"), "clause_category").distinct()
     first.write.mode("overwrite").parquet(f"{path}/open/start=1")
-    for start in range(1, max_rounds + 1, block):
+    for start in itertools.count(1, block):
         open_tasks = open_at(start)
         if open_tasks.isEmpty():
             break
-        rounds = min(block, max_rounds - start + 1)
-        answer_tasks(open_tasks, load_responder, rounds, start).write.mode("overwrite").parquet(
+        answer_tasks(open_tasks, load_responder, block, start).write.mode("overwrite").parquet(
             f"{path}/log/start={start}"
         )
         log = spark.read.schema(log_schema).parquet(f"{path}/log").join(open_tasks, list(TASK), "left_semi")

@@ -367,7 +367,7 @@ def lineage_chain(t):
 @query(
     "version_ancestors",
     """SELECT c.name, c.version, p.version AS ancestor, c.number - p.number AS hops FROM registry c
-       JOIN registry p ON p.name = c.name AND p.number < c.number AND c.number - p.number <= 3""",
+       JOIN registry p ON p.name = c.name AND p.number < c.number""",
     R,
 )
 def version_ancestors(t):
@@ -376,7 +376,7 @@ def version_ancestors(t):
         "version",
         F.when(F.col("number") > 1, F.concat(F.lit("v"), F.col("number") - 1)).alias("parent_version"),
     )
-    return provenance.version_ancestors(links, 3)
+    return provenance.version_ancestors(links)
 
 
 # -- objects -------------------------------------------------------------------------------------
@@ -384,7 +384,7 @@ def version_ancestors(t):
 
 @query(
     "object_listing",
-    "SELECT key, size FROM objects WHERE starts_with(key, 'datasets/Brand#1') ORDER BY key LIMIT 1000",
+    "SELECT key, size FROM objects WHERE starts_with(key, 'datasets/Brand#1')",
     ("objects",),
 )
 def object_listing(t):
@@ -397,7 +397,7 @@ def object_listing(t):
     ("objects",),
 )
 def prefix_counts(t):
-    return objects.list_prefix(t.objects, "datasets/Brand#1", None).agg(F.count("*").alias("n"))
+    return objects.list_prefix(t.objects, "datasets/Brand#1").agg(F.count("*").alias("n"))
 
 
 @query(

@@ -70,5 +70,4 @@ JUDGED = """judged AS (SELECT t.contract_id, t.clause_category, t.truth, t.text_
         coalesce(d.converged, false) AS converged, coalesce(d.responses, 0) AS responses,
         coalesce(d.red_flagged, 0) AS red_flagged, coalesce(d.discarded, 0) AS discarded,
         coalesce(d.answer, 'NO') = t.truth AS correct
-    FROM tasks t LEFT JOIN decided d USING (contract_id, clause_category)
-    WHERE t.contract_id IN (SELECT contract_id FROM vote_log))"""
+    FROM tasks t LEFT JOIN decided d USING (contract_id, clause_category))"""

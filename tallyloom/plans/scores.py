@@ -74,7 +74,9 @@ _BLEU_CTES = (
 
 @query(
     "ngram_overlaps",
-    "SELECT pos, n, cast(p AS bigint) AS p, cast(r AS bigint) AS r, cast(o AS bigint) AS overlap FROM counted",
+    """SELECT pos, n, cast(coalesce(p, 0) AS bigint) AS p, cast(coalesce(r, 0) AS bigint) AS r,
+              cast(coalesce(o, 0) AS bigint) AS overlap
+       FROM (SELECT pos, n FROM pred_ref, (VALUES (1), (2), (3), (4)) v(n)) LEFT JOIN counted USING (pos, n)""",
     PR,
     _overlap_ctes(_BLEU_TOKENS, 4),
 )
@@ -84,7 +86,7 @@ def ngram_overlaps(t):
         overlap.bleu_tokens(F.col("prediction")).alias("p"),
         overlap.bleu_tokens(F.col("reference")).alias("r"),
     )
-    return overlap.ngram_overlap(tokens, 4).where(F.col("p") + F.col("r") > 0)
+    return overlap.ngram_overlap(tokens, 4)
 
 
 @query("bleu_scores", "SELECT pos, round(bleu, 6) AS bleu FROM bleu", PR, _BLEU_CTES)
@@ -110,15 +112,12 @@ def _f(n: int) -> str:
 
 @query(
     "rouge_unstemmed",
-    f"SELECT pos, {_f(1)} AS rouge1, {_f(2)} AS rouge2 FROM counted GROUP BY 1",
+    f"SELECT pos, {_f(1)} AS rouge1, {_f(2)} AS rouge2 FROM pred_ref LEFT JOIN counted USING (pos) GROUP BY 1",
     PR,
     _overlap_ctes(_ROUGE_TOKENS, 2),
 )
 def rouge_unstemmed(t):
-    scores = overlap.rouge_scores(t.pred_ref, stemmed=False, longest=False)
-    # texts without any letter or digit have no n-grams and so no row in the oracle
-    has_word = F.lower(F.concat("prediction", "reference")).rlike("[a-z0-9]")
-    return r6(scores.join(t.pred_ref.where(has_word).select("pos"), "pos", "left_semi"))
+    return r6(overlap.rouge_scores(t.pred_ref, stemmed=False, longest=False))
 
 
 @query("rouge_scores")
@@ -538,7 +537,7 @@ def _load_responder():
 def answered_tasks(t):
     """Tasks answered in blocks until decided, then voted on."""
     tasks = reviewed_tasks(t)
-    log = scoring.answer_until_decided(tasks, _load_responder, shared_dir(t.spark, "answers"), block=10, max_rounds=20)
+    log = scoring.answer_until_decided(tasks, _load_responder, shared_dir(t.spark, "answers"), block=10)
     decided = voting.vote(tasks, log, failed="failed")
     return decided.select("contract_id", "clause_category", "answer", "total_votes", "converged")
 
@@ -546,8 +545,7 @@ def answered_tasks(t):
 @query(
     "experiment_document",
     """SELECT contract_id, truth_list FROM (SELECT contract_id, string_agg(clause_category || '=' || truth, ','
-         ORDER BY clause_category) AS truth_list FROM tasks WHERE contract_id IN (SELECT contract_id FROM vote_log)
-         GROUP BY 1)""",
+         ORDER BY clause_category) AS truth_list FROM tasks GROUP BY 1)""",
     ("contracts", "vote_log"),
     TASKS,
 )

@@ -14,6 +14,14 @@ def event_stream(t: Tables):
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def shuffled_stream(t: Tables):
+    """The events out of order in several files, one per batch."""
+    parts = shared_dir(t.spark, "events")
+    t.events.repartition(4, F.xxhash64("event_id")).write.parquet(parts)
+    stream = watch.new_files(t.spark, parts, t.events.schema, per_check=1)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def collected(t: Tables, stream, schema: str, out: str | None = None, checkpoint: str | None = None):
     """Run a stream once into a table and read that table."""
     out = out or shared_dir(t.spark, "out")
@@ -28,7 +36,7 @@ def collected(t: Tables, stream, schema: str, out: str | None = None, checkpoint
 def watch_new_items(t):
     """Two checks with one checkpoint: the second finds nothing new."""
     out, checkpoint = shared_dir(t.spark, "out"), shared_dir(t.spark, "checkpoint")
-    stream = event_stream(t).select("event_id", "event_type")
+    stream = shuffled_stream(t).select("event_id", "event_type")
     collected(t, stream, "event_id long, event_type string", out, checkpoint)
     seen = collected(t, stream, "event_id long, event_type string", out, checkpoint)
     return seen.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("items"))
@@ -40,7 +48,7 @@ def watch_new_items(t):
 )
 def watch_after_reset(t):
     """A fresh checkpoint with a fresh output starts over and gets every item again."""
-    stream = event_stream(t).select("event_id", "event_type")
+    stream = shuffled_stream(t).select("event_id", "event_type")
     first = collected(t, stream, "event_id long, event_type string")
     again = collected(t, stream, "event_id long, event_type string")
     return first.unionByName(again).groupBy("event_type").agg(F.count("*").alias("n"))
@@ -52,7 +60,7 @@ def watch_after_reset(t):
 )
 def watch_after_baseline(t):
     known = t.customer.where(F.col("c_acctbal") > 0).select(F.col("c_custkey").alias("user_id"))
-    stream = watch.after_baseline(event_stream(t), known, "user_id").select("event_id", "user_id")
+    stream = watch.after_baseline(shuffled_stream(t), known, "user_id").select("event_id", "user_id")
     return collected(t, stream, "event_id long, user_id long")
 
 
@@ -61,7 +69,7 @@ def watch_after_baseline(t):
     "SELECT count(*) AS n, count(DISTINCT user_id) AS users FROM (SELECT DISTINCT user_id, event_type FROM events)",
 )
 def watch_distinct_users(t):
-    stream = watch.first_of_key(event_stream(t), ["user_id", "event_type"], "ts", "60 days")
+    stream = watch.first_of_key(shuffled_stream(t), ["user_id", "event_type"])
     seen = collected(t, stream.select("user_id", "event_type"), "user_id long, event_type string")
     return seen.agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
 
@@ -76,33 +84,39 @@ def synced_sources(t):
     """Events with broken JSON go to the reject table, the others to two targets."""
     out = shared_dir(t.spark, "sync")
     text = F.when(F.col("event_id") % 17 == 0, "{bad").otherwise(F.col("props"))
-    stream = event_stream(t).withColumn("props", text)
+    stream = shuffled_stream(t).withColumn("props", text)
     writers = {
         "metrics": lambda good: good.select("event_id", "value"),
         "users": lambda good: good.select("user_id").distinct(),
     }
     good = F.try_parse_json("props").isNotNull()
     watch.run_once(watch.sync_sources(stream, good, writers, out, shared_dir(t.spark, "checkpoint")))
-    schemas = {"metrics": "event_id long, value double", "users": "user_id long", "rejected": SCHEMAS["events"]}
-    parts = [
-        t.spark.read.schema(schema).parquet(f"{out}/{name}").agg(F.count("*").alias("n")).select(F.lit(name).alias("target"), "n")
-        for name, schema in schemas.items()
-    ]
+    schemas = {"metrics": "event_id long, value double", "users": "user_id long", "rejected": "event_id long"}
+    # a user may come in several batches: the keyed target is merged on its key when it is read
+    keys = {"users": ["user_id"]}
+    parts = []
+    for name, schema in schemas.items():
+        rows = t.spark.read.schema(schema).parquet(f"{out}/{name}")
+        rows = rows.dropDuplicates(keys[name]) if name in keys else rows
+        parts.append(rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("target"), "n"))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query(
     "live_metrics",
     """SELECT strftime(d, '%Y-%m-%d') AS day, event_type, round(avg(value), 6) AS mean,
-              round(max(value), 6) AS max, count(value) AS n
-       FROM (SELECT *, date_trunc('day', ts) AS d FROM events)
-       WHERE d + interval 1 day <= (SELECT max(ts) - interval 1 hour FROM events) GROUP BY ALL""",
+              round(max(value), 6) AS max, count(value) AS n,
+              d + interval 1 day <= (SELECT max(ts) - interval 1 hour FROM events) AS closed
+       FROM (SELECT *, date_trunc('day', ts) AS d FROM events) GROUP BY ALL""",
 )
 def live_metrics(t):
-    """Daily values of each kind; a day comes out once the watermark has passed it."""
-    stream = watch.live_metrics(event_stream(t), "ts", ["event_type"], "value", "1 day", "1 hour")
-    done = collected(t, stream, "start timestamp, event_type string, mean double, max double, n long")
-    return r6(done.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "mean", "max", "n"))
+    """Daily values of each kind, whatever the order of the files; days near the latest event are open."""
+    out = shared_dir(t.spark, "metrics")
+    running = watch.metric_parts(shuffled_stream(t), "ts", ["event_type"], "value", "1 day", out, shared_dir(t.spark, "checkpoint"))
+    watch.run_once(running)
+    schema = "start timestamp, end timestamp, event_type string, sum double, max double, n long, latest timestamp"
+    done = watch.merged_metrics(t.spark.read.schema(schema).parquet(out), ["event_type"], "1 hour")
+    return r6(done.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "mean", "max", "n", "closed"))
 
 
 @query(

@@ -11,12 +11,9 @@ TASK = list(voting.TASK)
 
 
 def reviewed_tasks(t: Tables):
-    """The clause tasks of the contracts that have responses."""
-    contracts = t.contracts.join(
-        t.events.select(F.col("user_id").alias("id")).distinct(), "id", "left_semi"
-    )
-    tasks = landing.clause_tasks(contracts.drop("text"))
-    lengths = contracts.select(F.col("id").alias("contract_id"), "text_length")
+    """The clause tasks of all contracts, also of those without any response."""
+    tasks = landing.clause_tasks(t.contracts.drop("text"))
+    lengths = t.contracts.select(F.col("id").alias("contract_id"), "text_length")
     return tasks.join(lengths, "contract_id")
 
 
@@ -294,7 +291,7 @@ def scaling_laws(t):
     "clause_prompts",
     """SELECT id AS contract_id, clause_category, length(p) AS prompt_chars, md5(p) AS prompt_md5
        FROM (SELECT id, clause_category, 'Given this contract text, does it contain a '
-               || clause_category || ' clause?\n\nContract:\n' || substr(text, 1, 4000)
+               || clause_category || ' clause?\n\nContract:\n' || text
                || '\n\nInstructions:\n- Answer YES or NO\n- Provide a brief explanation citing specific'
                || ' contract text\n- Be concise (under 200 words)\n\nAnswer:' AS p
              FROM contracts, (VALUES ('quality'), ('toxic')) c(clause_category))""",

@@ -56,14 +56,47 @@ def after_baseline(stream: DataFrame, baseline: DataFrame, key: str) -> DataFram
     return stream.join(baseline.select(key), key, "left_anti")
 
 
-def first_of_key(stream: DataFrame, keys: list[str], ts: str, late: str) -> DataFrame:
-    """One row per key; repeats are dropped if they come at most ``late`` after the first.
+def first_of_key(stream: DataFrame, keys: list[str], ts: str | None = None, late: str | None = None) -> DataFrame:
+    """One row per key, however late a repeat comes: the state holds every key.
 
-    The state is bounded by the watermark.
+    With ``ts`` and ``late`` the state is bounded instead, and a repeat that comes later than that after
+    the first counts as new.
     """
+    if ts is None or late is None:
+        return stream.dropDuplicates(keys)
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
+def metric_parts(
+    stream: DataFrame, ts: str, keys: list[str], value: str, width: str, out: str, checkpoint: str, interval: str | None = None
+) -> StreamingQuery:
+    """Append each batch's sums per key and time window; no event is too late for them.
+
+    A batch writes one row per key and window it touches, and a repeated batch replaces its own.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        sums = batch.groupBy(F.window(ts, width).alias("window"), *keys).agg(
+            F.sum(value).alias("sum"), F.max(value).alias("max"), F.count(value).alias("n"), F.max(ts).alias("latest")
+        )
+        rows = sums.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *keys, "sum", "max", "n", "latest")
+        rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**_trigger(interval)).start()
+
+
+def merged_metrics(parts: DataFrame, keys: list[str], late: str) -> DataFrame:
+    """Mean, maximum and number per key and window of all batches so far.
+
+    ``closed`` tells the windows that ended at least ``late`` before the latest event.
+    """
+    newest = parts.agg(F.max("latest").alias("m")).select(F.col("m") - F.expr(f"interval {late}")).scalar()
+    done = parts.groupBy("start", "end", *keys).agg(
+        (F.sum("sum") / F.sum("n")).alias("mean"), F.max("max").alias("max"), F.sum("n").alias("n")
+    )
+    return done.withColumn("closed", F.col("end") <= newest)
+
+
 def live_metrics(stream: DataFrame, ts: str, keys: list[str], value: str, width: str, late: str) -> DataFrame:
     """Mean, maximum and number of values per key and time window."""
     return (
