@@ -44,7 +44,7 @@ GENERATORS = (
     ("card", r"[0-9](?:[\x20-]?[0-9])++", "digit"),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "digit AND instr(t, '+') > 0"),
     ("mail", r"[A-Za-z0-9._%+-]++ ?[(\[{]at[)\]}] ?[A-Za-z0-9-]++(?: ?(?:\.|[(\[{]dot[)\]}]) ?[A-Za-z0-9-]++)++", "t rlike '[(\\\\[{]at[)\\\\]}]'"),
-    ("number", r"(?<![0-9A-Za-z])[0-9](?:[ ()./-]{0,2}[0-9]){6,}", "digit"),
+    ("number", r"(?<![0-9A-Za-z])[0-9](?:[ ()./-]{0,2}+[0-9]){6,}+", "digit"),
     ("secret", r"(?<![\p{L}0-9_])(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{16,}+", "digit"),
 )
 CUES = {
@@ -202,8 +202,9 @@ def spans(docs: DataFrame, model: Redactor, text: str = "text") -> DataFrame:
 
 def redacted(docs: DataFrame, model: Redactor, text: str = "text") -> DataFrame:
     """``docs`` with every span in ``text`` replaced by its kind in brackets; overlapping spans are one."""
-    columns = docs.columns
-    rows = spans(docs.withColumn("__null", F.col(text).isNull()), model, text)
+    # the row travels as one column, so its names cannot clash with those made here
+    held = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    rows = spans(docs.select(held, F.col(f"`{text}`").alias("__text")), model, "__text")
     done = F.expr(
         """aggregate(spans, named_struct('at', 0, 'out', cast(array() AS array<string>)),
             (a, c) -> CASE WHEN c.e <= a.at THEN a
@@ -211,8 +212,8 @@ def redacted(docs: DataFrame, model: Redactor, text: str = "text") -> DataFrame:
                 ELSE named_struct('at', c.e, 'out', concat(a.out, array(substring(t, a.at + 1, c.s - a.at), concat('[', upper(c.kind), ']')))) END,
             a -> concat(array_join(a.out, ''), substring(t, a.at + 1)))"""
     )
-    rows = rows.withColumn("__new", F.when(F.col("__null"), F.lit(None)).when(F.size("spans") == 0, F.col("t")).otherwise(done))
-    return rows.select(*[F.col("__new").alias(c) if c == text else F.col(f"`{c}`") for c in columns])
+    rows = rows.withColumn("__new", F.when(F.col("__text").isNull(), F.lit(None)).when(F.size("spans") == 0, F.col("t")).otherwise(done))
+    return rows.select(*[F.col("__new").alias(c) if c == text else F.col(f"__row.`{c}`") for c in docs.columns])
 
 
 def pii_query(documents: DataFrame) -> DataFrame:

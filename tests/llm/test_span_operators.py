@@ -67,6 +67,8 @@ def test_pii_base_by_brute_force(spark):
     assert Counter((r["doc_id"], r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"]) for r in got) == want
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
     for r in got:
+        if r["doc_id"] is None:  # two different texts
+            continue
         spans = [s.split(":") for s in r["spans"].split(",") if s]
         ends = [(int(s), int(e)) for _, s, e in spans]
         assert ends == sorted(ends, key=lambda x: x[0]) and all(0 <= s < e <= len(texts[r["doc_id"]]) for s, e in ends)
@@ -74,7 +76,7 @@ def test_pii_base_by_brute_force(spark):
 
 
 def test_pii_trees_select_secrets_and_leave_prose_alone(spark):
-    docs = pii_rows(spark)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text")
     model = pii.Redactor.fit(docs)
     assert model.thresholds
     rows = pii.spans(docs, model).select("t", "spans").collect()
