@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.common import Store, bounded
 
-KEPT = 200_000
+KEPT = 120_000
 BLOCK_CHARS = 1 << 23
 FILE = "word_bpe_49k.json"
 # white space of the file's expressions

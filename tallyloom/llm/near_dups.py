@@ -40,7 +40,7 @@ BANDS = HASHES // ROWS
 BITS = 4
 PERCENT = 80
 BLOCK = 2000
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 LOWEST_LANE = U64(0x1111111111111111)
 LARGEST = (1 << 63) - 1
 NO_ID = LARGEST - (1 << 40)  # stands, with a hash below it, for a null id

@@ -37,8 +37,8 @@ COVERED = 0.8
 AGREED = 0.6
 LITERALS = 2
 LOCAL_WINDOWS = 2_000_000
-BLOCK_CHARS = 1 << 21
-KEPT = 400_000
+BLOCK_CHARS = 1 << 20
+KEPT = 200_000
 
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?\n]")
 NUMBER_WORDS = frozenset(
