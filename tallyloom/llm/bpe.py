@@ -192,12 +192,13 @@ def encoded(docs: DataFrame, text: str = "text", path: str | None = None, tokens
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             for a, b in bounded([len(t) for t in texts], BLOCK_CHARS):
                 counts, ids, decoded = bpe.codes(texts[a:b])
-                ids, decoded = ids.to_pylist(), decoded.to_pylist()
                 columns = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
-                columns += [pa.array(counts, pa.int64()), digest(ids), digest(decoded)]
+                columns += [pa.array(counts, pa.int64()), digest(ids.to_pylist()), digest(decoded.to_pylist())]
                 if tokens:
-                    numbers = [[int(x) for x in i.split(" ") if x] for i in ids]
-                    columns += [pa.array(numbers, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                    numbers = pc.split_pattern(ids, " ").flatten()
+                    numbers = numbers.filter(pc.not_equal(numbers, "")).cast(pa.int32())
+                    bounds = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+                    columns += [pa.ListArray.from_arrays(bounds, numbers), decoded]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(added if tokens else added[:3])])
 
     kinds = ["long", "string", "string", "array<int>", "string"]
