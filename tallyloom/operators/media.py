@@ -52,23 +52,23 @@ def readable(json: Column) -> Column:
     )
 
 
-def visual_samples(files: DataFrame, captions: DataFrame, sidecars: DataFrame, on: str = "stem") -> DataFrame:
+def visual_samples(files: DataFrame, captions: DataFrame, sidecars: DataFrame) -> DataFrame:
     """Images of a data set with their caption and metadata, where there are any.
 
-    ``on`` is ``stem``, or ``base`` when sidecars of several folders must not be mixed.
+    A sidecar belongs to the image of its own folder and stem: both sides meet on ``base``.
     """
     images = path_parts(select_media(files, px.DATASET_EXTENSIONS, hidden=False))
-    found = captions.select(on, F.trim("caption").alias("caption"))
+    found = captions.select("base", F.trim("caption").alias("caption"))
     meta = sidecars.where(readable(F.col("json"))).select(
-        on, *[c.alias(n) for n, c in sidecar_fields(F.col("json")).items()]
+        "base", *[c.alias(n) for n, c in sidecar_fields(F.col("json")).items()]
     )
-    return images.join(found, on, "left").join(meta, on, "left")
+    return images.join(found, "base", "left").join(meta, "base", "left")
 
 
-def training_pairs(files: DataFrame, captions: DataFrame, on: str = "stem") -> DataFrame:
-    """Images that have a caption."""
+def training_pairs(files: DataFrame, captions: DataFrame) -> DataFrame:
+    """Images that have a caption in their own folder."""
     images = path_parts(select_media(files, px.PAIR_EXTENSIONS))
-    return images.join(captions.select(on, F.trim("caption").alias("caption")), on)
+    return images.join(captions.select("base", F.trim("caption").alias("caption")), "base")
 
 
 def media_counts(files: DataFrame, source: Column) -> DataFrame:

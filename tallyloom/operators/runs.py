@@ -30,8 +30,8 @@ def since(runs: DataFrame, duration: str, as_of: Column) -> DataFrame:
 
 
 def last_values(metrics: DataFrame) -> DataFrame:
-    """The last tracked value of each metric of each run."""
-    return metrics.groupBy(*SERIES).agg(F.max_by("value", "step").alias("value"))
+    """The last tracked value of each metric of each run; of several at the last step, the largest."""
+    return metrics.groupBy(*SERIES).agg(F.max_by("value", F.struct("step", "value")).alias("value"))
 
 
 def epoch_loss(metrics: DataFrame, steps_per_epoch: int) -> DataFrame:
@@ -41,10 +41,10 @@ def epoch_loss(metrics: DataFrame, steps_per_epoch: int) -> DataFrame:
 
 
 def run_summary(metrics: DataFrame) -> DataFrame:
-    """Best and final value of each series."""
+    """Best and final value of each series; of several at the last step, the largest."""
     return metrics.groupBy(*SERIES).agg(
         F.min("value").alias("best"),
-        F.max_by("value", "step").alias("final"),
+        F.max_by("value", F.struct("step", "value")).alias("final"),
         F.count("*").alias("steps"),
     )
 
@@ -134,7 +134,7 @@ def metric_entries(last: DataFrame, cut: int | None = None) -> DataFrame:
 def param_entries(params: Mapping[str, T.DataType]) -> Column:
     return F.array(
         *[
-            F.struct(F.lit(n).alias("key"), F.coalesce(tx.show_value(F.col(n), t, 50), F.lit("None")).alias("text"))
+            F.struct(F.lit(n).alias("key"), F.coalesce(tx.show_value(F.col(n), t), F.lit("None")).alias("text"))
             for n, t in params.items()
         ]
     )

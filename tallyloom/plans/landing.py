@@ -16,6 +16,7 @@ def ext_list(extensions) -> str:
 
 NAME = "regexp_extract(path, '[^/]*$')"
 SUFFIX = f"lower(regexp_extract({NAME}, '^.+(\\.[^.]+)$', 1))"
+BASE = "regexp_replace(path, '([^/])\\.[^./]+$', '\\1')"
 STEM = f"regexp_replace({NAME}, '^(.+)\\.[^.]+$', '\\1')"
 
 
@@ -333,23 +334,23 @@ def samples_per_source(t):
 @query(
     "images_with_captions",
     f"""SELECT media_id, stem, md5(caption) AS caption_md5 FROM (SELECT *, {STEM} AS stem FROM media_files
-          WHERE {_DATASET}) LEFT JOIN (SELECT stem, trim(caption, ' ') AS caption FROM captions) USING (stem)""",
-    ("media_files", "captions"),
+          WHERE {_DATASET}) m LEFT JOIN (SELECT base, trim(caption, ' ') AS caption FROM folder_captions) c
+          ON c.base = {BASE}""",
+    ("media_files", "folder_captions", "folder_sidecars"),
 )
 def images_with_captions(t):
-    images = media.path_parts(media.select_media(t.media_files, px.DATASET_EXTENSIONS, hidden=False))
-    found = t.captions.select("stem", F.md5(F.trim("caption")).alias("caption_md5"))
-    return images.join(found, "stem", "left").select("media_id", "stem", "caption_md5")
+    samples = media.visual_samples(t.media_files, t.folder_captions, t.folder_sidecars)
+    return samples.select("media_id", "stem", F.md5("caption").alias("caption_md5"))
 
 
 @query(
     "training_pairs",
-    f"""SELECT media_id, length(trim(caption, ' ')) AS caption_chars FROM (SELECT *, {STEM} AS stem
-          FROM media_files WHERE {SUFFIX} IN {ext_list(px.PAIR_EXTENSIONS)}) JOIN captions USING (stem)""",
-    ("media_files", "captions"),
+    f"""SELECT media_id, length(trim(caption, ' ')) AS caption_chars FROM (SELECT *, {BASE} AS base
+          FROM media_files WHERE {SUFFIX} IN {ext_list(px.PAIR_EXTENSIONS)}) JOIN folder_captions USING (base)""",
+    ("media_files", "folder_captions"),
 )
 def training_pairs(t):
-    pairs = media.training_pairs(t.media_files, t.captions)
+    pairs = media.training_pairs(t.media_files, t.folder_captions)
     return pairs.select("media_id", F.char_length("caption").alias("caption_chars"))
 
 
@@ -393,12 +394,12 @@ def metrics_json_check(t):
 
 @query(
     "images_with_sidecars",
-    f"""SELECT media_id, m.title, m.score FROM (SELECT *, {STEM} AS stem FROM media_files WHERE {_DATASET})
-        LEFT JOIN (SELECT stem, {_SIDE} FROM sidecar_json WHERE {_OBJECT} = 'OBJECT') m USING (stem)""",
-    ("media_files", "sidecar_json"),
+    f"""SELECT media_id, m.title, m.score FROM (SELECT *, {BASE} AS base FROM media_files WHERE {_DATASET})
+        LEFT JOIN (SELECT base, {_SIDE} FROM folder_sidecars WHERE {_OBJECT} = 'OBJECT') m USING (base)""",
+    ("media_files", "folder_captions", "folder_sidecars"),
 )
 def images_with_sidecars(t):
-    return media.visual_samples(t.media_files, t.captions, t.sidecar_json).select("media_id", "title", "score")
+    return media.visual_samples(t.media_files, t.folder_captions, t.folder_sidecars).select("media_id", "title", "score")
 
 
 @query(

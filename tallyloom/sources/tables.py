@@ -99,6 +99,23 @@ VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
                             || '", "score": ' || cast(user_id AS string) || '}' END AS json
            FROM {events}""",
     ),
+    # captions and sidecars beside the files, and others of the same names in another folder
+    "folder_captions": (
+        ("documents", "part"),
+        """SELECT '/data/collected/' || lower(p_type) || '/' || cast(doc_id AS string) AS base, text AS caption
+           FROM {documents} JOIN {part} ON p_partkey = doc_id
+           UNION ALL
+           SELECT '/data/collected/other/' || cast(doc_id AS string), 'other ' || text FROM {documents}""",
+    ),
+    "folder_sidecars": (
+        ("events", "part"),
+        """SELECT '/data/collected/' || lower(p_type) || '/' || cast(event_id AS string) AS base,
+                  CASE WHEN event_type = 'view' THEN '{bad' WHEN event_type = 'error' THEN '[1, 2]'
+                       ELSE '{"title": "' || event_type || '", "score": ' || cast(user_id AS string) || '}' END AS json
+           FROM {events} JOIN {part} ON p_partkey = event_id
+           UNION ALL
+           SELECT '/data/collected/other/' || cast(event_id AS string), '{"title": "other"}' FROM {events}""",
+    ),
     "collections": (
         ("supplier", "nation"),
         """SELECT 'col-s' || cast(s_suppkey AS string) AS id, 'collection' AS type, s_name AS name,

@@ -50,10 +50,10 @@ def test_sidecars_of_two_folders(spark, tmp_path):
     (tmp_path / "two" / "x.json").write_text('{"title": "T"}')
     files = readers.media_folder(spark, str(tmp_path), px.IMAGE_EXTENSIONS)
     captions = readers.caption_sidecars(spark, str(tmp_path))
-    samples = media.visual_samples(files, captions, readers.json_sidecars(spark, str(tmp_path)), on="base")
+    samples = media.visual_samples(files, captions, readers.json_sidecars(spark, str(tmp_path)))
     got = {r["source_dir"]: (r["caption"], r["title"]) for r in samples.collect()}
     assert got == {"one": ("caption one", None), "two": ("caption two", "T")}
-    assert media.training_pairs(files, captions, on="base").count() == 2
+    assert media.training_pairs(files, captions).count() == 2
 
 
 def test_object_folder(spark, folder):
