@@ -18,9 +18,10 @@ def tag_list(tags: Column) -> Column:
     return F.coalesce(F.from_json(tags, "array<string>"), F.array().cast("array<string>"))
 
 
-def note_name(year: Column, title: Column) -> Column:
-    """The note's file name; the slug is cut to 50 characters."""
-    return F.concat(year.cast("string"), F.lit("-"), F.substring(tx.slug(title), 1, 50), F.lit(".md"))
+def note_name(year: Column, title: Column, key: Column) -> Column:
+    """The note's file name: a short slug to read, and the paper's id, which no other paper has."""
+    slug = F.substring(tx.slug(title), 1, 50)
+    return F.concat(year.cast("string"), F.lit("-"), slug, F.lit("-"), key.cast("string"), F.lit(".md"))
 
 
 # The layout of a paper note.
@@ -60,7 +61,7 @@ def notes(papers: DataFrame) -> DataFrame:
             "doi_line": line,
         },
     )
-    return papers.select(note_name(F.col("year"), F.col("title")).alias("filename"), content.alias("content"))
+    return papers.select(note_name(F.col("year"), F.col("title"), F.col("id")).alias("filename"), content.alias("content"))
 
 
 def bibtex(papers: DataFrame) -> DataFrame:

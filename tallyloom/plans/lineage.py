@@ -458,11 +458,11 @@ def paper_search_count(t):
 
 @query(
     "paper_note_names",
-    f"SELECT id, year || '-' || substr({SLUG.format('title')}, 1, 50) || '.md' AS filename FROM papers",
+    f"SELECT id, year || '-' || substr({SLUG.format('title')}, 1, 50) || '-' || id || '.md' AS filename FROM papers",
     P,
 )
 def paper_note_names(t):
-    return t.papers.select("id", papers.note_name(F.col("year"), F.col("title")).alias("filename"))
+    return t.papers.select("id", papers.note_name(F.col("year"), F.col("title"), F.col("id")).alias("filename"))
 
 
 @query(
@@ -478,7 +478,7 @@ def paper_tags(t):
 
 @query(
     "paper_notes",
-    f"""SELECT year || '-' || substr({SLUG.format('title')}, 1, 50) || '.md' AS filename, md5(
+    f"""SELECT year || '-' || substr({SLUG.format('title')}, 1, 50) || '-' || id || '.md' AS filename, md5(
         '---\ntype: paper\ntitle: "' || title || '"\nauthors: "' || authors || '"\nyear: ' || year
         || '\ndoi: "' || doi || '"\nstatus: unread\ntags:\n  - paper\n  - auto-generated\n  - '
         || json_extract_string(tags, '$[0]') || '\n  - ' || json_extract_string(tags, '$[1]')
