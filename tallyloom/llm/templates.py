@@ -1,28 +1,36 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units become typed placeholders, so a question whose figures or names were exchanged
-keeps its template.  Windows of ``SIZE`` template words of documents and benchmark items are hash-joined.
-An item is found in a document when the windows that meet cover at least ``COVERED`` of its words and the
-slots agree: along one diagonal the same item value must stand for the same document value.
-
-Words are runs of letters or numbers (with inner . and ,).  A capitalised word is a name unless it begins
-a sentence or line, or is all capitals; names in a row are one.  Number words count as numbers, a unit is a known unit word
-right after a number.  Windows need ``LITERALS`` words that are not placeholders.  An item's first word
-is tried both as a word and as a name, as a document may continue a sentence with it.
-
-If the benchmark has at most ``LOCAL_WINDOWS`` windows (counted), their hashes are sent to the tasks to
-drop other windows before the join; a larger benchmark is joined with all windows instead.  Rows are the
-same either way.
-
-Defined results: null texts and texts of fewer than ``SIZE`` template words meet nothing, and neither do
-items of fewer.  Rows of the same id and text are one document; ids may be null.  An empty table on
-either side gives an empty table.  Other columns are ignored.
+keeps its template.  Windows of ``SIZE`` template words of documents and benchmark items are hash-joined,
+and so are windows of ``SIZE`` plain words in lower case, which letter case cannot change.  An item is found
+in a document when the windows that meet cover at least ``COVERED`` of its words and the slots agree: along
+one diagonal the same item value must stand for the same document value.
+
+Words are runs of letters or numbers (with inner . and ,); each letter of a script without spaces is a word.
+A capitalised word is a name unless it begins a sentence or line, or is all capitals; names in a row are one.
+Number words count as numbers, a unit is a known unit word right after a number.  Template windows need
+``LITERALS`` words that are not placeholders.  An item's first word is tried both as a word and as a name,
+as a document may continue a sentence with it.
+
+Templates alone are judged by the words that an item's template windows can cover.  Where these are fewer
+than ``COVERED`` of all its words, only its plain words can find it; plain windows cover any item of
+``SIZE`` words or more, so every copy is found.  An item of fewer words is found where all its plain words
+stand in a row.
+
+If the benchmark has at most ``LOCAL_WINDOWS`` windows and words (counted), their hashes are sent to the
+tasks to drop other windows before the join; a larger benchmark is joined with all windows instead.  Rows
+are the same either way.
+
+Defined results: null texts and texts without words meet nothing, and neither do such items.  Rows of the
+same id and text are one document; ids may be null.  An empty table on either side gives an empty table.
+Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +48,9 @@ LOCAL_WINDOWS = 2_000_000
 BLOCK_CHARS = 1 << 20
 KEPT = 200_000
 
-TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?\n]")
+# scripts without spaces: Thai to Myanmar, Khmer, kana, Han
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+TOKEN = re.compile(rf"\d+(?:[.,]\d+)*|(?:(?![{UNSPACED}])[^\W\d_])+|(?=[{UNSPACED}])[^\W\d_]|[.!?\n]")
 NUMBER_WORDS = frozenset(
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
     " seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand"
@@ -54,13 +64,16 @@ UNITS = frozenset(
     " percent dollar dollars euro euros cent cents mph kmh".split()
 )
 WORD, NUMBER, UNIT, CAPITAL, STOP = range(5)
+TEMPLATE, PLAIN, WHOLE = range(3)  # windows of template words, of plain words, short items as a whole
 NUMBER_MARK, UNIT_MARK, NAME_MARK = U64(0x4E554D), U64(0x554E4954), U64(0x4E414D45)
 
 
 class Lexicon:
-    """Hash and class of every word seen lately."""
+    """Hash and class of every word seen lately, and whether it is one of ``vocabulary`` (sorted hashes)."""
 
-    def __init__(self):
+    def __init__(self, vocabulary: np.ndarray | None = None):
+        self.vocabulary = vocabulary
+        self.listed = np.zeros(0, bool)
         self.places: dict[str, int] = {}
         self.hashes: list[int] = []
         self.kinds: list[int] = []
@@ -81,10 +94,10 @@ class Lexicon:
         self.places[token] = len(self.hashes) - 1
         return len(self.hashes) - 1
 
-    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Document, hash and class of all tokens."""
+    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Document, hash, class and membership in the vocabulary of all tokens."""
         if len(self.places) > KEPT:
-            self.__init__()
+            self.__init__(self.vocabulary)
         known, place = self.places.get, self.place
         codes, counts = [], []
         for text in texts:
@@ -93,76 +106,128 @@ class Lexicon:
             codes += [p if (p := known(t)) is not None else place(t) for t in found]
         at = np.array(codes, np.int64)
         owner = np.repeat(np.arange(len(texts)), counts)
-        return owner, np.array(self.hashes, U64)[at], np.array(self.kinds, np.int8)[at]
+        hashes = np.array(self.hashes, U64)
+        new = hashes[len(self.listed) :]
+        self.listed = np.append(self.listed, np.ones(len(new), bool) if self.vocabulary is None else member(self.vocabulary, new))
+        return owner, hashes[at], np.array(self.kinds, np.int8)[at], self.listed[at]
 
 
-def template_words(lexicon: Lexicon, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, template hash and slot value (0 for literal words) of each template word."""
-    owner, value, kind = lexicon.read(texts)
-    if not len(owner):
-        return owner, value, value
-    opens = np.concatenate([[True], (owner[1:] != owner[:-1]) | (kind[:-1] == STOP)])
-    after_number = np.concatenate([[False], (kind[:-1] == NUMBER) & (owner[1:] == owner[:-1])])
+def member(values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are among the sorted values."""
+    if not len(values):
+        return np.zeros(len(x), bool)
+    return values[np.minimum(np.searchsorted(values, x), len(values) - 1)] == x
+
+
+class Words(NamedTuple):
+    """Words of texts: document, hash, slot value (0 for literal words), place (begin, end), wanted or not."""
+
+    owner: np.ndarray
+    mark: np.ndarray
+    slot: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    wanted: np.ndarray
+
+
+def words_of(lexicon: Lexicon, texts: list[str], opened: bool = True) -> tuple[Words, Words]:
+    """The template words and the plain words of the texts; places are numbers of plain words.
+
+    Unless ``opened``, the texts are taken to continue a sentence.
+    """
+    owner, value, kind, listed = lexicon.read(texts)
+    opens = np.concatenate([[True], (owner[1:] != owner[:-1]) | (kind[:-1] == STOP)])[: len(owner)]
+    after_number = np.concatenate([[False], (kind[:-1] == NUMBER) & (owner[1:] == owner[:-1])])[: len(owner)]
+    if not opened:
+        opens &= np.concatenate([[False], owner[1:] == owner[:-1]])[: len(owner)]
     name = (kind == CAPITAL) & ~opens
     number, unit = kind == NUMBER, (kind == UNIT) & after_number
     mark = np.where(name, NAME_MARK, np.where(number, NUMBER_MARK, np.where(unit, UNIT_MARK, value)))
     slot = np.where(name | number | unit, value | U64(1), U64(0))
     keep = kind != STOP
-    owner, mark, slot, name = owner[keep], mark[keep], slot[keep], name[keep]
-    if not len(owner):
-        return owner, mark, slot
+    owner, value, mark, slot, name, listed = (x[keep] for x in (owner, value, mark, slot, name, listed))
+    n = len(owner)
+    place = np.arange(n) - np.searchsorted(owner, owner)
+    plain = Words(owner, value, np.zeros(n, U64), place, place + 1, listed)
+    if not n:
+        return plain, plain
     # a run of names is one name whose value is the sum of theirs
     goes_on = np.concatenate([[False], name[1:] & name[:-1] & (owner[1:] == owner[:-1])])
     starts = np.flatnonzero(~goes_on)
-    return owner[starts], mark[starts], np.add.reduceat(slot, starts)
+    ends = place[np.append(starts[1:], n) - 1] + 1
+    template = Words(
+        owner[starts], mark[starts], np.add.reduceat(slot, starts), place[starts], ends, (listed | (slot != 0))[starts]
+    )
+    return template, plain
 
 
-def windows(owner: np.ndarray, mark: np.ndarray, slot: np.ndarray):
-    """Document, place, hash and slots of the windows of SIZE template words."""
-    n = len(owner) - SIZE + 1
+def windows(words: Words, form: int, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
+    """Place in ``words`` and hash of the windows of ``size`` words, without those that have an unwanted word."""
+    n = len(words.owner) - size + 1
     if n <= 0:
-        none = np.zeros(0, np.int64)
-        return none, none, none.astype(U64), np.zeros((0, SIZE), U64)
-    first = np.searchsorted(owner, owner)
-    literal = np.concatenate([[0], np.cumsum(slot == 0)])
-    whole = (owner[:n] == owner[SIZE - 1 :]) & (literal[SIZE:] - literal[:-SIZE] >= LITERALS)
+        return np.zeros(0, np.int64), np.zeros(0, U64)
+    whole = words.owner[:n] == words.owner[size - 1 :]
+    if not words.wanted.all():
+        missing = np.concatenate([[0], np.cumsum(~words.wanted)])
+        whole &= missing[size:] == missing[:-size]
+    if form == TEMPLATE:
+        literal = np.concatenate([[0], np.cumsum(words.slot == 0)])
+        whole &= literal[size:] - literal[:-size] >= LITERALS
     at = np.flatnonzero(whole)
-    h = np.zeros(len(at), U64)
-    for j in range(SIZE):
-        h = mixed(h + MIX_A) ^ mark[at + j] * MIX_C
-    return owner[at], at - first[at], mixed(h), np.stack([slot[at + j] for j in range(SIZE)], axis=1)
+    h = np.full(len(at), U64(form * 64 + size), U64)
+    for j in range(size):
+        h = mixed(h + MIX_A) ^ words.mark[at + j] * MIX_C
+    return at, mixed(h)
+
+
+def short_lengths(sizes: Iterable[int]) -> list[int]:
+    return sorted({n for n in sizes if 0 < n < SIZE})
+
 
+SCHEMA = "key long, id long, h long, at int, begin int, end int, slots array<long>"
 
-SCHEMA = "key long, id long, h long, at int, slots array<long>"
 
+def document_windows(docs: DataFrame, text: str, key: str, lengths: list[int], wanted: tuple | None) -> DataFrame:
+    """Windows of the documents, and runs of as many words as short items have.
 
-def document_windows(docs: DataFrame, text: str, key: str, wanted: np.ndarray | None) -> DataFrame:
-    """Windows of the documents, only those with a hash in ``wanted`` if given."""
+    ``wanted``, if given, are the hashes of the items' words and windows; others are left out.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(wanted) if wanted is not None else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon()
+        lexicon = Lexicon(shared.value[0] if shared is not None else None)
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for a, b in bounded([len(t) for t in texts], BLOCK_CHARS):
-                of, at, h, slots = windows(*template_words(lexicon, texts[a:b]))
-                if shared is not None and len(shared.value):
-                    near = np.minimum(np.searchsorted(shared.value, h), len(shared.value) - 1)
-                    met = shared.value[near] == h
-                    of, at, h, slots = of[met], at[met], h[met], slots[met]
-                rows = pa.array(of + a)
-                flat = pa.array(slots.ravel().view(np.int64))
-                bounds = pa.array(np.arange(0, SIZE * len(of) + 1, SIZE, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(rows),
-                        batch.column(1).take(rows),
-                        pa.array(h.view(np.int64)),
-                        pa.array(at.astype(np.int32)),
-                        pa.ListArray.from_arrays(bounds, flat),
-                    ],
-                    names=["key", "id", "h", "at", "slots"],
-                )
+                template, plain = words_of(lexicon, texts[a:b])
+                for form, size in ((TEMPLATE, SIZE), (PLAIN, SIZE), *((WHOLE, n) for n in lengths)):
+                    words = template if form == TEMPLATE else plain
+                    at, h = windows(words, form, size)
+                    if shared is not None:
+                        met = member(shared.value[1], h)
+                        at, h = at[met], h[met]
+                    of = words.owner[at]
+                    if form == WHOLE and len(at):
+                        # one place of a short item in a document is enough
+                        order = np.lexsort((at, h, of))
+                        once = np.concatenate([[True], (np.diff(of[order]) != 0) | (h[order][1:] != h[order][:-1])])
+                        at, h, of = at[order][once], h[order][once], of[order][once]
+                    first = at - np.searchsorted(words.owner, of)
+                    slots = np.stack([words.slot[at + j] for j in range(SIZE)], axis=1) if form == TEMPLATE else np.zeros((len(at), 0), U64)
+                    bounds = np.arange(len(at) + 1, dtype=np.int32) * slots.shape[1]
+                    rows = pa.array(of + a)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0).take(rows),
+                            batch.column(1).take(rows),
+                            pa.array(h.view(np.int64)),
+                            pa.array(first.astype(np.int32)),
+                            pa.array(words.begin[at].astype(np.int32)),
+                            pa.array(words.end[at + size - 1].astype(np.int32)),
+                            pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(slots.ravel().view(np.int64))),
+                        ],
+                        names=["key", "id", "h", "at", "begin", "end", "slots"],
+                    )
 
     rows = docs.select(row_key(text, key).alias("key"), F.col(key).cast("long").alias("id"), text_or_empty(text).alias("t"))
     return rows.filter("t <> ''").mapInArrow(cut, SCHEMA)
@@ -173,67 +238,126 @@ def row_key(text: str = "text", key: str = "doc_id"):
     return F.xxhash64(F.col(key).isNull(), F.col(key), text_or_empty(text))
 
 
+INDEX = "item_key long, item long, words int, coverable int, form int, h long, item_at int, item_begin int, item_end int, item_slots array<long>"
+
+
+def item_rows(lexicon: Lexicon, body: str) -> tuple[int, int, list[tuple]]:
+    """Words of an item, how many of them its template windows cover, and its windows."""
+    template, plain = words_of(lexicon, [body])
+    n, rows, covered = len(plain.owner), [], set()
+    if 0 < n < SIZE:
+        _, h = windows(plain, WHOLE, n)
+        return n, 0, [(WHOLE, int(h.view(np.int64)[0]), 0, 0, n, [])]
+
+    def add(words: Words, form: int, only_first: bool = False) -> None:
+        at, h = windows(words, form)
+        for i, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
+            if only_first and i:
+                break
+            begin, end = int(words.begin[i]), int(words.end[i + SIZE - 1])
+            slots = words.slot[i : i + SIZE].view(np.int64).tolist() if form == TEMPLATE else []
+            rows.append((form, x, i, begin, end, slots))
+            if form == TEMPLATE:
+                covered.update(range(begin, end))
+
+    add(plain, PLAIN)
+    add(template, TEMPLATE)
+    if len(template.slot) and template.slot[0] == 0:
+        # the first word as a name, alone and with the names that follow it
+        mark, slot = template.mark.copy(), template.slot.copy()
+        mark[0], slot[0] = NAME_MARK, mark[0] | U64(1)
+        add(template._replace(mark=mark, slot=slot), TEMPLATE, True)
+        inside, _ = words_of(lexicon, [body], opened=False)
+        if len(inside.mark) < len(template.mark):
+            add(inside, TEMPLATE, True)
+    return n, len(covered), rows
+
+
 def item_windows(items: DataFrame, text: str, key: str) -> DataFrame:
-    """Windows of the benchmark's items: item, words (how many), h, at, slots."""
+    """Windows of the benchmark's items, with the items' number of words and of words that templates cover."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon()
         for batch in batches:
-            for item, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                owner, mark, slot = template_words(lexicon, [body])
-                _, at, h, slots = windows(owner, mark, slot)
-                if len(mark) and slot[0] == 0:
-                    value = mark[0] | U64(1)
-                    _, at2, h2, slots2 = windows(owner, np.append(NAME_MARK, mark[1:]), np.append(value, slot[1:]))
-                    head = at2 == 0
-                    at, h, slots = np.append(at, at2[head]), np.append(h, h2[head]), np.concatenate([slots, slots2[head]])
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "item": pa.array([item] * len(at), pa.int64()),
-                        "words": pa.array([len(mark)] * len(at), pa.int32()),
-                        "h": pa.array(h.view(np.int64)),
-                        "item_at": pa.array(at.astype(np.int32)),
-                        "item_slots": pa.array([list(map(int, r)) for r in slots.view(np.int64)], pa.list_(pa.int64())),
-                    }
+            for own, item, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n, coverable, rows = item_rows(lexicon, body)
+                columns = list(zip(*rows, strict=True)) or [()] * 6
+                types = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+                same = [pa.array([v] * len(rows), t) for v, t in ((own, pa.int64()), (item, pa.int64()), (n, pa.int32()), (coverable, pa.int32()))]
+                yield pa.RecordBatch.from_arrays(
+                    same + [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)],
+                    names=["item_key", "item", "words", "coverable", "form", "h", "item_at", "item_begin", "item_end", "item_slots"],
                 )
 
-    rows = items.select(F.col(key).cast("long").alias("i"), text_or_empty(text).alias("t"))
-    return rows.mapInArrow(cut, "item long, words int, h long, item_at int, item_slots array<long>")
+    rows = items.select(row_key(text, key).alias("k"), F.col(key).cast("long").alias("i"), text_or_empty(text).alias("t"))
+    return rows.distinct().mapInArrow(cut, INDEX)
+
+
+def item_words(items: DataFrame, text: str) -> DataFrame:
+    """Hashes of the distinct plain words of the items."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon()
+        for batch in batches:
+            _, plain = words_of(lexicon, batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(plain.mark).view(np.int64))], names=["w"])
+
+    return items.select(text_or_empty(text).alias("t")).mapInArrow(cut, "w long").distinct()
+
+
+def sent(column: DataFrame) -> np.ndarray:
+    return np.sort(column.toArrow().column(0).to_numpy().view(U64))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Pairs of a document and an item found in it: key, doc_id, item_id, similarity, agreed, first, last.
 
     ``similarity`` is the share of the item's words that windows cover, ``agreed`` the share of slot
-    values that are consistent; first and last are the template words of the document that take part.
+    values that are consistent; first and last are the (plain) words of the document that take part.
     """
     index = written(item_windows(items, "text", "item_id"), "templates")
+    lengths = short_lengths(r[0] for r in index.filter(F.col("form") == WHOLE).select("words").distinct().collect())
     hashes = index.select("h").distinct()
     wanted = None
     if hashes.count() <= LOCAL_WINDOWS:
-        wanted = np.sort(hashes.toArrow().column("h").to_numpy().view(U64))
-    cut = document_windows(docs, text, key, wanted)
+        vocabulary = written(item_words(items, "text"), "template-words")
+        if vocabulary.count() <= LOCAL_WINDOWS:
+            wanted = (sent(vocabulary), sent(hashes))
+    cut = document_windows(docs, text, key, lengths, wanted)
     met = cut.join(index, "h").withColumn("diagonal", F.col("at") - F.col("item_at"))
     met = written(met.drop("h"), "template-hits")
-    covered = F.expr(f"transform(sequence(0, {SIZE - 1}), j -> item_at + j)")
-    found = met.groupBy("key", "item", "words").agg(
+    pair = ["key", "item_key"]
+    template = F.col("form") == TEMPLATE
+    covered = F.expr("sequence(item_begin, item_end - 1)")
+    n = lambda which: F.size(F.array_distinct(F.flatten(F.collect_set(F.when(which, covered)))))
+    found = met.groupBy(*pair).agg(
         F.first("id").alias("id"),
-        F.size(F.array_distinct(F.flatten(F.collect_set(covered)))).alias("n"),
-        F.min("at").alias("first"),
-        (F.max("at") + SIZE - 1).alias("last"),
+        F.first("item").alias("item"),
+        F.first("words").alias("words"),
+        F.first("coverable").alias("coverable"),
+        n(template).alias("by_template"),
+        n(~template).alias("by_word"),
+        n(F.lit(True)).alias("by_any"),
+        F.min("begin").alias("first"),
+        (F.max("end") - 1).alias("last"),
     )
-    found = found.withColumn("similarity", F.col("n") / F.col("words")).filter(F.col("similarity") >= COVERED)
-    pairs = met.select("key", "item", "diagonal", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
+    word, any_word = F.col("by_word") / F.col("words"), F.col("by_any") / F.col("words")
+    usable = F.col("coverable") >= F.col("words") * COVERED
+    templates = F.when(usable, F.col("by_template") / F.col("coverable")).otherwise(0.0)
+    found = found.withColumn("similarity", F.greatest(templates, any_word)).filter(F.col("similarity") >= COVERED)
+    pairs = met.filter(template).select(*pair, "diagonal", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
     values = (
         pairs.filter("s.item_slots <> 0 AND s.slots <> 0")
-        .groupBy("key", "item", "diagonal", "s.item_slots", "s.slots")
+        .groupBy(*pair, "diagonal", "s.item_slots", "s.slots")
         .count()
-        .groupBy("key", "item", "diagonal", "item_slots")
+        .groupBy(*pair, "diagonal", "item_slots")
         .agg(F.sum("count").alias("all"), F.max("count").alias("same"))
-        .groupBy("key", "item")
+        .groupBy(*pair)
         .agg((F.sum("same") / F.sum("all")).alias("agreed"))
     )
-    rows = found.join(values, ["key", "item"], "left").withColumn("agreed", F.coalesce("agreed", F.lit(1.0)))
+    # words that are covered as such agree
+    agreed = F.when(word >= COVERED, 1.0).otherwise(F.coalesce("agreed", F.lit(1.0)))
+    rows = found.join(values, pair, "left").withColumn("agreed", agreed)
     return rows.filter(F.col("agreed") >= AGREED).select(
         "key", F.col("id").alias(key), F.col("item").alias("item_id"), "similarity", "agreed", "first", "last"
     )

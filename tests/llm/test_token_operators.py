@@ -148,6 +148,19 @@ def test_leaks_need_consistent_slots(spark):
     assert [r["doc_id"] for r in rows] == [1] and rows[0]["agreed"] == 1.0
 
 
+@pytest.mark.parametrize("local", [2_000_000, 0])
+def test_copies_of_short_and_dense_items_are_found(spark, monkeypatch, local):
+    monkeypatch.setattr(templates, "LOCAL_WINDOWS", local)
+    items = ["What is 12 + 45 * 3 - 7 / 2?", "Who Wrote The Great Gatsby In 1925", "Name the capital?", "1 2 3 4 5 6 7", "\u65e5\u672c\u306e\u9996\u90fd\u306f\u3069\u3053\u3067\u3059\u304b", "Ulm"]
+    rows = [(n, f"He was asked something here. So {t} was read, and the rest followed later.") for n, t in enumerate(items)]
+    rows += [(10, "What is the rest of 12 and 45? The capital was named."), (11, items[4][:6]), (12, "?!"), (13, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([*enumerate(items), (20, None), (21, "?")], "item_id long, text string")
+    got = templates.leak_query(docs, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(n, n) for n in range(len(items))}
+    assert all(r["similarity"] == r["agreed"] == 1.0 for r in got)
+
+
 def test_leaks_edges(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert templates.leak_query(documents(spark), bench).count() == 0
