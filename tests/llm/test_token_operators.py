@@ -161,6 +161,20 @@ def test_copies_of_short_and_dense_items_are_found(spark, monkeypatch, local):
     assert all(r["similarity"] == r["agreed"] == 1.0 for r in got)
 
 
+@pytest.mark.parametrize("local", [2_000_000, 0])
+def test_copies_in_another_letter_case_are_found(spark, monkeypatch, local):
+    monkeypatch.setattr(templates, "LOCAL_WINDOWS", local)
+    half = ITEM[:60] + ITEM[60:].upper()
+    # words in capitals cover one part, the template with other figures the rest
+    both = ITEM[:60].replace("120", "87").replace("Anna Miller", "Paul Schmidt") + ITEM[60:].upper()
+    rows = [(7, ITEM.upper()), (8, ITEM.lower()), (9, ITEM.title()), (10, half), (11, "Then " + both)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(10, ITEM), (11, ITEM.title() + " Or Not")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in templates.leak_query(docs, items).collect()}
+    assert got >= {(d, 10) for d, _ in rows} | {(d, 11) for d in (7, 8, 9, 10)}
+    assert templates.without_benchmark(docs, items).count() == 0
+
+
 def test_leaks_edges(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert templates.leak_query(documents(spark), bench).count() == 0
