@@ -3,8 +3,12 @@
 Numbers, names and units become typed placeholders, so a question whose figures or names were exchanged
 keeps its template.  Windows of ``SIZE`` template words of documents and benchmark items are hash-joined,
 and so are windows of ``SIZE`` plain words in lower case, which letter case cannot change.  An item is found
-in a document when the windows that meet cover at least ``COVERED`` of its words and the slots agree: along
-one diagonal the same item value must stand for the same document value.
+in a document when the windows that meet in one span cover at least ``COVERED`` of its words (all of them if
+they are fewer than ``SHORT``) and the slots agree: within the span the same item value must stand for the
+same document value.  A span is one diagonal (place in the document less place in the item), or all those
+that are at most a quarter of the item's words, and at least ``NEAR``, above the lowest of them: words that
+were put in or left out move what follows to the next diagonals, but windows from other parts of a text do
+not add up.
 
 Words are runs of letters or numbers (with inner . and ,); each letter of a script without spaces is a word.
 A capitalised word is a name unless it begins a sentence or line, or is all capitals; names in a row are one.
@@ -29,19 +33,23 @@ Other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import MIX_A, MIX_C, U64, bounded, mixed, text_or_empty, written
 
 SIZE = 5
 COVERED = 0.8
+SHORT = 2 * SIZE
+NEAR = 2
 AGREED = 0.6
 LITERALS = 2
 LOCAL_WINDOWS = 2_000_000
@@ -65,6 +73,8 @@ UNITS = frozenset(
 )
 WORD, NUMBER, UNIT, CAPITAL, STOP = range(5)
 TEMPLATE, PLAIN, WHOLE = range(3)  # windows of template words, of plain words, short items as a whole
+# what a span may consist of; its diagonals count template words in the first and plain words in the others
+BY_TEMPLATE, BY_WORD, ANY = range(3)
 NUMBER_MARK, UNIT_MARK, NAME_MARK = U64(0x4E554D), U64(0x554E4954), U64(0x4E414D45)
 
 
@@ -309,10 +319,81 @@ def sent(column: DataFrame) -> np.ndarray:
     return np.sort(column.toArrow().column(0).to_numpy().view(U64))
 
 
+def width(words: str) -> Column:
+    """How far apart the diagonals of a span may be."""
+    return F.greatest(F.lit(NEAR), F.floor(F.col(words) / 4).cast("int"))
+
+
+def needed(words: str) -> Column:
+    """How many of so many words must be covered."""
+    return F.when(F.col("words") < SHORT, F.col(words)).otherwise(F.col(words) * COVERED)
+
+
+def usable() -> Column:
+    """Whether template windows alone can find the item."""
+    return (F.col("coverable") > 0) & (F.col("coverable") >= F.col("words") * COVERED)
+
+
+def agreement(hits: list[dict]) -> float:
+    """The share of slot values that stand for the value that their item value mostly stands for."""
+    seen: dict[int, Counter] = {}
+    for hit in hits:
+        for item, own in zip(hit["item_slots"], hit["slots"], strict=True):
+            if item and own:
+                seen.setdefault(item, Counter())[own] += 1
+    total = sum(sum(c.values()) for c in seen.values())
+    return sum(max(c.values()) for c in seen.values()) / total if total else 1.0
+
+
+def best_span(hits: list[dict], words: int, of: int, bucket: int) -> tuple | None:
+    """Similarity, agreement, first and last word of the best span that begins in the bucket, if one suffices.
+
+    ``hits`` are sorted by diagonal; ``of`` is the number of words that can be covered.
+    """
+    reach = max(NEAR, words // 4)
+    limit = (bucket + 1) * (reach + 1)
+    need = of if words < SHORT else of * COVERED
+    diagonals = [h["diagonal"] for h in hits]
+    best, start = None, 0
+    while start < len(hits) and diagonals[start] < limit:
+        here = bisect_right(diagonals, diagonals[start])
+        for stop in sorted({here, bisect_right(diagonals, diagonals[start] + reach)}):
+            span = hits[start:stop]
+            if sum(h["item_end"] - h["item_begin"] for h in span) < need:
+                continue
+            covered = np.zeros(words, bool)
+            for h in span:
+                covered[h["item_begin"] : h["item_end"]] = True
+            n = int(covered.sum())
+            if n >= need and (agreed := agreement(span)) >= AGREED:
+                got = (n / of, agreed, -min(h["begin"] for h in span), max(h["end"] for h in span) - 1)
+                best = got if best is None else max(best, got)
+        start = here
+    return best and (best[0], best[1], -best[2], best[3])
+
+
+def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The best spans of groups of hits."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 256):
+            out = []
+            for r in batch.slice(a, 256).to_pylist():
+                of = r["coverable"] if r["view"] == BY_TEMPLATE else r["words"]
+                found = best_span(r["hits"], r["words"], of, r["bucket"])
+                if found:
+                    out.append((r["key"], r["item_key"], r["id"], r["item"], *found))
+            columns = list(zip(*out, strict=True)) or [()] * 8
+            types = [pa.int64()] * 4 + [pa.float64()] * 2 + [pa.int32()] * 2
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)],
+                names=["key", "item_key", "id", "item", "similarity", "agreed", "first", "last"],
+            )
+
+
 def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Pairs of a document and an item found in it: key, doc_id, item_id, similarity, agreed, first, last.
 
-    ``similarity`` is the share of the item's words that windows cover, ``agreed`` the share of slot
+    ``similarity`` is the share of the item's words that the best span covers, ``agreed`` the share of slot
     values that are consistent; first and last are the (plain) words of the document that take part.
     """
     index = written(item_windows(items, "text", "item_id"), "templates")
@@ -324,42 +405,31 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str
         if vocabulary.count() <= LOCAL_WINDOWS:
             wanted = (sent(vocabulary), sent(hashes))
     cut = document_windows(docs, text, key, lengths, wanted)
-    met = cut.join(index, "h").withColumn("diagonal", F.col("at") - F.col("item_at"))
-    met = written(met.drop("h"), "template-hits")
+    met = written(cut.join(index, "h").drop("h").distinct(), "template-hits")
     pair = ["key", "item_key"]
     template = F.col("form") == TEMPLATE
     covered = F.expr("sequence(item_begin, item_end - 1)")
     n = lambda which: F.size(F.array_distinct(F.flatten(F.collect_set(F.when(which, covered)))))
-    found = met.groupBy(*pair).agg(
-        F.first("id").alias("id"),
-        F.first("item").alias("item"),
-        F.first("words").alias("words"),
-        F.first("coverable").alias("coverable"),
-        n(template).alias("by_template"),
-        n(~template).alias("by_word"),
-        n(F.lit(True)).alias("by_any"),
-        F.min("begin").alias("first"),
-        (F.max("end") - 1).alias("last"),
-    )
-    word, any_word = F.col("by_word") / F.col("words"), F.col("by_any") / F.col("words")
-    usable = F.col("coverable") >= F.col("words") * COVERED
-    templates = F.when(usable, F.col("by_template") / F.col("coverable")).otherwise(0.0)
-    found = found.withColumn("similarity", F.greatest(templates, any_word)).filter(F.col("similarity") >= COVERED)
-    pairs = met.filter(template).select(*pair, "diagonal", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
-    values = (
-        pairs.filter("s.item_slots <> 0 AND s.slots <> 0")
-        .groupBy(*pair, "diagonal", "s.item_slots", "s.slots")
-        .count()
-        .groupBy(*pair, "diagonal", "item_slots")
-        .agg(F.sum("count").alias("all"), F.max("count").alias("same"))
-        .groupBy(*pair)
-        .agg((F.sum("same") / F.sum("all")).alias("agreed"))
+    # a span covers no more than all windows of the document
+    may = met.groupBy(*pair, "words", "coverable").agg(n(template).alias("by_template"), n(F.lit(True)).alias("by_any"))
+    enough = (F.col("by_any") >= needed("words")) | (usable() & (F.col("by_template") >= needed("coverable")))
+    hits = met.join(may.filter(enough).select(*pair), pair, "left_semi")
+    # each hit takes part in the spans that begin in its bucket of diagonals or in the one before
+    views = F.expr(
+        f"""array(named_struct('view', {ANY}, 'diagonal', begin - item_begin),
+            IF(form = {TEMPLATE}, named_struct('view', {BY_TEMPLATE}, 'diagonal', at - item_at),
+                named_struct('view', {BY_WORD}, 'diagonal', begin - item_begin)))"""
     )
-    # words that are covered as such agree
-    agreed = F.when(word >= COVERED, 1.0).otherwise(F.coalesce("agreed", F.lit(1.0)))
-    rows = found.join(values, pair, "left").withColumn("agreed", agreed)
-    return rows.filter(F.col("agreed") >= AGREED).select(
-        "key", F.col("id").alias(key), F.col("item").alias("item_id"), "similarity", "agreed", "first", "last"
+    hits = hits.withColumn("v", F.explode(views)).select("*", "v.view", "v.diagonal").drop("v")
+    hits = hits.filter((F.col("view") != BY_TEMPLATE) | usable())
+    bucket = F.floor(F.col("diagonal") / (width("words") + 1)).cast("int")
+    hits = hits.withColumn("bucket", F.explode(F.array(bucket, bucket - 1)))
+    hit = F.struct("diagonal", "form", "begin", "end", "item_begin", "item_end", "item_slots", "slots")
+    groups = hits.groupBy(*pair, "id", "item", "words", "coverable", "view", "bucket").agg(F.sort_array(F.collect_list(hit)).alias("hits"))
+    best = F.max(F.struct("similarity", "agreed", (-F.col("first")).alias("f"), "last", "id", "item")).alias("b")
+    rows = groups.mapInArrow(judged, "key long, item_key long, id long, item long, similarity double, agreed double, first int, last int")
+    return rows.groupBy(*pair).agg(best).select(
+        "key", F.col("b.id").alias(key), F.col("b.item").alias("item_id"), "b.similarity", "b.agreed", (-F.col("b.f")).alias("first"), "b.last"
     )
 
 

@@ -175,6 +175,24 @@ def test_copies_in_another_letter_case_are_found(spark, monkeypatch, local):
     assert templates.without_benchmark(docs, items).count() == 0
 
 
+def test_leaks_need_one_place(spark):
+    words = ITEM.split()
+    filler = " Meanwhile nobody else had seen what lay far beyond those quiet hills at dawn. "
+    scattered = filler + filler.join(" ".join(words[i : i + 6]) for i in range(0, len(words), 3)) + filler
+    short = "Name the capital city of old Prussia"
+    moved = ITEM.replace("and then rests", "and so then often rests").replace("Anna Miller", "Dr Paul von Schmidt")
+    own = ITEM.replace("120 km in 3", "120 km in 120")  # one item value in two places
+    rows = [(1, scattered), (2, "Please. " + moved), (3, filler + ITEM + scattered), (4, "They name the capital city of Wales."), (5, "Go and name the capital city of old Prussia.")]
+    rows += [(6, filler + own.replace("120 km in 120", "87 km in 87")), (7, scattered * 40 + ITEM)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(10, ITEM), (11, short), (12, own)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in templates.leak_query(docs, items).collect()}
+    assert {d for d, i in got if i == 10} >= {2, 3, 7} and not {1, 4, 5} & {d for d, i in got if i == 10}
+    assert {d for d, i in got if i == 11} == {5}
+    assert got[(6, 12)]["agreed"] == 1.0 and (1, 12) not in got
+    assert got[(3, 10)]["similarity"] == 1.0 and got[(3, 10)]["last"] - got[(3, 10)]["first"] < 30
+
+
 def test_leaks_edges(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert templates.leak_query(documents(spark), bench).count() == 0
