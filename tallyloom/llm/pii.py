@@ -4,11 +4,11 @@ Generators with high recall propose spans, which may overlap: everything of the
 an ip address, a card number or a phone number, whether or not its digits are valid, obfuscated email
 addresses, other long numbers, and long strings of letters and digits.  Boosted trees score each
 candidate by its format and by the words before it.  A threshold per kind, calibrated on candidates that
-the trees did not learn from, selects the spans that are redacted.  Spans that pass the base rules
-(octets, check digits, numbers of digits) are always redacted.
+the trees did not learn from, selects the spans that are redacted.  Spans that a rule proves (octets, check
+digits, numbers of digits, obfuscated addresses, keys by form or by the name before them) are always redacted.
 
-The trees learn from all documents, summed up as counts per distinct feature vector; at most ``VECTORS``
-of these, the most frequent, are used.  Their labels come from the rules: a candidate that a rule
+All documents are summed up as counts per distinct feature vector.  The trees learn from at most ``VECTORS``
+of these, the most frequent; the thresholds rest on all candidates that were held out.  The labels come from the rules: a candidate that a rule
 proves is positive, one that it refutes is negative.  The trees do not see the proofs, so they judge the
 form, and they carry over to candidates that no rule covers.
 
@@ -17,7 +17,8 @@ trees become an expression, and no text is shuffled.  Positions count code point
 
 Defined results: a null text counts as empty and has no span; it stays null when texts are redacted.
 Repeated rows give repeated rows, whatever their ids.  An empty table, or one without candidates, gives
-no method spans.
+no method spans.  A kind with fewer than ``LEAST`` held-out candidates at any score has no threshold; of it only
+proven spans are selected.
 """
 
 from __future__ import annotations
@@ -143,7 +144,7 @@ def as_expression(model: GBTClassificationModel) -> str:
 
 
 class Redactor:
-    """Boosted trees and thresholds; without trees only the base rules select."""
+    """Boosted trees and thresholds; without trees only the rules select."""
 
     def __init__(self, score: str = "0.0D", thresholds: dict[str, float] | None = None):
         self.score, self.thresholds = score, thresholds or {}
@@ -154,9 +155,10 @@ class Redactor:
         # the fold follows from the span's place, so that either fold has all forms
         fold = F.pmod(F.xxhash64("c.s", "c.e", "c.kind"), F.lit(4)) == 0
         vectors = found.groupBy("c.kind", "c.f", F.col("c.valid").cast("double").alias("label"), fold.alias("held")).count()
-        vectors = vectors.orderBy(F.desc("count"), "f", "label", "held").limit(VECTORS)
         vectors = written(vectors.select("kind", "f", "label", "held", "count"), "pii-vectors")
-        learn = vectors.filter("NOT held").select("label", F.col("count").cast("double").alias("w"), *[F.col(f"f.{x}").cast("double").alias(x) for x in FEATURES])
+        # of equally frequent vectors, those of any kind have the same chance
+        most = vectors.filter("NOT held").orderBy(F.desc("count"), F.xxhash64("f", "label"), "f", "label").limit(VECTORS)
+        learn = most.select("label", F.col("count").cast("double").alias("w"), *[F.col(f"f.{x}").cast("double").alias(x) for x in FEATURES])
         seen = {r[0] for r in learn.select("label").distinct().collect()}
         if len(seen) < 2:
             return cls()
@@ -171,7 +173,7 @@ class Redactor:
         )
         # the lowest threshold from which on the selected candidates are precise enough
         thresholds, sums = {}, {}
-        for r in sorted(scored.collect(), key=lambda r: (r["kind"], -r["p"])):  # at most VECTORS rows
+        for r in sorted(scored.collect(), key=lambda r: (r["kind"], -r["p"])):  # a row per kind and rounded score
             n, good = sums.get(r["kind"], (0.0, 0.0))
             n, good = n + r["n"], good + r["good"]
             sums[r["kind"]] = (n, good)
@@ -180,11 +182,11 @@ class Redactor:
         return cls(score, thresholds)
 
     def selected(self) -> Column:
-        """All spans of ``__c`` as (s, no, e, kind, base), sorted; base ones and those the trees select."""
+        """All spans of ``__c`` as (s, no, e, kind, base), sorted; those that a rule proves and those the trees select."""
         order = "CASE c.kind " + " ".join(f"WHEN '{g[0]}' THEN {i}" for i, g in enumerate(GENERATORS)) + " END"
         base = f"(c.valid AND c.kind IN ({', '.join(map(repr, BASE_KINDS))}))"
         limits = "CASE c.kind " + " ".join(f"WHEN '{k}' THEN {v!r}D" for k, v in self.thresholds.items()) + " END"
-        chosen = f"({base} OR round({self.score}, 4) >= {limits})" if self.thresholds else base
+        chosen = f"(c.valid OR round({self.score}, 4) >= {limits})" if self.thresholds else "c.valid"
         spans = f"transform(filter(__c, c -> {chosen}), c -> named_struct('s', c.s, 'no', {order}, 'e', c.e, 'kind', c.kind, 'base', {base}))"
         return F.expr(f"array_sort({spans})")
 
