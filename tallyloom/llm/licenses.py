@@ -104,10 +104,11 @@ def spans(found: DataFrame) -> DataFrame:
         .agg(F.collect_set("t").alias("ts"))
     )
     mine = Window.partitionBy("id", "of", "phrase").orderBy("diagonal")
-    # a complete diagonal stands alone; others join the diagonal just before them
+    # a complete diagonal and those of base phrases stand alone; others join the diagonal just before them
     complete = F.size("ts") == F.col("grams")
     opens = (
-        complete
+        F.col("base")
+        | complete
         | F.coalesce(F.lag(complete).over(mine), F.lit(True))
         | (F.col("diagonal") - F.lag("diagonal").over(mine) > NEAR)
     )
@@ -119,7 +120,7 @@ def spans(found: DataFrame) -> DataFrame:
         .withColumn("covered", F.size(F.array_distinct("ts")) / F.col("grams"))
     )
     needed = F.when(F.col("base"), F.lit(1.0)).otherwise(F.lit(COVERED))
-    return merged.filter((F.col("covered") >= needed) & (~F.col("base") | (F.size("ts") == F.col("grams"))))
+    return merged.filter(F.col("covered") >= needed)
 
 
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", base=BASE, phrases=PHRASES) -> DataFrame:

@@ -149,6 +149,14 @@ def test_licenses_by_brute_force(spark):
             assert 0 <= r["score"] <= 1
 
 
+def test_base_licenses_need_consecutive_words(spark):
+    texts = ["general public public license", "general public new public license", "The general public license.", "general public public license general public license"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in licenses.license_query(docs).collect()}
+    assert [(rows[n]["n_base"], rows[n]["first_word"], rows[n]["base_labels"]) for n in range(4)] == [(0, None, ""), (0, None, ""), (1, 1, "gpl"), (1, 4, "gpl")]
+    assert rows[0]["labels"] == rows[1]["labels"] == ""
+
+
 def test_license_phrases_with_added_words(spark):
     rows = {r["doc_id"]: r for r in licenses.license_query(license_rows(spark).filter("doc_id > 0")).collect()}
     assert "mit" in rows[4]["labels"] and rows[4]["base_labels"] == ""
