@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import bpe, language, licenses, near_dups, pii, quality, substrings, templates, token_files, urls
+from tallyloom.llm import (
+    bpe,
+    fingerprints,
+    language,
+    licenses,
+    near_dups,
+    periods,
+    pii,
+    prefix_trie,
+    quality,
+    substrings,
+    templates,
+    token_files,
+    urls,
+)
 from tallyloom.session import ship
 
 
@@ -30,7 +44,10 @@ QUERIES = {
     "op8_quality": _over(quality.quality_query, "documents"),
     "op9_bpe": _over(bpe.bpe_query, "documents"),
     "op10_decontamination": _over(templates.leak_query, "documents", "benchmark"),
+    "op11_prefix_trie": _over(prefix_trie.trie_query, "conversations"),
+    "op12_periods": _over(periods.period_query, "documents"),
+    "op13_fingerprints": _over(fingerprints.fingerprint_query, "documents"),
 }
 # Language and quality are estimated, spans are learned, and the others iterate, hash or tokenize:
 # tests/llm holds them against brute force, the library or held-out rows instead.
-ORACLES = {"op3_urls": urls.oracle_sql()}
+ORACLES = {"op3_urls": urls.oracle_sql(), "op11_prefix_trie": prefix_trie.oracle_sql()}
