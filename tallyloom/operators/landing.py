@@ -8,19 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as tx
-from tallyloom.operators.ordered import dense_position
+from tallyloom.operators.ordered import positions
 
 RESERVED = ("id", "text", "text_length", "timestamp")
 
 
 def land_text(df: DataFrame, order: str, text: str = "text", limit: int = 0) -> DataFrame:
-    """Number records from 0 along the unique key ``order``, keep the first ``limit`` numbers, drop
+    """Number records from 0 along the unique key ``order`` (of any type), keep the first ``limit`` numbers, drop
     missing texts.
 
     A record without text still uses up its number.  ``limit`` <= 0 keeps all.  Only the keys are
     numbered; the texts move once, spread evenly by key, and not at all for a small ``limit``.
     """
-    numbers = dense_position(df.select(order), [], order, "__n").select(order, (F.col("__n") - 1).alias("__id"))
+    numbers = positions(df.select(order), [order], "__n").select(order, (F.col("__n") - 1).alias("__id"))
     if limit > 0:
         numbers = numbers.where(F.col("__id") < limit)
     rest = [c for c in df.columns if c not in (text, "id")]
@@ -62,10 +62,11 @@ def clause_columns(df: DataFrame, reserved: Sequence[str] = RESERVED) -> list[st
     return [c for c in df.columns if c not in reserved]
 
 
-def clause_tasks(contracts: DataFrame, threshold: int = 3, with_text: bool = False) -> DataFrame:
+def clause_tasks(contracts: DataFrame, threshold: int = 3, with_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """One task per contract and clause category, made in place without a shuffle.
 
-    The contract text is left out by default so that later shuffles stay narrow.
+    The contract text is left out by default so that later shuffles stay narrow; ``carry`` names other
+    columns that travel with the tasks.
     """
     fields = {f.name: f.dataType for f in contracts.schema.fields}
     tasks = F.explode(
@@ -80,7 +81,7 @@ def clause_tasks(contracts: DataFrame, threshold: int = 3, with_text: bool = Fal
             ]
         )
     )
-    keep = ["text"] if with_text else []
+    keep = ["text", *carry] if with_text else list(carry)
     return contracts.select(F.col("id").alias("contract_id"), *keep, tasks.alias("__task")).select(
         "contract_id",
         *keep,

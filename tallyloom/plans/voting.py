@@ -12,9 +12,7 @@ TASK = list(voting.TASK)
 
 def reviewed_tasks(t: Tables):
     """The clause tasks of all contracts, also of those without any response."""
-    tasks = landing.clause_tasks(t.contracts.drop("text"))
-    lengths = t.contracts.select(F.col("id").alias("contract_id"), "text_length")
-    return tasks.join(lengths, "contract_id")
+    return landing.clause_tasks(t.contracts.drop("text"), carry=["text_length"])
 
 
 def judged(t: Tables, k: int = 3, max_votes: int = voting.MAX_VOTES, failed: str | None = None):
