@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.operators.ordered import Scan, prefix_scan, quantile_chunk
+from tallyloom.operators.ordered import Scan, prefix_scan, radix_chunks
 
 
 def pair_counts(pairs: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ def roc_auc(scored: DataFrame, positive: str, score: str) -> DataFrame:
         F.count_if(positive).alias("__pos"), F.count_if(~F.col(positive)).alias("__neg")
     )
     ranked = prefix_scan(
-        counts, [], "__s", {"__below": Scan("sum", F.col("__neg"), False)}, quantile_chunk(counts, "__s")
+        counts, [], "__s", {"__below": Scan("sum", F.col("__neg"), False)}, radix_chunks("__s", counts.schema["__s"].dataType)
     )
     wins = F.sum(F.col("__pos") * (F.col("__below") + F.col("__neg") / 2))
     pairs = F.nullif(F.sum("__pos") * F.sum("__neg"), F.lit(0))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import paths as px
-from tallyloom.operators.ordered import dense_position
+from tallyloom.operators.ordered import positions
 
 
 def select_media(files: DataFrame, extensions: Sequence[str], hidden: bool = True) -> DataFrame:
@@ -109,7 +109,7 @@ def work_grid(files: DataFrame, order: str, patterns: Sequence[str], patch: tupl
     The patterns are an argument list, unfolded in place.  ``patch`` is (height, width).
     """
     p_h, p_w = patch
-    numbered = dense_position(files, [], order, "__n")
+    numbered = positions(files, [order], "__n")
     grid = numbered.select(
         "*", F.posexplode(F.array(*[F.lit(p) for p in patterns])).alias("__p", "pattern")
     )
@@ -128,7 +128,7 @@ def work_grid(files: DataFrame, order: str, patterns: Sequence[str], patch: tupl
 
 def prompt_work_list(prompts: DataFrame, order: str, seed: int | None) -> DataFrame:
     """Prompts numbered from 0 with their seed and output name; a zero or missing seed is NULL."""
-    numbered = dense_position(prompts, [], order, "__n").withColumn("index", F.col("__n") - 1)
+    numbered = positions(prompts, [order], "__n").withColumn("index", F.col("__n") - 1)
     at = F.lit(seed) + F.col("index") if seed else F.lit(None).cast("long")
     return numbered.withColumns(
         {"seed": at, "output_name": F.format_string("generated_%04d.png", F.col("index"))}

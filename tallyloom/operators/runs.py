@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.functions import text as tx
-from tallyloom.operators.ordered import Scan, prefix_scan
+from tallyloom.operators.ordered import Scan, last_improvement, prefix_scan
 
 SERIES = ("run_hash", "name")
 
@@ -59,14 +59,11 @@ def best_so_far(metrics: DataFrame, min_delta: float = 0.0) -> DataFrame:
 def early_stop(metrics: DataFrame, patience: int = 5, min_delta: float = 0.001) -> DataFrame:
     """The first step of each series with ``patience`` steps in a row without improvement.
 
-    Configured but never run in the reference; a step improves if it is below the lowest earlier
-    value by more than ``min_delta``.  Series that never stop have NULL.
+    A step improves if it is below the lowest earlier value by more than ``min_delta``.  Series that never
+    stop have NULL.  Best value and last improvement are one scan over one read of the metrics.
     """
-    marked = best_so_far(metrics, min_delta)
-    last = prefix_scan(
-        marked, SERIES, "step", {"last_better": Scan("max", F.when(F.col("improved"), F.col("step")))}
-    )
-    waited = F.col("step") - F.col("last_better")
+    last = last_improvement(metrics, SERIES, "step", "value", min_delta)
+    waited = F.col("step") - F.col("last_improved")
     return last.groupBy(*SERIES).agg(F.min(F.when(waited >= patience, F.col("step"))).alias("stop_step"))
 
 

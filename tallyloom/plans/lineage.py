@@ -80,7 +80,7 @@ def flat_config(t):
         "name",
     )
     rows = t.runs.select("run_hash", F.to_json(nested).alias("config"))
-    return provenance.flatten_config(rows, "run_hash", "config", 3)
+    return provenance.flatten_config(rows, "run_hash", "config")
 
 
 _NEAREST = """steps AS (SELECT id, list_aggregate(parts[1:d], 'string_agg', '/') AS p, d
@@ -366,17 +366,35 @@ def lineage_chain(t):
 
 @query(
     "version_ancestors",
-    """SELECT c.name, c.version, p.version AS ancestor, c.number - p.number AS hops FROM registry c
-       JOIN registry p ON p.name = c.name AND p.number < c.number""",
+    """SELECT name, version, CASE WHEN number > 1 THEN 'v' || (number - 1) END AS parent_version, 'v1' AS root,
+              number - 1 AS depth, number AS first, max(number) OVER (PARTITION BY name) AS last FROM registry""",
     R,
 )
 def version_ancestors(t):
-    links = t.registry.select(
-        "name",
-        "version",
-        F.when(F.col("number") > 1, F.concat(F.lit("v"), F.col("number") - 1)).alias("parent_version"),
-    )
-    return provenance.version_ancestors(links)
+    """Each version follows the one before it."""
+    parent = F.when(F.col("number") > 1, F.concat(F.lit("v"), F.col("number") - 1))
+    links = t.registry.select("name", "version", "number", parent.alias("parent_version"))
+    return provenance.version_intervals(links, "number")
+
+
+@query(
+    "version_tree",
+    """SELECT name, version, parent_version, root, depth, first,
+              first + (SELECT count(*) FROM numbered b WHERE b.name = a.name AND starts_with(b.path, a.path)) - 1 AS last
+       FROM numbered a""",
+    R,
+    """steps AS (SELECT name, version, number, unnest(range(0, 63)) AS d FROM registry),
+       paths AS (SELECT name, version, number, string_agg(lpad(cast((number + 4) >> d AS string), 9, '0'), '/' ORDER BY d DESC) AS path,
+                        min((number + 4) >> d) AS top, count(*) - 1 AS depth
+                 FROM steps WHERE (number + 4) >> d > 4 GROUP BY ALL),
+       numbered AS (SELECT name, version, CASE WHEN depth > 0 THEN 'v' || ((number + 4 >> 1) - 4) END AS parent_version,
+                           'v' || (top - 4) AS root, depth, path, row_number() OVER (PARTITION BY name ORDER BY path) AS first FROM paths)""",
+)
+def version_tree(t):
+    """Versions 1 to 5 are roots; every other one was made from the one of half its number (plus 4)."""
+    parent = F.shiftright(F.col("number") + 4, 1) - 4
+    links = t.registry.select("name", "version", "number", F.when(parent > 0, F.concat(F.lit("v"), parent)).alias("parent_version"))
+    return provenance.version_intervals(links, "number")
 
 
 # -- objects -------------------------------------------------------------------------------------

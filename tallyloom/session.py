@@ -11,7 +11,7 @@ import uuid
 import zipfile
 from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _PACKAGE = os.path.dirname(os.path.abspath(__file__))
 _SHIPPED: set[str] = set()
@@ -77,6 +77,17 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
+def staged(df: DataFrame, purpose: str, **aggregates: Column) -> tuple[DataFrame, dict]:
+    """``df`` as a table in the shared folder, and aggregates observed while it is written.
+
+    Iterations cut their lineage this way: a round reads the table of the round before.
+    """
+    spark, path, seen = df.sparkSession, shared_dir(df.sparkSession, purpose), Observation()
+    rows = df.observe(seen, *[value.alias(name) for name, value in aggregates.items()]) if aggregates else df
+    rows.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get if aggregates else {}
+
+
 @cache
 def _local_dir() -> str:
     folder = tempfile.mkdtemp(prefix="tallyloom-")

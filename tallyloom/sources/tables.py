@@ -225,7 +225,7 @@ def vote_log_of(events: DataFrame) -> DataFrame:
 def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metric series of the runs: the n-th event of a kind by a user is step n."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
-    steps = dense_position(events, ["user_id", "event_type"], "event_id", "step")
+    steps = dense_position(events, ["user_id", "event_type"], "event_id", "step", costly=True)
     return steps.select(
         F.md5(F.col("user_id").cast("string")).alias("run_hash"),
         F.col("event_type").alias("name"),
