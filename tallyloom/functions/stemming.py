@@ -85,7 +85,13 @@ def _double_end(word: str) -> bool:
     return len(word) > 1 and word[-1] == word[-2] and _shape(word)[-1] == "c"
 
 
-def _swap(word: str, table) -> str:
+# most words have none of the endings of a step
+ENDS_2, ENDS_3, ENDS_4 = tuple(old for old, _ in STEP_2), tuple(old for old, _ in STEP_3), tuple(STEP_4)
+
+
+def _swap(word: str, table, ends: tuple) -> str:
+    if not word.endswith(ends):
+        return word
     for old, new in table:
         if word.endswith(old):
             base = word[: -len(old)]
@@ -104,6 +110,8 @@ def _plural(word: str) -> str:
 
 
 def _past(word: str) -> str:
+    if not word.endswith(("ed", "ing")):
+        return word
     if word.endswith("ied"):
         return word[:-1] if len(word) == 4 else word[:-2]
     if word.endswith("eed"):
@@ -132,10 +140,12 @@ def _derived(word: str) -> str:
         return _derived(word[:-2])
     if word.endswith("logi") and _measure(word[:-3]) > 0:
         return word[:-1]
-    return _swap(word, STEP_2)
+    return _swap(word, STEP_2, ENDS_2)
 
 
 def _drop_ending(word: str) -> str:
+    if not word.endswith(ENDS_4):
+        return word
     for end in STEP_4:
         if word.endswith(end):
             base = word[: -len(end)]
@@ -162,4 +172,4 @@ def stem_word(word: str) -> str:
     if len(word) <= 2:
         return word
     word = _final_y(_past(_plural(word)))
-    return _final_e(_drop_ending(_swap(_derived(word), STEP_3)))
+    return _final_e(_drop_ending(_swap(_derived(word), STEP_3, ENDS_3)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -18,6 +20,11 @@ EPSILON = 0.1
 ROWS_AT_ONCE = 64
 
 
+def spread(pairs: DataFrame) -> DataFrame:
+    """Pairs dealt out evenly: scoring a pair costs far more than moving it, and few large files are few tasks."""
+    return pairs.select("pos", "prediction", "reference").repartition("pos")
+
+
 def align(predictions: DataFrame, references: DataFrame) -> DataFrame:
     """Pair predictions and references by position; the longer list is cut to the shorter."""
     return predictions.select("pos", "prediction").join(references.select("pos", "reference"), "pos")
@@ -27,10 +34,16 @@ def bleu_tokens(text: Column) -> Column:
     return tx.words(F.lower(text))
 
 
+@lru_cache(1 << 17)
+def scored_stem(word: str) -> str:
+    """What a word counts as: words of up to three letters are kept."""
+    return stem_word(word) if len(word) > 3 else word
+
+
 def stem_words(tokens: pa.Array) -> pa.Array:
-    """Stem the words of more than three letters; each distinct word of a batch once."""
+    """The stems of words; each distinct word of a batch once, and words seen lately not at all."""
     words = tokens.flatten().dictionary_encode()
-    stems = [stem_word(w) if len(w) > 3 else w for w in words.dictionary.to_pylist()]
+    stems = [scored_stem(w) for w in words.dictionary.to_pylist()]
     values = pa.array(stems, pa.string()).take(words.indices)
     return pa.ListArray.from_arrays(_offsets(tokens), values)
 
@@ -40,30 +53,144 @@ def _offsets(lists: pa.Array) -> pa.Array:
     return pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
 
 
+def word_stems(texts: DataFrame, text: str) -> DataFrame:
+    """The distinct words of texts with the stem they are scored by, and how often they occur."""
+
+    @F.arrow_udf(T.StringType())
+    def stem(words: pa.Array) -> pa.Array:
+        return pa.array([scored_stem(w) for w in words.to_pylist()], pa.string())
+
+    words = texts.select(F.explode(rouge_tokens(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return words.select("word", stem("word").alias("stem"), "n")
+
+
 def rouge_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"))
 
 
-def lcs_length(a: list, b: list) -> int:
-    """Length of the longest common subsequence, one bit per item of ``a``.
+# Items of one side that are compared at once, and steps along the other side, in a rectangle of a pair.
+LANES, STEPS = 4096, 2048
+ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+
 
-    A common start and a common end belong to it in any case and are counted first.
+def _rectangle(rows: np.ndarray, tiles: np.ndarray, masks: np.ndarray, base: np.ndarray, items: np.ndarray, start: np.ndarray, steps: int, given: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Advance bit rows of the common-subsequence table over ``steps`` items; the carries of the last lane.
+
+    A lane is 64 items of one side of a pair; ``tiles`` is its number in its pair.  At wave w, lane t is at
+    step w - t, so the carry that lane t - 1 made one wave before belongs to the same step: all lanes of all
+    pairs move together.  ``masks[base + item]`` has the lane's bits that equal an item (0 stands for none),
+    ``items[start + step]`` is the item of a step, with zeros around each pair's items.  ``given`` are the
+    carries that come into lane 0 from the rectangle before.
+    """
+    n, first = len(rows), tiles == 0
+    carry, at = np.zeros(n, np.uint64), start - tiles
+    out = np.zeros(steps, np.uint64)
+    for wave in range(steps + int(tiles.max()) + (given is not None)):
+        into = np.empty(n, np.uint64)
+        into[0], into[1:] = 0, carry[:-1]
+        into[first] = given[wave] if given is not None and wave < steps else 0
+        mask = masks[base + items[at + wave]]
+        low = rows + (rows & mask)
+        total = low + into
+        carry = ((low < rows) | (total < low)).astype(np.uint64)
+        rows = total | (rows & ~mask)
+        if given is not None and 0 <= wave - (n - 1) < steps:
+            out[wave - (n - 1)] = carry[-1]
+    return rows, out
+
+
+def _tile_masks(tile: np.ndarray, item: np.ndarray, place: np.ndarray, n_items: int, n_tiles: int) -> np.ndarray:
+    masks = np.zeros(n_tiles * n_items, np.uint64)
+    np.bitwise_or.at(masks, tile * n_items + item, np.uint64(1) << (place & 63).astype(np.uint64))
+    return masks
+
+
+def _zeros(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Zero bits among the first ``sizes`` bits of each row."""
+    full = np.where(sizes >= 64, ALL, (np.uint64(1) << np.minimum(sizes, 63).astype(np.uint64)) - np.uint64(1))
+    return np.bitwise_count(~rows & full).astype(np.int64)
+
+
+def _long_pair(a: np.ndarray, b: np.ndarray) -> int:
+    """The common subsequence of one long pair, rectangle by rectangle: carries go to the next lanes."""
+    common, carries = 0, np.zeros(len(b), np.uint64)
+    for i in range(0, len(a), LANES * 64):
+        part = a[i : i + LANES * 64]
+        n = -(-len(part) // 64)
+        rows, tiles = np.full(n, ALL), np.arange(n)
+        for j in range(0, len(b), STEPS):
+            block = b[j : j + STEPS]
+            known, code = np.unique(block, return_inverse=True)
+            place = np.minimum(np.searchsorted(known, part), len(known) - 1)
+            item = np.where(known[place] == part, place + 1, 0)
+            hit = np.flatnonzero(item)
+            masks = _tile_masks(hit >> 6, item[hit], hit, len(known) + 1, n)
+            items = np.concatenate([np.zeros(n, np.int64), code + 1, np.zeros(n + 1, np.int64)])
+            rows, carries[j : j + STEPS] = _rectangle(rows, tiles, masks, tiles * (len(known) + 1), items, np.full(n, n), len(block), carries[j : j + STEPS].copy())
+        common += int(_zeros(rows, np.minimum(len(part) - 64 * tiles, 64)).sum())
+    return common
+
+
+def lcs_lengths(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[int]:
+    """Lengths of the longest common subsequences of pairs of number arrays.
+
+    Pairs of alike size move together in one rectangle; a pair that fills one by itself is cut into several,
+    so work is done in steps of bounded size and memory does not grow with the product of the lengths.
     """
-    start, end, short = 0, 0, min(len(a), len(b))
-    while start < short and a[start] == b[start]:
-        start += 1
-    while end < short - start and a[-1 - end] == b[-1 - end]:
-        end += 1
-    a, b = a[start : len(a) - end], b[start : len(b) - end]
-    places: dict = {}
-    for i, item in enumerate(a):
-        places[item] = places.get(item, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    row = full
-    for item in b:
-        hit = row & places.get(item, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return start + end + len(a) - row.bit_count()
+    out = [0] * len(pairs)
+    todo = []
+    for n, (a, b) in enumerate(pairs):
+        a, b = (a, b) if len(a) >= len(b) else (b, a)
+        # a common start and a common end belong to it in any case
+        short = len(b)
+        differ = np.flatnonzero(a[:short] != b)
+        start = int(differ[0]) if len(differ) else short
+        back = np.flatnonzero(a[len(a) - (short - start) :] != b[start:])
+        end = short - start - 1 - int(back[-1]) if len(back) else short - start
+        out[n] = start + end
+        a, b = a[start : len(a) - end], b[start : short - end]
+        if len(b):
+            todo.append((n, a, b))
+    todo.sort(key=lambda t: len(t[2]))
+    held, lanes = [], 0
+    for n, a, b in todo:
+        if -(-len(a) // 64) > LANES // 8 or len(b) > STEPS:
+            out[n] += _long_pair(a, b)
+            continue
+        if held and lanes + -(-len(a) // 64) > LANES // 8:
+            _together(held, out)
+            held, lanes = [], 0
+        held.append((n, a, b))
+        lanes += -(-len(a) // 64)
+    if held:
+        _together(held, out)
+    return out
+
+
+def _together(held: list[tuple[int, np.ndarray, np.ndarray]], out: list[int]) -> None:
+    """Add the lengths of several pairs to ``out``."""
+    tiles_of = np.array([-(-len(a) // 64) for _, a, _ in held])
+    widest = int(tiles_of.max())
+    masks, bases, items, starts, sizes, used, at = [], [], [np.zeros(widest, np.int64)], [], [], 0, widest
+    steps = max(len(b) for _, _, b in held)
+    for (_, a, b), n in zip(held, tiles_of.tolist(), strict=True):
+        known, code = np.unique(b, return_inverse=True)
+        place = np.minimum(np.searchsorted(known, a), len(known) - 1)
+        hit = np.flatnonzero(known[place] == a)
+        masks.append(_tile_masks(hit >> 6, place[hit] + 1, hit, len(known) + 1, n))
+        tiles = np.arange(n)
+        bases.append(used + tiles * (len(known) + 1))
+        used += len(masks[-1])
+        items += [code + 1, np.zeros(steps - len(b) + 2 * widest, np.int64)]
+        starts.append(np.full(n, at))
+        at += steps + 2 * widest
+        sizes.append(np.minimum(len(a) - 64 * tiles, 64))
+    rows = np.full(int(tiles_of.sum()), ALL)
+    tiles = np.concatenate([np.arange(n) for n in tiles_of])
+    rows, _ = _rectangle(rows, tiles, np.concatenate(masks), np.concatenate(bases), np.concatenate(items), np.concatenate(starts), steps, None)
+    zeros = _zeros(rows, np.concatenate(sizes))
+    for (n, _, _), common in zip(held, np.add.reduceat(zeros, np.cumsum(tiles_of) - tiles_of).tolist(), strict=True):
+        out[n] += common
 
 
 def _word_numbers(*sides: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,9 +204,8 @@ def _word_numbers(*sides: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 def common_subsequences(a: pa.Array, b: pa.Array) -> np.ndarray:
     numbers, _, _ = _word_numbers(a, b)
     left, right = _offsets(a).to_numpy(), _offsets(b).to_numpy() + len(a.flatten())
-    pairs = zip(left, left[1:], right, right[1:])
-    found = [lcs_length(numbers[i:j].tolist(), numbers[k:m].tolist()) for i, j, k, m in pairs]
-    return np.array(found, dtype="int32").reshape(-1, 1)
+    pairs = [(numbers[i:j], numbers[k:m]) for i, j, k, m in zip(left, left[1:], right, right[1:])]
+    return np.array(lcs_lengths(pairs), dtype="int32").reshape(-1, 1)
 
 
 def count_shared_ngrams(p: pa.Array, r: pa.Array, max_n: int) -> np.ndarray:
@@ -169,7 +295,7 @@ def bleu_value(overlaps: Column, n_pred: Column, n_ref: Column) -> Column:
 
 def bleu_scores(pairs: DataFrame) -> DataFrame:
     """Sentence BLEU-4 of each pair."""
-    tokens = pairs.select(
+    tokens = spread(pairs).select(
         "pos", bleu_tokens(F.col("prediction")).alias("p"), bleu_tokens(F.col("reference")).alias("r")
     )
     counted = tokens.select(
@@ -198,7 +324,7 @@ def f_measure(hit: Column, predicted: Column, expected: Column) -> Column:
 
 def rouge_scores(pairs: DataFrame, stemmed: bool = True, longest: bool = True) -> DataFrame:
     """ROUGE-1, -2 and -L F-measure of each pair."""
-    tokens = pairs.select(
+    tokens = spread(pairs).select(
         "pos", rouge_tokens(F.col("prediction")).alias("p"), rouge_tokens(F.col("reference")).alias("r")
     )
     p, r = F.col("p"), F.col("r")

@@ -24,8 +24,6 @@ TASK = ("contract_id", "clause_category")
 MAX_VOTES = 20
 
 COUNTS = ("yes_votes", "no_votes", "responses", "red_flagged", "discarded")
-# seq of the row that stands for the earlier part of a log; real responses count from 0
-CARRIED_SEQ = -1
 
 
 def read_responses(
@@ -47,11 +45,11 @@ def read_responses(
 
 
 def _ballots(
-    log: DataFrame, task: Sequence[str], failed: str | None, max_words: int, carried: DataFrame | None
+    log: DataFrame, task: Sequence[str], failed: str | None, max_words: int
 ) -> DataFrame:
     """Each response as numbers: its votes, flags and failures."""
     read = read_responses(log, max_words, failed)
-    ballots = read.select(
+    return read.select(
         *task,
         F.col("seq").cast("long").alias("seq"),
         *[
@@ -66,19 +64,6 @@ def _ballots(
             }.items()
         ],
     )
-    if carried is None:
-        return ballots
-    earlier = carried.select(
-        *task,
-        F.lit(CARRIED_SEQ).cast("long").alias("seq"),
-        F.col("yes_votes").alias("yes"),
-        F.col("no_votes").alias("no"),
-        F.col("responses").alias("drawn"),
-        F.col("red_flagged").alias("flag"),
-        F.col("discarded").alias("none"),
-        F.lit(0).cast("long").alias("fail"),
-    )
-    return ballots.unionByName(earlier)
 
 
 def _running(ballots: DataFrame, task: Sequence[str], k: int, max_votes: int) -> DataFrame:
@@ -88,7 +73,7 @@ def _running(ballots: DataFrame, task: Sequence[str], k: int, max_votes: int) ->
         ballots, task, "seq", {f"n_{c}": Scan("sum", c) for c in sums}, costly=True
     ).where(F.col("n_fail") == 0)  # a failed call ends the vote of its task
     votes = F.col("n_yes") + F.col("n_no")
-    is_vote = (F.col("seq") != CARRIED_SEQ) & (F.col("yes") + F.col("no") > 0)
+    is_vote = F.col("yes") + F.col("no") > 0
     ahead = is_vote & (votes <= max_votes) & (F.abs(F.col("n_yes") - F.col("n_no")) >= k)
     return state.withColumns({"ahead": ahead, "closes": ahead | (is_vote & (votes == max_votes))})
 
@@ -100,19 +85,17 @@ def decide(
     task: Sequence[str] = TASK,
     failed: str | None = None,
     max_words: int = tx.MAX_RESPONSE_WORDS,
-    carried: DataFrame | None = None,
 ) -> DataFrame:
     """One decision per task that has a response.
 
     ``responses`` counts all responses drawn, ``red_flagged`` the flagged ones among them and
     ``discarded`` the flagged and the unreadable ones.  ``closed`` tells whether a stop rule ended
-    the vote.  ``carried`` has the counts of earlier parts of the log (``COUNTS`` and
-    ``first_answer``), for tasks that were still open after them.
+    the vote.
     """
     task = list(task)
-    state = _running(_ballots(log, task, failed, max_words, carried), task, k, max_votes)
+    state = _running(_ballots(log, task, failed, max_words), task, k, max_votes)
     after = F.struct("seq", "n_yes", "n_no", "n_drawn", "n_flag", "n_none", "ahead")
-    real_vote = (F.col("seq") != CARRIED_SEQ) & (F.col("yes") + F.col("no") > 0)
+    real_vote = F.col("yes") + F.col("no") > 0
     ends = state.groupBy(*task).agg(
         F.min(F.when(F.col("closes"), after)).alias("__end"),
         F.max(after).alias("__last"),
@@ -122,10 +105,6 @@ def decide(
     )
     at = F.coalesce("__end", "__last")
     first = F.col("__first.a")
-    if carried is not None:
-        earlier = carried.select(*task, F.col("first_answer").alias("__before"))
-        ends = ends.join(earlier, task, "left")
-        first = F.coalesce(F.col("__before"), first)
     return ends.select(
         *task,
         at["n_yes"].alias("yes_votes"),
@@ -174,7 +153,7 @@ def drawn_responses(
     max_words: int = tx.MAX_RESPONSE_WORDS,
 ) -> DataFrame:
     """The responses a vote draws, up to its end, with the number of votes before each."""
-    state = _running(_ballots(log, list(task), failed, max_words, None), task, k, max_votes)
+    state = _running(_ballots(log, list(task), failed, max_words), task, k, max_votes)
     closed = {"__closed": Scan("max", F.col("closes").cast("int"), inclusive=False)}
     kept = prefix_scan(state, task, "seq", closed).where(F.coalesce("__closed", F.lit(0)) == 0)
     before = F.col("n_yes") + F.col("n_no") - F.col("yes") - F.col("no")

@@ -120,6 +120,12 @@ def rouge_unstemmed(t):
     return r6(overlap.rouge_scores(t.pred_ref, stemmed=False, longest=False))
 
 
+@query("word_stems")
+def word_stems(t):
+    """The words of the references with the stems that the scores count."""
+    return overlap.word_stems(t.pred_ref, "reference")
+
+
 @query("rouge_scores")
 def rouge_scores(t):
     return r6(overlap.rouge_scores(t.pred_ref))

@@ -1,55 +1,52 @@
-"""Voting while responses arrive.
+"""Voting while responses arrive, on the engine's keyed state.
 
-Each micro-batch is decided with the same rules as a whole log, starting from the votes carried
-over for the tasks in it.  The state is a table: one part with the touched tasks per batch, and a
-full snapshot every ``SNAPSHOT_EVERY`` batches.  A part is named by its batch number, so a batch
-that is run again after a failure replaces its own part and reads only earlier ones.
+Responses become a few small numbers where they lie; per task the state holds the vote so far.  A batch
+moves a task's vote on with the same rules as a whole log, and emits the tasks it touched.  The state store
+and its recovery are the stream's own; the emitted rows of a batch replace those of a repeated batch.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tallyloom.operators.voting import MAX_VOTES, TASK, decide, leading_answer
+from tallyloom.operators.voting import MAX_VOTES, TASK, leading_answer, read_responses
 
-SNAPSHOT_EVERY = 20
 STATE = (
-    "contract_id long, clause_category string, yes_votes long, no_votes long, first_answer string,"
-    " converged boolean, closed boolean, responses long, red_flagged long, discarded long"
+    "yes_votes long, no_votes long, responses long, red_flagged long, discarded long, first_answer string,"
+    " converged boolean, closed boolean, last_seq long"
 )
-
-
-def _state_before(spark: SparkSession, path: str, batch: int) -> DataFrame:
-    """The last state of each task before a batch."""
-    if batch == 0:
-        return spark.createDataFrame([], STATE)
-    snapshot = (batch - 1) // SNAPSHOT_EVERY * SNAPSHOT_EVERY
-    state = spark.read.schema(STATE).parquet(f"{path}/snapshot/batch={snapshot}").withColumn("b", F.lit(snapshot))
-    for number in range(snapshot + 1, batch):
-        part = spark.read.schema(STATE).parquet(f"{path}/delta/batch={number}")
-        state = state.unionByName(part.withColumn("b", F.lit(number)))
-    fields = [c for c in state.columns if c not in (*TASK, "b")]
-    return (
-        state.groupBy(*TASK)
-        .agg(F.max_by(F.struct(*fields), "b").alias("s"))
-        .select(*TASK, "s.*")
-    )
-
-
-def _advance(batch: DataFrame, before: DataFrame, k: int, max_votes: int) -> DataFrame:
-    """The new state of the tasks in a batch that were still open."""
-    task = list(TASK)
-    state = before.join(batch.select(*task).distinct(), task, "left_semi")
-    rows = batch.join(state.where("closed").select(*task), task, "left_anti")
-    decided = decide(rows, k, max_votes, carried=state.where("NOT closed"))
-    return decided.select(*[f.split(" ")[0] for f in STATE.split(", ")])
+FIELDS = [f.split()[0] for f in STATE.split(", ")]
+DECISIONS = f"contract_id long, clause_category string, {STATE}"
+
+
+def advanced(state: tuple, rows: pd.DataFrame, k: int, max_votes: int) -> tuple:
+    """The state of a task's vote after further responses, in order: seq, flagged, answer (null: unreadable)."""
+    yes, no, drawn, flagged, unread, first, converged, closed, last = state
+    for seq, is_flagged, answer in rows.sort_values("seq").itertuples(index=False):
+        if seq <= last:
+            raise ValueError(f"response {seq} of a task came after response {last}")
+        last = seq
+        if closed:
+            continue
+        drawn, flagged, unread = drawn + 1, flagged + bool(is_flagged), unread + (answer is None)
+        if answer is None:
+            continue
+        yes, no = yes + (answer == "YES"), no + (answer == "NO")
+        first = first or answer
+        converged = abs(yes - no) >= k
+        closed = converged or yes + no >= max_votes
+    return yes, no, drawn, flagged, unread, first, converged, closed, last
 
 
 def vote_online(
     stream: DataFrame,
-    state_path: str,
+    out: str,
     checkpoint: str,
     k: int = 3,
     max_votes: int = MAX_VOTES,
@@ -57,43 +54,43 @@ def vote_online(
 ) -> StreamingQuery:
     """Start deciding the tasks of a response stream (contract_id, clause_category, seq, response).
 
-    Responses of a task must arrive in rising ``seq`` from batch to batch; inside a batch any order
-    will do.
+    Inside a batch a task's responses may come in any order; from batch to batch their ``seq`` must
+    rise, and one that comes late stops the stream with an error.
     """
 
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = _state_before(spark, state_path, number)
-        changed = _advance(batch, before, k, max_votes).persist()
-        try:
-            if number % SNAPSHOT_EVERY:
-                changed.write.mode("overwrite").parquet(f"{state_path}/delta/batch={number}")
-            else:
-                rest = before.join(changed.select(*TASK), list(TASK), "left_anti")
-                whole = rest.unionByName(changed)
-                whole.write.mode("overwrite").parquet(f"{state_path}/snapshot/batch={number}")
-        finally:
-            changed.unpersist()
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts))[["seq", "flagged", "answer"]]
+        rows["answer"] = rows["answer"].astype(object).where(rows["answer"].notna(), None)
+        now = advanced(state.get if state.exists else (0, 0, 0, 0, 0, None, False, False, -(1 << 62)), rows, k, max_votes)
+        state.update(now)
+        yield pd.DataFrame([(*key, *now)], columns=[*TASK, *FIELDS])
+
+    read = read_responses(stream).select(*TASK, F.col("seq").cast("long").alias("seq"), F.col("reason").isNotNull().alias("flagged"), "answer")
+    decided = read.groupBy(*TASK).applyInPandasWithState(step, DECISIONS, STATE, "update", GroupStateTimeout.NoTimeout)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
     return (
-        stream.writeStream.foreachBatch(step)
+        decided.writeStream.foreachBatch(write)
+        .outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger)
         .start()
     )
 
 
-def online_decisions(spark: SparkSession, state_path: str, batches: int) -> DataFrame:
-    """The decisions after a number of batches."""
-    state = _state_before(spark, state_path, batches)
-    total = F.col("yes_votes") + F.col("no_votes")
-    return state.select(
+def online_decisions(spark: SparkSession, out: str) -> DataFrame:
+    """The decisions so far: of each task the rows of the latest batch that touched it."""
+    rows = spark.read.schema(DECISIONS).parquet(out)
+    latest = rows.groupBy(*TASK).agg(F.max_by(F.struct(*FIELDS), "last_seq").alias("s")).select(*TASK, "s.*")
+    return latest.select(
         *TASK,
         leading_answer().alias("answer"),
         "yes_votes",
         "no_votes",
-        total.alias("total_votes"),
+        (F.col("yes_votes") + F.col("no_votes")).alias("total_votes"),
         "converged",
         "responses",
         "red_flagged",

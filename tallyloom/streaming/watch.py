@@ -97,16 +97,6 @@ def merged_metrics(parts: DataFrame, keys: list[str], late: str) -> DataFrame:
     return done.withColumn("closed", F.col("end") <= newest)
 
 
-def live_metrics(stream: DataFrame, ts: str, keys: list[str], value: str, width: str, late: str) -> DataFrame:
-    """Mean, maximum and number of values per key and time window."""
-    return (
-        stream.withWatermark(ts, late)
-        .groupBy(F.window(ts, width).alias("window"), *keys)
-        .agg(F.avg(value).alias("mean"), F.max(value).alias("max"), F.count(value).alias("n"))
-        .select(F.col("window.start").alias("start"), *keys, "mean", "max", "n")
-    )
-
-
 def sync_sources(
     stream: DataFrame,
     good: Column,

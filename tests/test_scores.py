@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -47,12 +48,54 @@ def lcs_by_table(a, b):
     return row[-1]
 
 
-def test_lcs():
+@pytest.mark.parametrize("lanes,steps", [(4096, 2048), (2, 7), (16, 64)])
+def test_lcs(monkeypatch, lanes, steps):
+    """Pairs moved together, and pairs cut into rectangles that pass carries on."""
+    monkeypatch.setattr(overlap, "LANES", lanes)
+    monkeypatch.setattr(overlap, "STEPS", steps)
     rng = random.Random(2)
-    for _ in range(300):
-        a = [rng.choice("abcd") for _ in range(rng.randint(0, 30))]
-        b = [rng.choice("abcde") for _ in range(rng.randint(0, 30))]
-        assert overlap.lcs_length(a, b) == lcs_by_table(a, b)
+    for _ in range(30):
+        items = rng.choice([2, 4, 30])
+        side = lambda: np.array([rng.randrange(items) for _ in range(rng.choice([0, 1, 5, 63, 64, 65, 130, 300]))], np.int64)  # noqa: B023, E731
+        pairs = [(side(), side()) for _ in range(rng.randint(1, 9))]
+        assert overlap.lcs_lengths(pairs) == [lcs_by_table(a.tolist(), b.tolist()) for a, b in pairs]
+
+
+def test_lcs_of_long_unrelated_texts():
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 3000, 20_000), rng.integers(0, 3000, 20_000)
+    start = time.perf_counter()
+    found = overlap.lcs_lengths([(a, b)])[0]
+    assert time.perf_counter() - start < 20
+    # one bit row as long as the text, moved word by word
+    places = {}
+    for i, item in enumerate(a.tolist()):
+        places[item] = places.get(item, 0) | 1 << i
+    row = full = (1 << len(a)) - 1
+    for item in b.tolist():
+        hit = row & places.get(item, 0)
+        row = (row + hit | row - hit) & full
+    assert found == len(a) - row.bit_count()
+
+
+def test_unstemmed_longest_by_table(spark):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["the", "Cat", "sat", "mats", "running", "x1"]) for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    rows = [(i, a, b) for i, (a, b) in enumerate(zip(texts, texts[1:] + ["the cat"], strict=True))]
+    pairs = spark.createDataFrame(rows, "pos long, prediction string, reference string")
+    for stemmed in (False, True):
+        words = lambda t: [overlap.scored_stem(w) if stemmed else w for w in t.lower().split()]  # noqa: B023, E731
+        for r in overlap.rouge_scores(pairs, stemmed=stemmed).collect():
+            _, a, b = rows[r["pos"]]
+            common = lcs_by_table(words(a), words(b))
+            precision, recall = common / max(len(a.split()), 1), common / max(len(b.split()), 1)
+            assert r["rougeL"] == pytest.approx(2 * precision * recall / (precision + recall) if common else 0.0)
+
+
+def test_word_stems(spark):
+    rows = spark.createDataFrame([("Running runs, the cats!",), ("the RUNNING",), (None,)], "t string")
+    got = {r["word"]: (r["stem"], r["n"]) for r in overlap.word_stems(rows, "t").collect()}
+    assert got == {"running": ("run", 2), "runs": ("run", 1), "the": ("the", 2), "cats": ("cat", 1)}
 
 
 def bleu_by_hand(pred, ref):

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import voting
@@ -20,8 +21,7 @@ def write_parts(log, spark, n):
     return path
 
 
-def test_online_vote_equals_batch(spark, monkeypatch):
-    monkeypatch.setattr(online, "SNAPSHOT_EVERY", 3)
+def test_online_vote_equals_batch(spark):
     logs = {t: c.replace("E", "m") for t, c in random_logs(40, seed=9).items() if c}
     _, log = frames(spark, logs)
     path = write_parts(log, spark, 7)
@@ -32,11 +32,21 @@ def test_online_vote_equals_batch(spark, monkeypatch):
     watch.run_once(running)
     batches = running.lastProgress["batchId"] + 1
     assert batches == 7
-    got = online.online_decisions(spark, state, batches)
+    got = online.online_decisions(spark, state)
     want = voting.decide(log, 3, 20).select(*got.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+def test_late_response_is_an_error(spark):
+    schema = "contract_id long, clause_category string, seq long, response string"
+    path = shared_dir(spark, "log")
+    for seq in (5, 3):
+        spark.createDataFrame([(1, "a", seq, "Yes")], schema).coalesce(1).write.mode("append").parquet(path)
+    running = online.vote_online(watch.new_files(spark, path, schema, per_check=1), shared_dir(spark, "state"), shared_dir(spark, "check"))
+    with pytest.raises(Exception, match="came after response 5"):
+        watch.run_once(running)
+
+
 def test_each_item_once(spark):
     path, out, checkpoint = (shared_dir(spark, n) for n in ("in", "out", "check"))
     schema = "id long"
