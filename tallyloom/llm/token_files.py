@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import Store, bounded, parts, ranges, written
+from tallyloom.llm.common import Store, bounded, parts, written
 from tallyloom.session import shared_dir
 
 FILE = "byte_bpe_50k.json"
@@ -47,7 +47,8 @@ SAMPLE = 256
 BLOCK = 4096
 BLOCK_BYTES = 1 << 23
 SPACES = r"\x{9}-\x{d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}"
-MARK = "\x01"  # a run that has no space before it
+MARK, CLOSE = "\x01", "\x02"  # a run that has no space before it; the end of a text
+RUNS = 4096
 ODD_SPACE = f" [{SPACES}]|[{SPACES}] |{MARK}"
 CUTS = (
     (r"(\pL)([.,;:!?]+[ \n])", rf"\1 {MARK}\2"),
@@ -100,9 +101,10 @@ class Encoder:
 
     The texts of a batch are cut where the vocabulary's expressions always end a match: between single
     spaces, before a final run of punctuation, around a single line feed.  Arrow puts the runs into a
-    dictionary, so Python sees each distinct run once per batch.  Runs seen before are looked up, new ones
-    encoded by the library.  Texts with other white space around a space, or with an added token, go to
-    the library as a whole.
+    dictionary, so Python sees each distinct run once per batch, and puts the ids of all runs together.
+    Runs seen before are looked up, new ones encoded by the library, many at once: an added token of the
+    vocabulary stands between them, as the library cuts texts at added tokens before all else.  Texts with
+    other white space around a space, or with an added token or a mark, go to the library as a whole.
     """
 
     def __init__(self, path: str):
@@ -111,17 +113,27 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
-        self.added = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.odd = "|".join([ODD_SPACE, CLOSE, *(re.escape(t.content) for t in added.values())])
+        plain = [(t.content, i) for i, t in sorted(added.items()) if not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.between, self.between_id = plain[0] if plain else ("", -1)
         self.kept = Store(KEPT)
 
     def _bytes(self, ids: list[int]) -> bytes:
         return array.array("H" if self.width == 2 else "I", ids).tobytes()
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        if not self.between:
+            found = (self.tokenizer.encode_batch_fast(texts[i : i + RUNS], add_special_tokens=False) for i in range(0, len(texts), RUNS))
+            return [self._bytes(e.ids) for batch in found for e in batch]
         out = []
-        for i in range(0, len(texts), 4096):  # the library's results are large
-            found = self.tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)
-            out += [self._bytes(e.ids) for e in found]
+        for i in range(0, len(texts), RUNS):
+            joined = self.between.join(texts[i : i + RUNS])
+            data = self._bytes(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids)
+            places = np.flatnonzero(np.frombuffer(data, self.kind) == self.between_id) * self.width
+            starts = [0, *(places + self.width).tolist()]
+            out += [data[a:b] for a, b in zip(starts, [*places.tolist(), len(data)], strict=True)]
         return out
 
     def _runs(self, runs: list[str]) -> list[bytes]:
@@ -137,39 +149,32 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, each closed by END_ID, and how many each has."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        odd = pc.match_substring_regex(texts, ODD_SPACE)
-        if self.added:
-            odd = pc.or_(odd, pc.match_substring_regex(texts, self.added))
-        odd = odd.to_numpy(zero_copy_only=False)
-        cut = pc.if_else(pa.array(odd), "", texts)
+        odd = pc.match_substring_regex(texts, self.odd)
+        whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        cut = pc.if_else(odd, "", texts) if len(whole) else texts
         for pattern, by in CUTS:
             cut = pc.replace_substring_regex(cut, pattern, by)
+        # a first run has no space before it, and the last run stands for the end id
+        cut = pc.binary_join_element_wise(*(x if x is cut else pa.scalar(x, cut.type) for x in (MARK, cut, f" {CLOSE}", "")))
         lists = pc.split_pattern(cut, " ")
         offsets = lists.offsets.to_numpy().astype(np.int64)
         offsets -= offsets[0]
         coded = lists.flatten().dictionary_encode()
-        codes = coded.indices.to_numpy().astype(np.int64)
         runs = coded.dictionary.to_pylist()
-        first = offsets[:-1]
-        # a text's first run has no space before it, and an odd text counts as one run
-        alone = [runs[c] for c in codes[first].tolist()]
-        for i in np.flatnonzero(odd):
-            alone[i] = texts[int(i)].as_py()
-        inner = np.ones(len(codes), bool)
-        inner[first] = False
-        used = np.unique(codes[inner])
-        data = self._encoded(alone) + self._runs([runs[i] for i in used]) + [self._bytes([END_ID])]
-        place = np.zeros(len(runs), np.int64)
-        place[used] = len(alone) + np.arange(len(used))
-        codes = place[codes]
-        codes[first] = np.arange(len(alone))
-        codes = np.insert(codes, offsets[1:], len(data) - 1)
-        bounds = offsets + np.arange(len(offsets))
-        sizes = np.fromiter((len(d) // self.width for d in data), np.int64, len(data))
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        counts = sizes[codes]
-        ids = np.frombuffer(b"".join(data), self.kind)[ranges(starts[codes], counts)]
-        return ids, np.add.reduceat(counts, bounds[:-1]) if len(texts) else np.zeros(0, np.int64)
+        data = self._runs(runs)
+        if CLOSE in runs:
+            data[runs.index(CLOSE)] = self._bytes([END_ID])
+        codes = coded.indices
+        if len(whole):
+            codes = codes.to_numpy().astype(np.int64)
+            codes[offsets[whole]] = len(data) + np.arange(len(whole))
+            for i in whole.tolist():
+                data.append(self._bytes(self.tokenizer.encode_batch_fast([texts[i].as_py()], add_special_tokens=False)[0].ids))
+        together = pa.array(data, pa.large_binary()).take(pa.array(codes))
+        ends = np.frombuffer(together.buffers()[1], np.int64)[: len(together) + 1] if len(together) else np.zeros(1, np.int64)
+        held = together.buffers()[2] if len(together) else b""
+        ids = np.frombuffer(held, self.kind)[: int(ends[-1]) // self.width]
+        return ids, np.diff(ends[offsets]) // self.width
 
 
 @cache
