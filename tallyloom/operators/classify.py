@@ -12,12 +12,34 @@ def pair_counts(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("truth", "predicted").agg(F.count("*").alias("n"))
 
 
-def confusion_matrix(pairs: DataFrame) -> DataFrame:
-    """Every truth label with every predicted label, also where the count is 0."""
+# Labels whose full grid of pairs is made; more are refused.
+MAX_LABELS = 1000
+
+
+def confusion_pairs(pairs: DataFrame) -> DataFrame:
+    """The pairs of labels that occur, with the totals of both sides: a sparse matrix for any number of labels.
+
+    All four numbers come from the pair counts; pairs that do not occur are 0.
+    """
     counts = pair_counts(pairs)
-    labels = counts.agg(
-        F.array_union(F.collect_set("truth"), F.collect_set("predicted")).alias("labels")
-    )
+    truth = counts.groupBy("truth").agg(F.sum("n").alias("truth_total"))
+    predicted = counts.groupBy("predicted").agg(F.sum("n").alias("predicted_total"))
+    return counts.join(truth, "truth").join(predicted, "predicted").select("truth", "predicted", "n", "truth_total", "predicted_total")
+
+
+def confusion_matrix(pairs: DataFrame, max_labels: int = MAX_LABELS) -> DataFrame:
+    """Every truth label with every predicted label, also where the count is 0.
+
+    The grid grows with the square of the labels, so it is refused beyond ``max_labels``; see
+    ``confusion_pairs``.
+    """
+    counts = pair_counts(pairs)
+    both = counts.select(F.explode(F.array("truth", "predicted")).alias("label")).distinct()
+    # one more than allowed is enough to know
+    labels = both.limit(max_labels + 1).agg(F.collect_list("label").alias("labels"))
+    refused = F.raise_error(F.lit(f"more than {max_labels} labels")).cast("array<string>")
+    kind = pairs.schema["truth"].dataType.simpleString()
+    labels = labels.select(F.when(F.size("labels") <= max_labels, F.col("labels")).otherwise(refused.cast(f"array<{kind}>")).alias("labels"))
     grid = labels.select("labels", F.explode("labels").alias("truth")).select(
         "truth", F.explode("labels").alias("predicted")
     )

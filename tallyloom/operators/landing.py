@@ -118,6 +118,31 @@ def collection_stats(contracts: DataFrame) -> DataFrame:
     )
 
 
+def collection_metadata(contracts: DataFrame, dataset: str, split: str, as_of: Column, output_file: str) -> DataFrame:
+    """The metadata document of a collection, as one row in the order of its fields."""
+    stats = collection_stats(contracts)
+    return stats.select(
+        F.lit(dataset).alias("dataset"),
+        F.lit(split).alias("split"),
+        F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ss").alias("download_date"),
+        "total_samples",
+        "clause_categories",
+        F.size("clause_categories").alias("num_categories"),
+        F.round("avg_text_length", 2).cast("decimal(18,2)").alias("avg_text_length"),
+        F.lit(output_file).alias("output_file"),
+    )
+
+
+def task_config(tasks: DataFrame, voting_threshold: int, granularity: str, as_of: Column) -> DataFrame:
+    """The configuration document of a task file, as one row."""
+    return tasks.agg(
+        F.lit(voting_threshold).alias("voting_threshold"),
+        F.lit(granularity).alias("granularity"),
+        F.count("*").alias("total_tasks"),
+        F.date_format(F.max(as_of), "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"),
+    )
+
+
 def dataset_cards(df: DataFrame, name: str) -> DataFrame:
     """A short card per data set: its size and fields."""
     fields = "\n".join(f"- `{c}`" for c in df.columns)

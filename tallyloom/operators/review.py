@@ -82,6 +82,19 @@ def experiment_metrics(judged: DataFrame, k: int, cost_per_vote: float = COST_PE
     )
 
 
+def experiment_head(judged: DataFrame, k: int, sample_size: str, model: str) -> DataFrame:
+    """The head of an experiment's document, one row: configuration, metrics and voter statistics.
+
+    The results of its contracts are lines of their own, as there may be any number of them.
+    """
+    metrics = ("accuracy", "zero_error_rate", "total_contracts", "total_clauses", "correct_clauses", "avg_votes_per_decision")
+    return experiment_metrics(judged, k).select(
+        F.struct(F.lit(k).alias("k"), F.lit(sample_size).alias("sample_size"), F.lit(model).alias("model")).alias("config"),
+        F.struct(*metrics).alias("metrics"),
+        F.struct("total_responses", "red_flagged", "discarded").alias("voter_stats"),
+    )
+
+
 def voter_statistics(voted: DataFrame) -> DataFrame:
     """Totals over all votes: unreadable answers are discarded but are not red flags."""
     return voted.agg(

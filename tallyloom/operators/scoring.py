@@ -3,34 +3,48 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.operators.voting import MAX_VOTES, TASK, decide
+from tallyloom.operators.voting import MAX_VOTES, TASK, read_responses
 
 
-def score_rows(df: DataFrame, key: str, value: str, load_model: Callable[[], Callable[[object], str]]) -> DataFrame:
-    """Apply a user model to each row; a row it fails on gets an ``error`` instead of a result.
+def halved(model: Callable[[list], Sequence], items: list) -> list[tuple]:
+    """(result, error) of each item: the model gets all items at once, and on an error each half by itself.
 
-    ``load_model`` runs once per task and returns the function to call.
+    An item stands alone before its error counts, so one bad item costs two calls per halving.
+    """
+    if not items:
+        return []
+    try:
+        results = list(model(items))
+        if len(results) != len(items):
+            raise ValueError(f"{len(results)} results for {len(items)} rows")
+        return [(None if r is None else str(r), None) for r in results]
+    except Exception as problem:  # the row is reported, the job goes on
+        if len(items) == 1:
+            return [(None, str(problem))]
+        middle = len(items) // 2
+        return halved(model, items[:middle]) + halved(model, items[middle:])
+
+
+def score_rows(df: DataFrame, key: str, value: str, load_model: Callable[[], Callable[[list], Sequence]], batch: int = 1024) -> DataFrame:
+    """Apply a user model to batches of rows; a row it fails on gets an ``error`` instead of a result.
+
+    ``load_model`` runs once per task and returns a function from a list of values to a list of results.
     """
     key_type = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load_model()
-        for batch in batches:
-            results, errors = [], []
-            for item in batch[value]:
-                try:
-                    results.append(model(item))
-                    errors.append(None)
-                except Exception as problem:  # the row is reported, the job goes on
-                    results.append(None)
-                    errors.append(str(problem))
-            yield pd.DataFrame({key: batch[key], "result": results, "error": errors})
+        for rows in batches:
+            for start in range(0, len(rows), batch):
+                part = rows.iloc[start : start + batch]
+                scored = halved(model, part[value].tolist())
+                yield pd.DataFrame({key: part[key].to_numpy(), "result": [r for r, _ in scored], "error": [e for _, e in scored]})
 
     return df.select(key, value).mapInPandas(run, f"{key} {key_type}, result string, error string")
 
@@ -63,6 +77,44 @@ def answer_tasks(
     return asked.withColumn("contract_id", F.col("contract_id").cast("long")).mapInPandas(run, schema)
 
 
+# What is known of a task after some blocks of answers.
+COUNTED = "yes long, no long, asked long, first string, state string"
+OPEN, DECIDED, OUT_OF_VOTES, BROKEN, NO_ANSWER = "open", "decided", "out of votes", "broken", "no valid answer"
+
+
+def counted(before: DataFrame, answers: DataFrame, k: int, max_votes: int, max_asked: int) -> DataFrame:
+    """The states of tasks after one more block of answers, from their states before it.
+
+    A block has a fixed number of answers per task, so they are folded in order as one short array.
+    """
+    read = read_responses(answers, failed="failed")
+    answer = F.struct(F.col("seq").alias("seq"), F.col("answer").alias("answer"), F.coalesce("failed", F.lit(False)).alias("failed"))
+    blocks = read.groupBy(*TASK).agg(F.sort_array(F.collect_list(answer)).alias("block"))
+
+    def step(s: Column, x: Column) -> Column:
+        yes = s["yes"] + F.when(x["answer"] == "YES", 1).otherwise(0)
+        no = s["no"] + F.when(x["answer"] == "NO", 1).otherwise(0)
+        state = (
+            F.when(x["failed"], BROKEN)
+            .when(x["answer"].isNotNull() & (F.abs(yes - no) >= k), DECIDED)
+            .when(yes + no >= max_votes, OUT_OF_VOTES)
+            .when((s["asked"] + 1 >= max_asked) & (yes + no == 0), NO_ANSWER)
+            .when(s["asked"] + 1 >= max_asked, OUT_OF_VOTES)
+            .otherwise(OPEN)
+        )
+        after = F.struct(
+            yes.cast("long").alias("yes"),
+            no.cast("long").alias("no"),
+            (s["asked"] + 1).alias("asked"),
+            F.coalesce(s["first"], x["answer"]).alias("first"),
+            state.alias("state"),
+        )
+        return F.when(s["state"] == OPEN, after).otherwise(s)
+
+    folded = before.join(blocks, list(TASK)).withColumn("s", F.aggregate("block", F.struct("yes", "no", "asked", "first", "state"), step))
+    return folded.select(*TASK, "s.*")
+
+
 def answer_until_decided(
     tasks: DataFrame,
     load_responder: Callable[[], Callable[[int, str, int], str]],
@@ -70,31 +122,34 @@ def answer_until_decided(
     k: int = 3,
     max_votes: int = MAX_VOTES,
     block: int = 5,
-) -> DataFrame:
-    """Ask in blocks of rounds until no task is open: each is decided, out of votes, or broken by an error.
-
-    The answers and the open tasks of each block are written below ``path``, so no call is made
-    twice, and a task stops costing calls at most one block after its decision.
+    max_asked: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Ask in blocks of rounds until no task is open; gives the log and the last state of each task.
+
+    A task is decided, out of votes, broken by an error, or, after ``max_asked`` questions (ten times the
+    votes) without one, left with the state "no valid answer".  Counts per task are carried from block to
+    block, so each answer is read once.  Answers and states are written below ``path``, so no call is made
+    twice, and a task stops costing calls at most one block after its end.
     """
-    spark = tasks.sparkSession
+    spark, limit = tasks.sparkSession, max_asked or 10 * max_votes
     task_schema = "contract_id long, clause_category string"
     log_schema = f"{task_schema}, seq long, response string, failed boolean"
 
-    def open_at(start: int) -> DataFrame:
-        return spark.read.schema(task_schema).parquet(f"{path}/open/start={start}")
+    def states(start: int | None = None) -> DataFrame:
+        at = path + "/states" + ("" if start is None else f"/start={start}")
+        return spark.read.schema(f"{task_schema}, {COUNTED}").parquet(at)
 
     first = tasks.select(F.col("contract_id").cast("long").alias("contract_id"), "clause_category").distinct()
-    first.write.mode("overwrite").parquet(f"{path}/open/start=1")
+    zero = F.lit(0).cast("long")
+    first = first.select(*TASK, zero.alias("yes"), zero.alias("no"), zero.alias("asked"), F.lit(None).cast("string").alias("first"), F.lit(OPEN).alias("state"))
+    first.write.mode("overwrite").parquet(f"{path}/states/start=1")
     for start in itertools.count(1, block):
-        open_tasks = open_at(start)
-        if open_tasks.isEmpty():
+        still_open = states(start).where(F.col("state") == OPEN)
+        if still_open.isEmpty():
             break
-        answer_tasks(open_tasks, load_responder, block, start).write.mode("overwrite").parquet(
-            f"{path}/log/start={start}"
-        )
-        log = spark.read.schema(log_schema).parquet(f"{path}/log").join(open_tasks, list(TASK), "left_semi")
-        over = decide(log, k, max_votes, failed="failed").where("closed").select(*TASK)
-        broken = log.where("failed").select(*TASK)
-        still_open = open_tasks.join(over.unionByName(broken).distinct(), list(TASK), "left_anti")
-        still_open.write.mode("overwrite").parquet(f"{path}/open/start={start + block}")
-    return spark.read.schema(log_schema).parquet(f"{path}/log")
+        log = f"{path}/log/start={start}"
+        answer_tasks(still_open.select(*TASK), load_responder, block, start).write.mode("overwrite").parquet(log)
+        answers = spark.read.schema(log_schema).parquet(log)
+        counted(still_open, answers, k, max_votes, limit).write.mode("overwrite").parquet(f"{path}/states/start={start + block}")
+    ended = states().where(F.col("state") != OPEN)
+    return spark.read.schema(log_schema).parquet(f"{path}/log"), ended

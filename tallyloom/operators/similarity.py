@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tallyloom.operators.joins import bounded_rows
 
 MAX_PROMPTS = 4096
+MAX_SIZE = 4096  # components of a vector whose covariances are taken
 SCALE = 100.0
 
 
@@ -117,51 +118,67 @@ def combined_score(evasion: Column, style: Column, suspicion: Column) -> Column:
     return evasion * style / (1 + suspicion)
 
 
-def _moments(df: DataFrame, side: str, vector: str) -> DataFrame:
-    """Per-task sums of a set of vectors: count, first and second moments as (i, j, value) rows."""
+def _checked(vector: Column, size: Column) -> Column:
+    """The vector, or an error if it is longer than ``MAX_SIZE`` or not of the given size."""
+    fits = (F.size(vector) == size) & (size <= MAX_SIZE)
+    return F.when(fits, vector).otherwise(F.raise_error(F.lit(f"vectors must be of one size, at most {MAX_SIZE}")).cast("array<double>"))
+
+
+def moments(df: DataFrame, vector: str) -> tuple[DataFrame, DataFrame]:
+    """Means (i, n, mean) and sample covariances (i, j, covariance; j <= i) of the components of vectors.
+
+    The means come first.  Products are then summed of differences to them, so a large common offset
+    does not cancel digits; tasks send one sum per pair of components.
+    """
+    doubles = F.transform(F.col(vector), lambda x: x.cast("double"))
+    given = df.where(F.col(vector).isNotNull()).select(doubles.alias("v"))
+    size = given.agg(F.max(F.size("v"))).scalar()
+    given = given.select(_checked(F.col("v"), size).alias("v"))
+    means = given.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.count("*").alias("n"), F.avg("x").alias("mean"))
+    pairs = F.sort_array(F.collect_list(F.struct("i", "mean")))
+    centre = means.agg(F.transform(pairs, lambda p: p["mean"])).scalar()
+    moved = given.withColumn("centre", centre).select(F.zip_with("v", "centre", lambda x, m: x - m).alias("v"))
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, first, second = 0, None, None
+        n, total = 0, None
         for batch in batches:
             if batch.empty:
                 continue
-            m = np.stack(batch[vector].to_numpy()).astype("float64")
-            n += len(m)
-            first = m.sum(0) if first is None else first + m.sum(0)
-            second = m.T @ m if second is None else second + m.T @ m
+            m = np.stack(batch["v"].to_numpy()).astype("float64")
+            n, total = n + len(m), m.T @ m if total is None else total + m.T @ m
         if n:
-            d = len(first)
-            i, j = np.divmod(np.arange(d * d), d)
-            yield pd.DataFrame(
-                {
-                    "i": np.concatenate([[-1], np.arange(d), i]),
-                    "j": np.concatenate([[-1], np.full(d, -1), j]),
-                    "value": np.concatenate([[float(n)], first, second.ravel()]),
-                }
-            )
+            i, j = np.tril_indices(len(total))
+            yield pd.DataFrame({"i": i, "j": j, "n": n, "sum": total[i, j]})
 
-    return df.select(vector).mapInPandas(add_up, "i int, j int, value double").withColumn("side", F.lit(side))
+    sums = moved.mapInPandas(add_up, "i int, j int, n long, sum double").groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("sum").alias("sum"))
+    return means, sums.select("i", "j", (F.col("sum") / F.greatest(F.col("n") - 1, F.lit(1))).alias("covariance"))
 
 
 def frechet_distance(left: DataFrame, right: DataFrame, vector: str) -> DataFrame:
     """Distance between the normal distributions of two embedding sets (documented only).
 
-    Tasks send d * d sums each; only those d * d numbers per set meet in the last step.
+    Only the means and covariances of both sets meet in the last step: a number per pair of components, of
+    which there are at most ``MAX_SIZE`` squared.
     """
-    sums = (
-        _moments(left, "left", vector)
-        .unionByName(_moments(right, "right", vector))
-        .groupBy("side", "i", "j")
-        .agg(F.sum("value").alias("value"))
-    )
+    parts = []
+    for side, df in (("left", left), ("right", right)):
+        means, covariances = moments(df, vector)
+        parts += [
+            means.select(F.lit(side).alias("side"), "i", F.lit(-1).alias("j"), F.col("mean").alias("value")),
+            covariances.select(F.lit(side).alias("side"), "i", "j", F.col("covariance").alias("value")),
+        ]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
 
     def finish(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         stats = {}
         for side, s in part.groupby("side"):
-            n = s.loc[(s.i < 0), "value"].iloc[0]
-            mean = s.loc[(s.i >= 0) & (s.j < 0)].sort_values("i")["value"].to_numpy() / n
-            second = s.loc[s.j >= 0].sort_values(["i", "j"])["value"].to_numpy().reshape(len(mean), -1)
-            stats[side] = (mean, (second - n * np.outer(mean, mean)) / max(n - 1, 1))
+            mean = s.loc[s.j < 0].sort_values("i")["value"].to_numpy()
+            pairs = s.loc[s.j >= 0]
+            covariance = np.zeros((len(mean), len(mean)))
+            covariance[pairs.i, pairs.j] = covariance[pairs.j, pairs.i] = pairs["value"]
+            stats[side] = (mean, covariance)
         if len(stats) < 2:
             return pd.DataFrame({"distance": [float("nan")]})
         (m1, c1), (m2, c2) = stats["left"], stats["right"]
@@ -169,4 +186,4 @@ def frechet_distance(left: DataFrame, right: DataFrame, vector: str) -> DataFram
         value = ((m1 - m2) ** 2).sum() + np.trace(c1) + np.trace(c2) - 2 * roots
         return pd.DataFrame({"distance": [float(max(value, 0.0))]})
 
-    return sums.groupBy(F.lit(0).alias("all")).applyInPandas(finish, "distance double")
+    return rows.groupBy(F.lit(0).alias("all")).applyInPandas(finish, "distance double")

@@ -126,6 +126,29 @@ def collection_summary_file(t):
     return r6(back.withColumn("clause_categories", F.array_join("clause_categories", ",")))
 
 
+@query(
+    "collection_documents",
+    """SELECT 'metadata' AS document, '{"dataset":"contracts","split":"train","download_date":"2025-01-31T00:00:00","total_samples":'
+              || count(*) || ',"clause_categories":["quality","toxic"],"num_categories":2,"avg_text_length":'
+              || cast(cast(round(sum(text_length) / greatest(count(*), 1), 2) AS decimal(18,2)) AS string)
+              || ',"output_file":"contracts/train.jsonl"}' AS content FROM contracts
+       UNION ALL SELECT 'tasks', '{"voting_threshold":3,"granularity":"clause","total_tasks":' || 2 * count(*)
+              || ',"created_at":"2025-01-31T00:00:00"}' FROM contracts""",
+    ("contracts",),
+)
+def collection_documents(t):
+    """The metadata of a collection and the configuration of its tasks as whole JSON documents, read back."""
+    as_of = F.lit("2025-01-31 00:00:00").cast("timestamp")
+    metadata = landing.collection_metadata(t.contracts, "contracts", "train", as_of, "contracts/train.jsonl")
+    config = landing.task_config(landing.clause_tasks(t.contracts), 3, "clause", as_of)
+    parts = []
+    for name, document in (("metadata", metadata), ("tasks", config)):
+        path = sinks.json_lines(document, shared_dir(t.spark, name))
+        back = t.spark.read.schema("content string").text(path)
+        parts.append(back.select(F.lit(name).alias("document"), "content"))
+    return parts[0].unionByName(parts[1])
+
+
 @query(
     "contracts_json_lines",
     "SELECT id, md5(text) AS text_md5, text_length, quality, toxic FROM contracts",
@@ -536,22 +559,30 @@ def media_union(t):
 
 @query(
     "caption_files",
-    """SELECT stem || '.txt' AS filename, md5(caption) AS content_md5 FROM captions
-       UNION ALL SELECT 'jsonl', md5(cast(count(*) AS string)) FROM captions""",
+    """SELECT 'txt' AS form, stem || '.txt' AS filename, md5(caption) AS content_md5 FROM captions
+       UNION ALL SELECT 'jsonl txt', stem || '.txt', md5(caption) FROM captions
+       UNION ALL SELECT 'jsonl', stem || '.png', md5(caption) FROM captions
+       UNION ALL SELECT 'json', stem || '.caption.json', md5(stem || '.png' || caption || 'null') FROM captions""",
     ("captions",),
 )
 def caption_files(t):
-    """Caption results written as text sidecars and as JSON lines, and read back."""
+    """Caption results written in all forms, and read back."""
     results = t.captions.select(
         F.concat("stem", F.lit(".png")).alias("filename"), "caption", F.lit(None).cast("string").alias("error")
     )
-    txt = sinks.captions(results, shared_dir(t.spark, "captions"), "txt")
-    lines = sinks.captions(results, shared_dir(t.spark, "captions"))
-    read = t.spark.read.schema("filename string, content string").parquet(txt)
-    count = readers.json_lines(t.spark, lines, "filename string, caption string, error string").agg(
-        F.lit("jsonl").alias("filename"), F.md5(F.count("*").cast("string")).alias("content_md5")
-    )
-    return read.select("filename", F.md5("content").alias("content_md5")).unionByName(count)
+    parts = []
+    for form in ("txt", "jsonl", "json"):
+        path = sinks.captions(results, shared_dir(t.spark, "captions"), form)
+        rows = t.spark.read.schema("filename string, content string").parquet(f"{path}/sidecars")
+        if form == "json":
+            node = F.from_json("content", "filename string, caption string, error string")
+            text = F.concat(node["filename"], node["caption"], F.coalesce(node["error"], F.lit("null")))
+            rows = rows.withColumn("content", text)
+        parts.append(rows.select(F.lit("jsonl txt" if form == "jsonl" else form).alias("form"), "filename", F.md5("content").alias("content_md5")))
+        if form == "jsonl":
+            lines = readers.json_lines(t.spark, f"{path}/lines", "filename string, caption string, error string")
+            parts.append(lines.select(F.lit("jsonl").alias("form"), "filename", F.md5("caption").alias("content_md5")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 @query(

@@ -113,22 +113,70 @@ def linked_annotations(t):
     return provenance.link_annotations(t.annotations, t.collections).select("id", "collection_id", "collection_name")
 
 
+def whole_manifests(t: Tables):
+    """Collections and annotations as the rows of their manifests."""
+    code = F.struct(F.lit("main").alias("branch"), F.md5("id").alias("commit"), F.lit(False).alias("dirty"))
+    day = F.lit("2025-01-31T00:00:00")
+    collections = t.collections.select(
+        "id", "type", "name", "output_dir", day.alias("created_at"), code.alias("git"),
+        F.struct(F.lit("folder").alias("kind"), F.col("output_dir").alias("path")).alias("source"),
+        F.struct((F.col("seq") % 97).alias("images"), (F.col("seq") % 7).alias("skipped")).alias("counts"),
+        F.struct(F.struct((F.col("seq") % 100).alias("limit"), "name").alias("collect")).alias("config"),
+    )
+    annotations = t.annotations.select(
+        "id", "type", "name", "parent_collection_id", "input_dir", F.concat("input_dir", F.lit("/captions")).alias("output_dir"),
+        day.alias("created_at"), code.alias("git"),
+        F.struct(F.lit("blip-base").alias("model"), F.col("name").alias("style")).alias("params"),
+        F.struct(F.length("id").alias("captioned"), F.lit(0).alias("failed")).alias("counts"),
+    )
+    return collections, annotations
+
+
+_GIT = """'{"branch":"main","commit":"' || md5(id) || '","dirty":false}'"""
+_MANIFESTS = f"""manifests AS (
+    SELECT id, type, name, CAST(NULL AS string) AS parent_collection_id, CAST(NULL AS string) AS input_dir, output_dir,
+           '{{"kind":"folder","path":"' || output_dir || '"}}' AS source, CAST(NULL AS string) AS params,
+           '{{"images":' || seq % 97 || ',"skipped":' || seq % 7 || '}}' AS counts, {_GIT} AS git,
+           '{{"collect":{{"limit":' || seq % 100 || ',"name":"' || name || '"}}}}' AS config FROM collections
+    UNION ALL
+    SELECT id, type, name, parent_collection_id, input_dir, input_dir || '/captions', NULL,
+           '{{"model":"blip-base","style":"' || name || '"}}', '{{"captioned":' || length(id) || ',"failed":0}}', {_GIT}, NULL FROM annotations)"""
+
+
 @query(
     "manifest_table",
-    """SELECT type, count(*) AS n, count(DISTINCT id) AS ids FROM (SELECT id, type FROM collections
-         UNION ALL SELECT id, type FROM annotations) GROUP BY 1""",
+    "SELECT *, '2025-01-31T00:00:00' AS created_at FROM manifests",
     ("collections", "annotations"),
+    _MANIFESTS,
 )
 def manifest_table(t):
-    """Manifests appended to one table in two steps, with a JSON copy, and read back."""
+    """Whole manifests appended to one table in two steps, and read back."""
+    path = shared_dir(t.spark, "manifests")
+    for rows in whole_manifests(t):
+        sinks.append_manifests(rows, path)
+    back = t.spark.read.schema(sinks.MANIFEST).parquet(path)
+    return back.withColumns({c: F.to_json(c) for c in sinks.NESTED})
+
+
+@query(
+    "manifest_sidecars",
+    """SELECT output_dir || '/collection_manifest.json' AS path, md5('{"id":"' || id || '","type":"collection","name":"' || name
+              || '","created_at":"2025-01-31T00:00:00","source":' || source || ',"output_dir":"' || output_dir || '","counts":'
+              || counts || ',"git":' || git || ',"config":' || config || '}') AS content_md5 FROM manifests WHERE type = 'collection'
+       UNION ALL SELECT output_dir || '/annotation_manifest.json', md5('{"id":"' || id || '","type":"annotation","name":"' || name
+              || '","created_at":"2025-01-31T00:00:00","parent_collection_id":' || coalesce('"' || parent_collection_id || '"', 'null')
+              || ',"input_dir":"' || input_dir || '","output_dir":"' || output_dir || '","params":' || params || ',"counts":' || counts
+              || ',"git":' || git || ',"config":null}') FROM manifests WHERE type = 'annotation'""",
+    ("collections", "annotations"),
+    _MANIFESTS,
+)
+def manifest_sidecars(t):
+    """The JSON document of every manifest, as it stands beside the data."""
     path, copy = shared_dir(t.spark, "manifests"), shared_dir(t.spark, "sidecars")
-    sinks.append_manifests(t.collections.select("id", "type"), path, copy)
-    sinks.append_manifests(t.annotations.select("id", "type"), path)
-    return (
-        t.spark.read.schema("id string, type string").parquet(path)
-        .groupBy("type")
-        .agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
-    )
+    for rows in whole_manifests(t):
+        sinks.append_manifests(rows, path, copy)
+    back = t.spark.read.schema("path string, content string").parquet(copy)
+    return back.select("path", F.md5("content").alias("content_md5"))
 
 
 @query(

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import classify, landing, overlap, quality, review, scoring, similarity, timing, voting
 from tallyloom.plans.catalog import Tables, query, r6
-from tallyloom.plans.oracle_parts import NOT_BLANK, TASKS
-from tallyloom.plans.voting import judged, reviewed_tasks
+from tallyloom.plans.oracle_parts import NOT_BLANK, TASKS, vote_ctes
+from tallyloom.plans.voting import judged, judged_ctes, reviewed_tasks
 from tallyloom.session import shared_dir
 from tallyloom.sources import readers, sinks
 
@@ -172,6 +172,17 @@ def classification_summary(t):
     return r6(classify.summary(t.verdicts))
 
 
+@query(
+    "confusion_pairs",
+    """SELECT *, cast(sum(n) OVER (PARTITION BY truth) AS bigint) AS truth_total,
+              cast(sum(n) OVER (PARTITION BY predicted) AS bigint) AS predicted_total
+       FROM (SELECT truth, predicted, count(*) AS n FROM verdicts GROUP BY ALL)""",
+    V,
+)
+def confusion_pairs(t):
+    return classify.confusion_pairs(t.verdicts)
+
+
 @query(
     "confusion_matrix",
     """SELECT a.label AS truth, b.label AS predicted,
@@ -499,6 +510,20 @@ def combined_scores(t):
     return r6(scored.select("image_id", similarity.combined_score(F.col("evasion"), style, suspicion).alias("score")))
 
 
+@query(
+    "embedding_moments",
+    """WITH wide AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings)
+       SELECT cast(i AS int) AS i, -1 AS j, round(avg(x), 9) AS value FROM wide GROUP BY ALL
+       UNION ALL SELECT cast(a.i AS int), cast(b.i AS int), round(covar_samp(a.x, b.x), 9) FROM wide a
+       JOIN wide b ON b.vec_id = a.vec_id AND b.i <= a.i GROUP BY ALL""",
+)
+def embedding_moments(t):
+    """Means (j = -1) and covariances of the embeddings' components."""
+    means, covariances = similarity.moments(t.embeddings, "embedding")
+    rows = means.select("i", F.lit(-1).alias("j"), F.col("mean").alias("value"))
+    return r6(rows.unionByName(covariances.select("i", "j", F.col("covariance").alias("value"))), 9)
+
+
 @query("frechet_distance")
 def frechet_distance(t):
     left = t.embeddings.where(F.col("label") < 5)
@@ -509,10 +534,10 @@ def frechet_distance(t):
 
 
 def _load_scorer():
-    def score(text: str) -> str:
-        if text.strip() == "" or "|" in text:
+    def score(texts: list) -> list:
+        if any(text.strip() == "" or "|" in text for text in texts):
             raise ValueError("not prose")
-        return str(len(text.split()))
+        return [len(text.split()) for text in texts]
 
     return score
 
@@ -539,27 +564,77 @@ def _load_responder():
     return answer
 
 
-@query("answered_tasks")
+_ASKED = """vote_log AS (SELECT contract_id, clause_category, seq, CASE WHEN byte < 40 THEN 'Maybe.'
+        WHEN byte < 150 THEN 'Yes, the clause is stated in the second part of this long contract text'
+        ELSE 'No, the clause is absent from this contract after reading all its sections' END AS response
+    FROM (SELECT *, cast('0x' || substr(md5(contract_id || ':' || clause_category || ':' || seq), 1, 2) AS int) AS byte
+          FROM (SELECT contract_id, clause_category, unnest(range(1, 201)) AS seq FROM tasks)))"""
+
+
+@query(
+    "answered_tasks",
+    """SELECT contract_id, clause_category, answer, total_votes, converged,
+              CASE WHEN converged THEN 'decided' ELSE 'out of votes' END AS state FROM decided""",
+    ("contracts",),
+    ", ".join([TASKS, _ASKED, vote_ctes(3, 20)]),
+)
 def answered_tasks(t):
     """Tasks answered in blocks until decided, then voted on."""
     tasks = reviewed_tasks(t)
-    log = scoring.answer_until_decided(tasks, _load_responder, shared_dir(t.spark, "answers"), block=10)
-    decided = voting.vote(tasks, log, failed="failed")
-    return decided.select("contract_id", "clause_category", "answer", "total_votes", "converged")
+    log, states = scoring.answer_until_decided(tasks, _load_responder, shared_dir(t.spark, "answers"), block=10)
+    decided = voting.vote(tasks, log, failed="failed").join(states.select(*voting.TASK, "state"), list(voting.TASK))
+    return decided.select("contract_id", "clause_category", "answer", "total_votes", "converged", "state")
+
+
+_DOCUMENT = """parts AS (SELECT *, clause_category || '=' || truth || '/' || answer || '/' || correct || '/' || yes_votes || '/'
+        || no_votes || '/' || total_votes || '/' || converged AS line FROM judged),
+    results AS (SELECT cast(contract_id AS string) AS part, count(*) FILTER (NOT correct) || ' ' || string_agg(line, ',' ORDER BY clause_category) AS content
+                FROM parts GROUP BY contract_id),
+    whole AS (SELECT count(DISTINCT contract_id) AS contracts, count(*) AS clauses, count(*) FILTER (correct) AS correct,
+                     avg(total_votes) FILTER (converged) AS votes, sum(responses) AS responses, sum(red_flagged) AS flagged,
+                     sum(discarded) AS discarded FROM judged),
+    faultless AS (SELECT count(*) AS n FROM (SELECT contract_id FROM judged GROUP BY 1 HAVING bool_and(correct)))"""
 
 
 @query(
     "experiment_document",
-    """SELECT contract_id, truth_list FROM (SELECT contract_id, string_agg(clause_category || '=' || truth, ','
-         ORDER BY clause_category) AS truth_list FROM tasks GROUP BY 1)""",
+    """SELECT part, content FROM results
+       UNION ALL SELECT 'config', '3 all sampled-log'
+       UNION ALL SELECT 'metrics', round(correct / clauses, 4) || ' ' || round(n / contracts, 4) || ' ' || contracts || ' ' || clauses
+              || ' ' || correct || ' ' || round(votes, 4) FROM whole, faultless
+       UNION ALL SELECT 'voter_stats', responses || ' ' || flagged || ' ' || discarded FROM whole""",
     ("contracts", "vote_log"),
-    TASKS,
+    ", ".join([judged_ctes(3), _DOCUMENT]),
 )
 def experiment_document(t):
-    """Contract results as nested JSON lines, one per contract, written and read back."""
-    results = review.contract_results(judged(t))
-    path = sinks.json_lines(results, shared_dir(t.spark, "results"))
-    clause = "struct<clause_category:string,ground_truth:string,prediction:string,correct:boolean>"
+    """An experiment's whole result as JSON, written and read back: its contracts line by line, then the document's head."""
+    votes = judged(t)
+    clause = (
+        "struct<clause_category:string,ground_truth:string,prediction:string,correct:boolean,"
+        "votes:map<string,bigint>,total_votes:bigint,converged:boolean>"
+    )
+    path = sinks.json_lines(review.contract_results(votes), shared_dir(t.spark, "results"))
     back = readers.json_lines(t.spark, path, f"contract_id long, clauses array<{clause}>, errors long")
-    line = F.transform("clauses", lambda c: F.concat_ws("=", c["clause_category"], c["ground_truth"]))
-    return back.select("contract_id", F.array_join(line, ",").alias("truth_list"))
+
+    def shown(c):
+        cast = [c["correct"], F.coalesce(c["votes"]["YES"], F.lit(0)), F.coalesce(c["votes"]["NO"], F.lit(0)), c["total_votes"], c["converged"]]
+        return F.concat(c["clause_category"], F.lit("="), F.concat_ws("/", c["ground_truth"], c["prediction"], *[x.cast("string") for x in cast]))
+
+    content = F.concat_ws(" ", F.col("errors").cast("string"), F.array_join(F.transform("clauses", shown), ","))
+    lines = back.select(F.col("contract_id").cast("string").alias("part"), content.alias("content"))
+    head = sinks.json_lines(review.experiment_head(votes, 3, "all", "sampled-log"), shared_dir(t.spark, "results"))
+    schema = (
+        "config struct<k:int,sample_size:string,model:string>, metrics struct<accuracy:double,zero_error_rate:double,"
+        "total_contracts:bigint,total_clauses:bigint,correct_clauses:bigint,avg_votes_per_decision:double>,"
+        " voter_stats struct<total_responses:bigint,red_flagged:bigint,discarded:bigint>"
+    )
+    read = readers.json_lines(t.spark, head, schema)
+
+    def fields(name):
+        return F.concat_ws(" ", *[
+            (F.round(f"{name}.{f.name}", 4) if f.dataType.simpleString() == "double" else F.col(f"{name}.{f.name}")).cast("string")
+            for f in read.schema[name].dataType.fields
+        ])
+
+    heads = F.array(*[F.struct(F.lit(name).alias("part"), fields(name).alias("content")) for name in read.columns])
+    return lines.unionByName(read.select(F.inline(heads)))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,26 +19,68 @@ def replace_dataset(df: DataFrame, path: str) -> str:
     return path
 
 
-def append_manifests(manifests: DataFrame, table_path: str, sidecar_path: str | None = None) -> str:
-    """Add manifests to the table and, if asked, a JSON copy next to the data."""
-    manifests.write.mode("append").parquet(table_path)
+# The columns of a manifest; what differs from kind to kind is held as variants.
+MANIFEST = (
+    "id string, type string, name string, created_at string, parent_collection_id string, input_dir string,"
+    " output_dir string, source variant, params variant, counts variant, git variant, config variant"
+)
+NESTED = ("source", "params", "counts", "git", "config")
+
+
+def manifests(rows: DataFrame) -> DataFrame:
+    """Rows as whole manifests: structs become variants, and columns that a kind lacks are null."""
+    given = {f.name: f.dataType for f in rows.schema.fields}
+    columns = []
+    for field in MANIFEST.split(", "):
+        name, kind = field.split()
+        if name not in given:
+            column = F.lit(None).cast(kind)
+        elif kind == "variant":
+            column = F.col(name) if given[name].simpleString() == "variant" else F.to_variant_object(name)
+        else:
+            column = F.col(name).cast(kind)
+        columns.append(column.alias(name))
+    return rows.select(*columns)
+
+
+def manifest_text(row_type: str = "collection") -> Column:
+    """A manifest as one JSON document, with the fields of its kind."""
+    own = ("source", "output_dir") if row_type == "collection" else ("parent_collection_id", "input_dir", "output_dir", "params")
+    return F.to_json(F.struct("id", "type", "name", "created_at", *own, "counts", "git", "config"), {"ignoreNullFields": "false"})
+
+
+def append_manifests(rows: DataFrame, table_path: str, sidecar_path: str | None = None) -> str:
+    """Add whole manifests to the table and, if asked, a JSON document per manifest beside its data.
+
+    Sidecars are rows (path, content) of one table, named by the manifest's output folder.
+    """
+    whole = manifests(rows)
+    whole.write.mode("append").parquet(table_path)
     if sidecar_path:
-        json_lines(manifests, sidecar_path, "append")
+        content = F.when(F.col("type") == "collection", manifest_text()).otherwise(manifest_text("annotation"))
+        place = F.concat("output_dir", F.lit("/"), "type", F.lit("_manifest.json"))
+        whole.select(place.alias("path"), content.alias("content")).write.mode("append").parquet(sidecar_path)
     return table_path
 
 
+# What a caption sidecar is called after the stem of its image; metadata sidecars are <stem>.json.
+CAPTION_ENDS = {"txt": ".txt", "json": ".caption.json"}
+
+
 def captions(results: DataFrame, path: str, form: str = "jsonl") -> str:
-    """Caption results as JSON lines, or as (file name, content) rows for txt and json sidecars.
+    """Caption results as sidecars, (file name, content) rows of txt or json form, below ``path``/sidecars.
 
+    The jsonl form writes one JSON line per result below ``path``/lines, and txt sidecars as well.
     Sidecars stay rows of one table: a folder of very many small files is slow to write and read.
     """
     if form == "jsonl":
-        return json_lines(results, path, "overwrite")
+        json_lines(results, f"{path}/lines", "overwrite")
+    kind = "txt" if form == "jsonl" else form
     done = results.where(F.col("error").isNull())
     stem = F.regexp_replace("filename", r"\.[^.]+$", "")
-    content = F.col("caption") if form == "txt" else F.to_json(F.struct(*done.columns))
-    rows = done.select(F.concat(stem, F.lit(f".{form}")).alias("filename"), content.alias("content"))
-    rows.write.mode("overwrite").parquet(path)
+    content = F.col("caption") if kind == "txt" else F.to_json(F.struct(*done.columns), {"ignoreNullFields": "false"})
+    rows = done.select(F.concat(stem, F.lit(CAPTION_ENDS[kind])).alias("filename"), content.alias("content"))
+    rows.write.mode("overwrite").parquet(f"{path}/sidecars")
     return path
 
 

@@ -211,13 +211,28 @@ def test_upsert_and_tags(spark):
 
 def test_bad_row_gives_an_error_row(spark):
     def load():
-        return lambda n: str(10 // int(n))
+        return lambda items: [10 // int(n) for n in items]
 
     df = spark.createDataFrame([(1, "5"), (2, "0"), (3, "x")], "id long, v string")
     got = {r["id"]: (r["result"], r["error"] is None) for r in scoring.score_rows(df, "id", "v", load).collect()}
     assert got == {1: ("2", True), 2: (None, False), 3: (None, False)}
 
 
+def test_bad_rows_are_found_by_halving():
+    calls = []
+
+    def model(items):
+        calls.append(len(items))
+        if any(i % 500 == 7 for i in items):
+            raise ValueError("bad row")
+        return [i + 1 for i in items]
+
+    got = scoring.halved(model, list(range(1024)))
+    assert got == [(None, "bad row") if i % 500 == 7 else (str(i + 1), None) for i in range(1024)]
+    assert calls[0] == 1024 and len(calls) < 3 * 2 * 11
+    assert scoring.halved(lambda items: items[:-1], [1, 2]) == [(None, "0 results for 1 rows")] * 2
+
+
 def test_answers_stop_after_the_decision(spark):
     def load():
         def answer(contract, category, turn):
@@ -228,8 +243,19 @@ def test_answers_stop_after_the_decision(spark):
         return answer
 
     tasks = spark.createDataFrame([(1, "a"), (9, "a")], "contract_id long, clause_category string")
-    log = scoring.answer_until_decided(tasks, load, shared_dir(spark, "t"), k=2, block=3)
+    log, states = scoring.answer_until_decided(tasks, load, shared_dir(spark, "t"), k=2, block=3)
     assert log.where("contract_id = 1").count() == 3 and log.where("contract_id = 9").count() == 3
+    assert {r["contract_id"]: (r["state"], r["yes"]) for r in states.collect()} == {1: ("decided", 2), 9: ("broken", 0)}
+
+
+def test_answers_that_never_vote_end(spark):
+    def load():
+        return lambda contract, category, turn: "Maybe." if contract == 1 or turn < 9 else "Yes" + " and no" * (turn % 2) + " the clause is in the second part of it"
+
+    tasks = spark.createDataFrame([(1, "a"), (2, "a")], "contract_id long, clause_category string")
+    log, states = scoring.answer_until_decided(tasks, load, shared_dir(spark, "t"), k=3, max_votes=5, block=4, max_asked=12)
+    assert {r["contract_id"]: (r["state"], r["yes"], r["asked"]) for r in states.collect()} == {1: ("no valid answer", 0, 12), 2: ("out of votes", 2, 12)}
+    assert log.count() == 24
 
 
 def test_shared_dir_follows_the_session():

@@ -182,6 +182,28 @@ def test_frechet(spark):
     assert similarity.frechet_distance(frames[0], frames[0], "v").first()["distance"] == pytest.approx(0, abs=1e-6)
 
 
+def test_moments_with_a_large_offset(spark):
+    rng = np.random.default_rng(3)
+    m = 1e8 + rng.normal(size=(300, 3))
+    df = spark.createDataFrame([(r.tolist(),) for r in m] + [(None,)], "v array<double>").repartition(4)
+    means, covariances = similarity.moments(df, "v")
+    assert [r["mean"] for r in means.orderBy("i").collect()] == pytest.approx(m.mean(0), abs=1e-6)
+    want = np.cov((m - 1e8).T)
+    for r in covariances.collect():
+        assert r["covariance"] == pytest.approx(want[r["i"], r["j"]], rel=1e-6)
+    mixed = spark.createDataFrame([([1.0],), ([1.0, 2.0],)], "v array<double>")
+    with pytest.raises(Exception, match="of one size"):
+        similarity.moments(mixed, "v")[1].collect()
+
+
+def test_confusion_of_many_labels(spark):
+    pairs = spark.range(2000).select(F.concat(F.lit("t"), F.col("id") % 60).alias("truth"), F.concat(F.lit("p"), F.col("id") % 45).alias("predicted"))
+    with pytest.raises(Exception, match="more than 100 labels"):
+        classify.confusion_matrix(pairs, 100).collect()
+    rows = classify.confusion_pairs(pairs).collect()
+    assert sum(r["n"] for r in rows) == 2000 and {r["truth_total"] for r in rows} == {33, 34}
+
+
 def test_scaling_laws(spark):
     rates = spark.createDataFrame([("a", 0.9, 10, 0.8), ("b", 0.5, 10, 0.8), ("c", 1.0, 10, 0.8)], "n string, p double, s int, v double")
     rows = {(r["n"], r["k"]): r for r in review.scaling_laws(rates, [1, 3], [0.95]).collect()}
