@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,11 +62,17 @@ def clause_columns(df: DataFrame, reserved: Sequence[str] = RESERVED) -> list[st
     return [c for c in df.columns if c not in reserved]
 
 
-def clause_tasks(contracts: DataFrame, threshold: int = 3, with_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+def clause_tasks(
+    contracts: DataFrame,
+    threshold: int = 3,
+    carry: Sequence[str] = (),
+    derive: Mapping[str, Callable[[Column], Column]] | None = None,
+) -> DataFrame:
     """One task per contract and clause category, made in place without a shuffle.
 
-    The contract text is left out by default so that later shuffles stay narrow; ``carry`` names other
-    columns that travel with the tasks.
+    The contract text is left out so that tasks stay narrow.  ``carry`` names other columns that travel with
+    the tasks; ``derive`` makes further ones from the category (and any column, such as the text) before the
+    tasks are unfolded, so that a long text is not copied once per category.
     """
     fields = {f.name: f.dataType for f in contracts.schema.fields}
     tasks = F.explode(
@@ -76,12 +82,13 @@ def clause_tasks(contracts: DataFrame, threshold: int = 3, with_text: bool = Fal
                     F.lit(c).alias("clause_category"),
                     F.col(c).cast("string").alias("label"),
                     tx.yes_no(F.col(c), fields[c]).alias("truth"),
+                    *[make(F.lit(c)).alias(name) for name, make in (derive or {}).items()],
                 )
                 for c in clause_columns(contracts)
             ]
         )
     )
-    keep = ["text", *carry] if with_text else list(carry)
+    keep = list(carry)
     return contracts.select(F.col("id").alias("contract_id"), *keep, tasks.alias("__task")).select(
         "contract_id",
         *keep,

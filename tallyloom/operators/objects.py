@@ -28,7 +28,7 @@ def to_upload(local: DataFrame, remote: DataFrame) -> DataFrame:
 
 
 def to_delete(local: DataFrame, remote: DataFrame) -> DataFrame:
-    """Remote objects without a local one; the reference declares this option but never uses it."""
+    """Remote objects without a local one; an option without a caller so far."""
     return remote.join(local.select("key"), "key", "left_anti")
 
 

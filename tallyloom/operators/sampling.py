@@ -17,7 +17,7 @@ def shuffled_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFram
 
 
 def train_split(df: DataFrame, key: str, percent: int = 90, seed: int = 42) -> DataFrame:
-    """Mark each row train or validation by its hash (configured only in the reference)."""
+    """Mark each row train or validation by its hash (documented only)."""
     bucket = F.conv(F.substring(seeded_hash(key, seed), 1, 8), 16, 10).cast("long") % 100
     return df.withColumn("split", F.when(bucket < percent, "train").otherwise("validation"))
 
@@ -38,6 +38,8 @@ def text_windows(df: DataFrame, text: str, size: int, overlap: int) -> DataFrame
     step = size - overlap
     last = F.greatest(F.char_length(text) - overlap - 1, F.lit(0))
     starts = F.sequence(F.lit(0), F.floor(last / step).cast("int"))
-    return df.select("*", F.explode(starts).alias("window")).withColumn(
-        "window_text", F.substr(F.col(text), F.col("window") * step + 1, F.lit(size))
+    cut = F.transform(
+        starts, lambda w: F.struct(w.alias("window"), F.substr(F.col(text), w * step + 1, F.lit(size)).alias("window_text"))
     )
+    # cut before unfolding: the text itself is not copied to its windows unless it is asked for
+    return df.select("*", F.inline(cut))

@@ -438,11 +438,11 @@ def caption_outcomes(t):
 
 @query(
     "styled_captions",
-    "SELECT stem, md5('borderlands style, ' || caption) AS caption_md5 FROM captions",
+    "SELECT stem, md5('sketch style, ' || caption) AS caption_md5 FROM captions",
     ("captions",),
 )
 def styled_captions(t):
-    styled = F.concat(F.lit("borderlands style, "), "caption")
+    styled = F.concat(F.lit("sketch style, "), "caption")
     return t.captions.select("stem", F.md5(styled).alias("caption_md5"))
 
 

@@ -296,6 +296,6 @@ def scaling_laws(t):
     ("contracts",),
 )
 def clause_prompts(t):
-    tasks = landing.clause_tasks(t.contracts, with_text=True)
-    prompt = tx.clause_prompt(F.col("text"), F.col("clause_category"))
-    return tasks.select(*TASK, F.char_length(prompt).alias("prompt_chars"), F.md5(prompt).alias("prompt_md5"))
+    prompt = lambda category: tx.clause_prompt(F.col("text"), category)
+    made = {"prompt_chars": lambda c: F.char_length(prompt(c)), "prompt_md5": lambda c: F.md5(prompt(c))}
+    return landing.clause_tasks(t.contracts, derive=made).select(*TASK, *made)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import paths as px
+from tallyloom.sources import json_arrays
 
 
 def json_lines(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -82,9 +83,10 @@ def list_items(json: Column, key: str) -> Column:
 
 
 def text_list(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """Texts with their position from a JSON file: an object with ``key``, or a bare list."""
-    files = whole_texts(spark, path, "*.json")
-    return files.select(F.posexplode(list_items(F.col("text"), key)).alias("pos", key))
+    """Texts with their position from JSON files: an object with ``key``, or a bare list, of any size."""
+    items = json_arrays.items(spark, path).where(F.col("section").isNull() | (F.col("section") == key))
+    text = F.get(F.from_json(F.concat(F.lit("["), F.col("item"), F.lit("]")), "array<string>"), 0)
+    return items.select("pos", text.alias(key))
 
 
 def annotation_count(spark: SparkSession, path: str) -> DataFrame:
