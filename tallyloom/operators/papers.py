@@ -43,7 +43,12 @@ tags:
 **Authors:** {{authors}}
 **Year:** {{year}}
 {{doi_line}}
+
+## Abstract
+
+{{abstract}}
 """
+NO_ABSTRACT = "*No abstract available*"
 
 
 def notes(papers: DataFrame) -> DataFrame:
@@ -59,6 +64,7 @@ def notes(papers: DataFrame) -> DataFrame:
             "doi": doi,
             "tags": tags,
             "doi_line": line,
+            "abstract": F.coalesce(F.nullif(F.col("abstract"), F.lit("")), F.lit(NO_ABSTRACT)),
         },
     )
     return papers.select(note_name(F.col("year"), F.col("title"), F.col("id")).alias("filename"), content.alias("content"))

@@ -182,6 +182,64 @@ def run_notes(runs: DataFrame, last: DataFrame, params: Mapping[str, T.DataType]
     return full.select(name.alias("filename"), content.alias("content"))
 
 
+# The keys of an experiment note's head.
+EXPERIMENT_NOTE = """---
+type: experiment
+name: "{{name}}"
+run_hash: "{{run_hash}}"
+date: {{date}}
+git:
+  commit: "{{commit}}"
+  commit_short: "{{short}}"
+  branch: "{{branch}}"
+  commit_url: "{{url}}"
+  commit_message: "{{message}}"
+tags: [experiment]
+---
+
+# {{name}}
+
+## Metrics
+{{metrics}}
+
+## Parameters
+{{params}}
+
+## Code
+[{{short}}]({{url}}) on {{branch}}: {{message}}
+{{note}}
+"""
+
+
+def experiment_notes(
+    runs: DataFrame, last: DataFrame, params: Mapping[str, T.DataType], code: DataFrame, repository: Column
+) -> DataFrame:
+    """One note per run with the code it ran with, as (filename, content).
+
+    ``code`` has run_hash, commit, branch, message and note, as ``provenance.code_state`` gives them.
+    """
+    full = runs.join(metric_entries(last), "run_hash", "left").join(code, "run_hash", "left")
+    exp, unknown = experiment_name(F.col("experiment")), F.lit("unknown")
+    content = tx.fill_template(
+        EXPERIMENT_NOTE,
+        {
+            "name": exp,
+            "run_hash": F.col("run_hash"),
+            "date": F.date_format("created_at", "yyyy-MM-dd"),
+            "commit": F.col("commit"),
+            "short": F.substring("commit", 1, 7),
+            "branch": F.coalesce("branch", unknown),
+            "url": F.concat(tx.web_url(repository), F.lit("/commit/"), "commit"),
+            "message": F.coalesce("message", unknown),
+            "metrics": tx.markdown_table(F.col("metrics"), "*None*"),
+            "params": tx.markdown_table(param_entries(params), "*None*"),
+            "note": F.coalesce("note", F.lit("")),
+        },
+    )
+    name = F.concat_ws("-", F.date_format("created_at", "yyyyMMdd"), tx.slug(exp), F.concat(run_key(F.col("run_hash")), F.lit(".md")))
+    return full.select(name.alias("filename"), content.alias("content"))
+
+
 def run_filenames(runs: DataFrame, as_of: Column) -> DataFrame:
     """The three note names in use: plain, with slug, and by the day of the export."""
     exp, key = experiment_name(F.col("experiment")), run_key(F.col("run_hash"))

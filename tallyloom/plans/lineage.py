@@ -549,7 +549,8 @@ def paper_tags(t):
         || '\ndoi: "' || doi || '"\nstatus: unread\ntags:\n  - paper\n  - auto-generated\n  - '
         || json_extract_string(tags, '$[0]') || '\n  - ' || json_extract_string(tags, '$[1]')
         || '\n---\n\n# ' || title || '\n\n**Authors:** ' || authors || '\n**Year:** ' || year || '\n'
-        || CASE WHEN doi <> '' THEN '**DOI:** [' || doi || '](https://doi.org/' || doi || ')' ELSE '' END || '\n')
+        || CASE WHEN doi <> '' THEN '**DOI:** [' || doi || '](https://doi.org/' || doi || ')' ELSE '' END
+        || '\n\n## Abstract\n\n' || CASE WHEN abstract = '' THEN '{papers.NO_ABSTRACT}' ELSE abstract END || '\n')
         AS content_md5 FROM papers""",
     P,
 )

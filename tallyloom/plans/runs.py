@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.functions import text as tx
-from tallyloom.operators import runs, similarity
+from tallyloom.operators import provenance, runs, similarity
 from tallyloom.plans.catalog import query, r6
 from tallyloom.session import shared_dir
 from tallyloom.sources import sinks
@@ -287,6 +287,36 @@ def run_notes(t):
     return _notes(t).select("filename", F.md5("content").alias("content_md5"))
 
 
+_SLUG = f"trim(regexp_replace(lower({EXP}), '[^\\p{{L}}\\p{{N}}_-]', '-', 'g'), '-')"
+
+
+@query(
+    "experiment_notes",
+    f"""SELECT strftime(created_at, '%Y%m%d') || '-' || {_SLUG} || '-' || substr(run_hash, 1, 8) || '.md' AS filename, md5(
+      '---\ntype: experiment\nname: "' || {EXP} || '"\nrun_hash: "' || run_hash || '"\ndate: ' || strftime(created_at, '%Y-%m-%d')
+      || '\ngit:\n  commit: "' || com || '"\n  commit_short: "' || substr(com, 1, 7) || '"\n  branch: "' || coalesce(branch, 'unknown')
+      || '"\n  commit_url: "' || url || com || '"\n  commit_message: "' || coalesce(message, 'unknown')
+      || '"\ntags: [experiment]\n---\n\n# ' || {EXP} || '\n\n## Metrics\n'
+      || coalesce('| Key | Value |\n|-----|-------|\n' || m.rows, '*None*')
+      || '\n\n## Parameters\n| Key | Value |\n|-----|-------|\n| epochs | ' || epochs || ' |\n| learning_rate | '
+      || printf('%.4f', learning_rate) || ' |\n| lora_rank | ' || lora_rank || ' |\n\n## Code\n[' || substr(com, 1, 7) || '](' || url || com
+      || ') on ' || coalesce(branch, 'unknown') || ': ' || coalesce(message, 'unknown') || '\n'
+      || CASE WHEN commit_hash IS NULL THEN 'current state' ELSE '' END || '\n') AS content_md5
+    FROM (SELECT *, coalesce(commit_hash, 'HEAD') AS com, 'https://code.example.com/team/app/commit/' AS url
+          FROM runs LEFT JOIN commits ON commit_hash = md5(cast(seq AS string)))
+    LEFT JOIN (SELECT run_hash, string_agg('| ' || name || ' | ' || printf('%.4f', value) || ' |', '\n'
+                                  ORDER BY name) AS rows FROM last GROUP BY 1) m USING (run_hash)""",
+    ("runs", "run_metrics", "commits"),
+    _LAST,
+)
+def experiment_notes(t):
+    """Notes of runs with the state of their code."""
+    known = t.runs.select("run_hash", F.md5(F.col("seq").cast("string")).alias("git_hash"), F.lit(None).cast("string").alias("stored_commit"))
+    code = provenance.code_state(known, t.commits, "HEAD", "current state").select("run_hash", "commit", "branch", "message", "note")
+    made = runs.experiment_notes(t.runs, runs.last_values(t.run_metrics), _PARAMS, code, F.lit("git@code.example.com:team/app.git"))
+    return made.select("filename", F.md5("content").alias("content_md5"))
+
+
 @query("written_notes", _NOTE_SQL, ("runs", "run_metrics"), _LAST)
 def written_notes(t):
     """Notes written in two steps; the second finds some there already and leaves them."""

@@ -170,6 +170,7 @@ VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "papers": (
         ("documents",),
         """SELECT doc_id AS id, text AS title, source AS authors, 2015 + cast(doc_id % 10 AS int) AS year,
+                  CASE WHEN lang = 'de' THEN '' ELSE 'On ' || lang || ' texts of ' || source || '.' END AS abstract,
                   CASE WHEN lang = 'en' THEN '' ELSE '10.1/' || cast(doc_id AS string) END AS doi,
                   '["' || lang || '", "' || source || '"]' AS tags
            FROM {documents}""",
