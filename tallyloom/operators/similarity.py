@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.operators.joins import bounded_rows
+from tallyloom.operators.ordered import positions
+from tallyloom.session import staged
 
 MAX_PROMPTS = 4096
 MAX_SIZE = 4096  # components of a vector whose covariances are taken
@@ -69,6 +71,45 @@ def best_prompt(images: DataFrame, vector: str, prompts: Sequence[tuple]) -> Dat
     return scored.select(*rest, F.get(names, at).alias("prompt"), best.alias("cosine"))
 
 
+def best_of_many(
+    images: DataFrame, key: str, vector: str, prompts: DataFrame, name: str, prompt_vector: str, block: int = 1024, rows: int = 1 << 16
+) -> DataFrame:
+    """The closest prompt of each image (key, prompt, cosine), for prompt tables of any size; at a tie the first.
+
+    Blocks of prompts meet chunks of images: one matrix product per block and chunk, whose size does not
+    depend on the tables.  Of each product only the best prompt per image is kept.
+    """
+    numbered, seen = staged(positions(prompts.select(F.col(name).alias("prompt"), F.col(prompt_vector).alias("p")), ["prompt"], "n"), "prompts", n=F.count(F.lit(1)))
+    n_blocks = max(1, -(-seen["n"] // block))
+    n_chunks = max(1, -(-images.count() // rows))
+    left = images.select(
+        F.col(key).alias("key"),
+        F.col(vector).alias("v"),
+        F.pmod(F.xxhash64(key), F.lit(n_chunks)).alias("chunk"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"),
+    )
+    right = numbered.select(
+        "prompt",
+        "p",
+        F.floor((F.col("n") - 1) / block).alias("block"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_chunks - 1).cast("long"))).alias("chunk"),
+    )
+    kind = images.schema[key].dataType.simpleString()
+    text = prompts.schema[name].dataType.simpleString()
+
+    def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"key": a["key"][:0], "prompt": b["prompt"][:0], "cosine": pd.Series([], dtype="float64")})
+        b = b.sort_values("prompt")
+        cosine = _unit(np.stack(a["v"].to_numpy()).astype("float64")) @ _unit(np.stack(b["p"].to_numpy()).astype("float64")).T
+        at = cosine.argmax(axis=1)
+        return pd.DataFrame({"key": a["key"].to_numpy(), "prompt": b["prompt"].to_numpy()[at], "cosine": cosine[np.arange(len(a)), at]})
+
+    met = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(product, f"key {kind}, prompt {text}, cosine double")
+    best = met.groupBy("key").agg(F.min_by(F.struct("prompt", "cosine"), F.struct(-F.col("cosine"), F.col("prompt"))).alias("b"))
+    return best.select(F.col("key").alias(key), "b.prompt", "b.cosine")
+
+
 def unit_score(cosine: Column) -> Column:
     """A cosine moved to the range 0 to 1."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (cosine + 1) / 2))

@@ -426,6 +426,18 @@ def best_prompts(t):
     return r6(similarity.best_prompt(t.embeddings.drop("label"), "embedding", label_prompts(t)))
 
 
+@query(
+    "best_of_many_prompts",
+    """WITH unit AS (SELECT vec_id, list_transform(embedding, lambda x: x / sqrt(list_sum(list_transform(embedding, lambda y: y * y)))) AS u FROM embeddings)
+       SELECT a.vec_id, round(max(list_dot_product(a.u, b.u)), 6) AS cosine FROM unit a, unit b WHERE b.vec_id % 100 = 0 GROUP BY 1""",
+)
+def best_of_many_prompts(t):
+    """Every hundredth embedding as a prompt, in blocks; the names of equally close prompts are not compared."""
+    rows = t.embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    prompts = rows.where(F.col("vec_id") % 100 == 0)
+    return r6(similarity.best_of_many(rows, "vec_id", "v", prompts, "vec_id", "v").select("vec_id", "cosine"))
+
+
 @query(
     "style_score",
     """SELECT round(-100 * avg(c), 6) AS style_loss, round(greatest(0, least(1, (avg(c) + 1) / 2)), 6) AS style_score

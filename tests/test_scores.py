@@ -166,6 +166,19 @@ def test_zero_vector_and_ties(spark):
     assert best[0] == ("x", 0.0) and best[1][0] == "y" and best[2][0] == "x"
 
 
+def test_best_of_many_prompts(spark):
+    rng = np.random.default_rng(2)
+    images = spark.createDataFrame([(i, rng.normal(size=5).tolist()) for i in range(70)], "id long, v array<double>")
+    rows = [(f"p{i:04d}", rng.normal(size=5).tolist()) for i in range(300)]
+    rows += [(f"q{i}", rows[i][1]) for i in range(3)]  # ties
+    prompts = spark.createDataFrame(rows, "name string, p array<double>")
+    want = {r["id"]: (r["prompt"], round(r["cosine"], 9)) for r in similarity.best_prompt(images, "v", sorted(rows)).collect()}
+    for block, chunk in ((1024, 1 << 16), (7, 9)):
+        got = similarity.best_of_many(images, "id", "v", prompts, "name", "p", block, chunk).collect()
+        assert {r["id"]: (r["prompt"], round(r["cosine"], 9)) for r in got} == want and len(got) == 70
+    assert similarity.best_of_many(images, "id", "v", prompts.where("false"), "name", "p").count() == 0
+
+
 def test_entropy_limits(spark):
     df = spark.createDataFrame([([1.0, 0.0],), ([0.5, 0.5],)], "p array<double>")
     got = [r["h"] for r in df.select(similarity.entropy(F.col("p")).alias("h")).collect()]
