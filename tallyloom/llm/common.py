@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.session import shared_dir
@@ -22,6 +23,13 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_with(df: DataFrame, purpose: str, **aggregates: Column) -> tuple[DataFrame, dict]:
+    """The same, and aggregates over its rows that are computed while writing, without a second scan."""
+    seen = Observation()
+    table = written(df.observe(seen, *[value.alias(name) for name, value in aggregates.items()]), purpose)
+    return table, seen.get
+
+
 def parts(spark: SparkSession) -> int:
     """The session's number of shuffle partitions; a cluster sets it for its data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -38,6 +46,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def weights(n: int) -> np.ndarray:
+    """Odd multipliers for n places, unrelated to each other, so that sums of weighed items tell orders apart."""
+    return mixed(np.arange(1, n + 1, dtype=U64) * MIX_A) | U64(1)
+
+
 def bounded(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive items whose sizes add up to about ``limit``; a larger item is alone."""
     start, total = 0, 0
@@ -50,6 +63,13 @@ def bounded(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few texts are Python strings at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """start, start+1, … for each pair, one after the other."""
     total = int(counts.sum())

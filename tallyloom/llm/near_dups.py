@@ -15,10 +15,12 @@
   links that join two components leave the task.  After it, every candidate pair lies within a
   component or is refuted.
 
-Components come from alternating large-star and small-star joins on the link table; nothing is collected.
+Components come from alternating large-star and small-star joins on the link table; links of the second round
+join components, so only components meet again.  Joins are merge joins: no side passes the driver.
 
 Defined results: null texts and texts without words have an empty set, no links, and are their own
-component.  Rows with equal id are one document.  A row with a null id takes part, sorts after all ids,
+component.  Rows with equal id are one document;
+``keep_one`` keeps the one whose columns have the smallest hash.  A row with a null id takes part, sorts after all ids,
 has a null component only if its whole group has null ids, and is kept only then.  An empty table gives
 an empty table.
 """
@@ -32,14 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import MIX_A, U64, bounded, mixed, ranges, shingles, text_or_empty, word_hashes, written
+from tallyloom.llm.common import MIX_A, U64, bounded, mixed, ranges, shingles, slices, text_or_empty, word_hashes, written, written_with
 
 HASHES = 96
 ROWS = 4
 BANDS = HASHES // ROWS
 BITS = 4
 PERCENT = 80
-BLOCK = 2000
+BLOCK = 1000
 BLOCK_BYTES = 1 << 20
 LOWEST_LANE = U64(0x1111111111111111)
 LARGEST = (1 << 63) - 1
@@ -99,7 +101,7 @@ def lowest_estimate(percent: int) -> float:
 
 
 def _batches(batches: Iterator[pa.RecordBatch], column: int):
-    for batch in batches:
+    for batch in slices(batches):
         texts = [(t or "").encode("utf-8", "replace") for t in batch.column(column).to_pylist()]
         for a, b in bounded([len(t) for t in texts], BLOCK_BYTES):
             yield batch, a, b, texts[a:b]
@@ -153,27 +155,51 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(cut, "id long, items array<long>").filter(F.size("items") > 0)
 
 
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) as links of each node to the smallest node it is joined with in this batch."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        left, right = at[: len(a)], at[len(a) :]
+        label = np.arange(len(nodes))
+        while True:
+            low = np.minimum(label[left], label[right])
+            best = label.copy()
+            for end in (label[left], label[right]):
+                np.minimum.at(best, end, low)
+            best = best[label]
+            while (best != (further := best[best])).any():
+                best = further
+            if (best == label).all():
+                break
+            label = best
+        moved = label != np.arange(len(nodes))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], names=["a", "b"])
+
+
 def components(links: DataFrame, purpose: str = "components") -> DataFrame:
-    """(node, component) for every node of the undirected links (a, b); component is the smallest node."""
+    """(node, component) for every node of the undirected links (a, b); component is the smallest node.
 
-    def neighbours(df: DataFrame) -> DataFrame:
-        both = df.select("a", "b").union(df.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        return both.filter("a <> b")
+    Alternating large-star and small-star joins, one written table per round; tasks contract their links
+    before they write them, so chains that lie in one task take no rounds.  A round's number of links and
+    their checksum are observed while it is written; they stay when all links are stars.
+    """
 
-    def state(df: DataFrame):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
+    def kept(df: DataFrame) -> tuple[DataFrame, dict]:
+        rows = df.mapInArrow(_contracted, "a long, b long")
+        return written_with(rows, purpose, n=F.count(F.lit(1)), sum=F.coalesce(F.sum(F.xxhash64("a", "b") % (1 << 40)), F.lit(0)))
 
-    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), purpose)
-    seen = state(edges)
-    while True:
-        both = neighbours(edges)
+    edges, seen = kept(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    while seen["n"]:
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(least, F.col("a") == F.col("u")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.join(least.hint("merge"), F.col("a") == F.col("u")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = large.filter("a <> b").distinct()
         least = down.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        small = down.join(least, F.col("a") == F.col("u")).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
-        edges = written(small.filter("a <> b").distinct(), purpose)
-        now = state(edges)
+        small = down.join(least.hint("merge"), F.col("a") == F.col("u")).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
+        edges, now = kept(small.filter("a <> b").distinct())
         if now == seen:
             break
         seen = now
@@ -181,6 +207,13 @@ def components(links: DataFrame, purpose: str = "components") -> DataFrame:
     return nodes.union(edges.select(F.col("b"), F.col("b")).distinct())
 
 
+def relabelled(df: DataFrame, column: str, found: DataFrame) -> DataFrame:
+    """``df`` with the component of ``column`` in its place, where it has one."""
+    names = found.select(F.col("node").alias("__node"), F.col("component").alias("__component"))
+    joined = df.join(names.hint("merge"), F.col(column) == F.col("__node"), "left")
+    return joined.withColumn(column, F.coalesce("__component", column)).drop("__node", "__component")
+
+
 def sets_among(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """The full sets of the documents with these ids; the texts are shuffled once."""
     return written(full_sets(docs.join(ids.hint("merge"), "id", "left_semi"), size), "sets")
@@ -190,7 +223,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose full sets are similar enough."""
     one = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
     other = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    met = pairs.join(one, "a").join(other, "b").withColumn("common", F.size(F.array_intersect("x", "y")).cast("long"))
+    met = pairs.join(one.hint("merge"), "a").join(other.hint("merge"), "b").withColumn("common", F.size(F.array_intersect("x", "y")).cast("long"))
     alike = 100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common"))
     return met.filter(alike).select("a", "b").distinct()
 
@@ -206,14 +239,14 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             s, t = (np.frombuffer(b"".join(batch.column(i).to_pylist()), U64).reshape(batch.num_rows, -1) for i in (2, 3))
             yield batch.select(["a", "b"]).filter(pa.array(estimate(s, t) >= lowest))
 
-    rows = pairs.join(one, "a").join(other, "b").select("a", "b", "s", "t")
+    rows = pairs.join(one.hint("merge"), "a").join(other.hint("merge"), "b").select("a", "b", "s", "t")
     return rows.mapInArrow(score, "a long, b long")
 
 
 def _blocks(members: DataFrame) -> DataFrame:
     """Bucket members dealt to pairs of blocks: a bucket of n members has n / BLOCK blocks."""
     sizes = members.groupBy("band", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(sizes, ["band", "key"]).withColumn("mine", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    rows = members.join(sizes.hint("merge"), ["band", "key"]).withColumn("mine", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     rows = rows.withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return rows.withColumns({"lo": F.least("mine", "theirs"), "hi": F.greatest("mine", "theirs")})
 
@@ -279,11 +312,9 @@ def _links_between(members: DataFrame, lowest: float, percent: int) -> DataFrame
 
 def _members(met: DataFrame, found: DataFrame) -> DataFrame:
     """Bucket members (band, key, rep, sig) with their component, in buckets of more than one component."""
-    labelled = met.join(found, F.col("rep") == F.col("node"), "left").select(
-        "band", "key", "rep", "sig", F.coalesce("component", "rep").alias("comp")
-    )
+    labelled = relabelled(met.withColumn("comp", F.col("rep")), "comp", found).select("band", "key", "rep", "sig", "comp")
     several = labelled.groupBy("band", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y")
-    return labelled.join(several.select("band", "key"), ["band", "key"])
+    return labelled.join(several.select("band", "key").hint("merge"), ["band", "key"])
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -300,29 +331,31 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, text
     classes = written(classes, "classes")
     buckets = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     pivots = buckets.groupBy("band", "key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last"))
-    met = buckets.join(pivots.filter("pivot < last"), ["band", "key"]).select("band", "key", "rep", "pivot")
+    met = buckets.join(pivots.filter("pivot < last").hint("merge"), ["band", "key"]).select("band", "key", "rep", "pivot")
     met = written(met, "buckets")
     pairs = met.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     tried = written(_estimated(pairs, classes, percent), "pairs")
     ids = tried.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     links = written(confirmed(tried, sets_among(ids, rows, size), percent), "links")
-    found = written(components(links), "components")
+    found = components(links)
     # second round: buckets that lie in more than one component
-    members = _members(met.select("band", "key", "rep").join(classes.select("rep", "sig"), "rep"), found)
+    members = _members(met.select("band", "key", "rep").join(classes.select("rep", "sig").hint("merge"), "rep"), found)
+    members = written(members, "members")
     lowest = lowest_estimate(percent)
-    ids = written(_still_apart(members, lowest), "still-apart")
-    if not ids.isEmpty():
+    ids, apart = written_with(_still_apart(members, lowest), "still-apart", n=F.count(F.lit(1)))
+    named = relabelled(classes.select("h1", "h2", F.col("rep").alias("component")), "component", found)
+    if apart["n"]:
         sets = sets_among(ids, rows, size).dropDuplicates(["id"]).withColumnRenamed("id", "rep")
-        whole = members.join(classes.select("rep", "bands"), "rep").join(sets, "rep")
-        fresh = written(_links_between(whole, lowest, percent), "more-links")
-        if not fresh.isEmpty():
-            found = written(components(links.union(fresh)), "components")
+        whole = members.join(classes.select("rep", "bands").hint("merge"), "rep").join(sets.hint("merge"), "rep")
+        fresh, more = written_with(_links_between(whole, lowest, percent), "more-links", n=F.count(F.lit(1)))
+        if more["n"]:
+            # new links join whole components: only those meet again
+            between = relabelled(relabelled(fresh, "a", found), "b", found)
+            named = relabelled(named, "component", components(between))
     # rows -> classes -> components
-    named = classes.select(F.col("h1").alias("x1"), F.col("h2").alias("x2"), "rep")
-    named = named.join(found, F.col("rep") == F.col("node"), "left").select(
-        "x1", "x2", F.coalesce("component", "rep").alias("component")
-    )
-    joined = signed.select("id", "n", "h1", "h2").join(named, (F.col("h1") == F.col("x1")) & (F.col("h2") == F.col("x2")), "left")
+    named = named.select(F.col("h1").alias("x1"), F.col("h2").alias("x2"), "component")
+    same = (F.col("h1") == F.col("x1")) & (F.col("h2") == F.col("x2"))
+    joined = signed.select("id", "n", "h1", "h2").join(named.hint("merge"), same, "left")
     return joined.select("id", "n", F.coalesce("component", "id").alias("component"))
 
 
@@ -343,5 +376,9 @@ def keep_one(docs: DataFrame, size: int = 5, text: str = "text", key: str = "doc
     gone = found.filter("id <> component").select("id").distinct()
     hidden = F.lit(NO_ID) + F.pmod(F.xxhash64(text_or_empty(text)), F.lit(1 << 39))
     ids = F.coalesce(F.col(key).cast("long"), hidden)
-    kept = docs.withColumn("__id", ids).join(gone.withColumnRenamed("id", "__id"), "__id", "left_anti")
-    return kept.dropDuplicates(["__id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = docs.withColumn("__id", ids).join(gone.withColumnRenamed("id", "__id").hint("merge"), "__id", "left_anti")
+    # of different rows with one id the one with the smallest hash stays
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = kept.groupBy("__id").agg(F.min_by(whole, F.xxhash64(*hashed)).alias("__row"))
+    return one.select("__row.*")
