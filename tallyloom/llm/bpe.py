@@ -9,6 +9,10 @@ white space becomes one space, letters are lowered, and words are split, mapped
 closed by the word-end mark.  White space separates words for good, so the codes of a run of
 non-space characters can be kept and used again; the stores hold at most twice ``KEPT`` runs and words per worker.
 
+Python's Unicode tables may lack characters that the vocabulary's library knows.  A text with a code point
+that Python does not assign, or a mark that it orders otherwise, is put into normal form and cut into words by the library; its words are merged
+by the same heap.
+
 Defined results: a null text counts as empty and has no tokens; the hash of nothing is that of an empty
 string.  Bytes without a vocabulary entry are left out, as the file has no unknown token.  Repeated rows
 give repeated rows; an empty table gives an empty table.
@@ -20,7 +24,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -30,16 +34,27 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+from tokenizers.normalizers import NFC
 
-from tallyloom.llm.common import Store, bounded
+from tallyloom.llm.common import Store, bounded, slices
 
 KEPT = 120_000
-BLOCK_CHARS = 1 << 23
+BLOCK_CHARS = 1 << 22
 FILE = "word_bpe_49k.json"
 # white space of the file's expressions
 SPACE = "\t-\r\x20\x85\xa0  -     　"
 
 
+def unassigned(ordered: Callable[[str], str]) -> np.ndarray:
+    """Which code points Python's Unicode tables do not assign, or are marks that they order otherwise."""
+    marks = [chr(n) for n in range(0x20000) if unicodedata.combining(chr(n))]
+    moved = [ord(c) for c in marks if any(unicodedata.normalize("NFC", t) != ordered(t) for x in ("\u0301", "\u0323") for t in (c + x, x + c))]
+    table = np.fromiter((unicodedata.category(chr(n)) == "Cn" for n in range(0x110000)), bool, 0x110000)
+    table[moved] = True
+    return table
+
+
 def byte_characters() -> list[str]:
     """The printable character that stands for each byte: itself if visible, else 256, 257, …"""
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -51,6 +66,8 @@ class Bpe:
     """Encoder and decoder of one vocabulary file with word ends."""
 
     def __init__(self, path: str):
+        self.library = Tokenizer.from_file(path)
+        self.unknown = unassigned(NFC().normalize_str)
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
@@ -71,7 +88,10 @@ class Bpe:
 
     def merged(self, word: str) -> list[str]:
         """The symbols of a word after all merges."""
-        symbols: list[str | None] = [self.characters[b] for b in word.encode("utf-8", "replace")]
+        return self.merged_bytes([self.characters[b] for b in word.encode("utf-8", "replace")])
+
+    def merged_bytes(self, symbols: list[str | None]) -> list[str]:
+        """The same for the characters that stand for the word's bytes."""
         if not symbols:
             return []
         symbols[-1] += self.end
@@ -113,14 +133,23 @@ class Bpe:
         text = self.other_spaces.sub(" ", unicodedata.normalize("NFC", text))
         return text.replace("Σ", "σ").lower()
 
+    def strange(self, texts: list[str]) -> set[int]:
+        """Which texts hold a code point that Python does not know."""
+        codes = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = np.flatnonzero(self.unknown[codes])
+        if not len(at):
+            return set()
+        ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+        return set(np.searchsorted(ends, at, "right").tolist())
+
     def codes(self, texts: list[str]) -> tuple[list[int], pa.Array, pa.Array]:
         """Number of tokens, ids joined by one space, and decoded text, of each text.
 
         Arrow cuts the normal texts at spaces, finds the distinct runs, and joins what they stand for.
         """
-        normal, specials = [], {}
+        normal, specials, strange = [], {}, self.strange(texts)
         for n, text in enumerate(texts):
-            if "<|" in text and self.cut.search(text):
+            if ("<|" in text and self.cut.search(text)) or n in strange:
                 specials[n] = text
                 text = ""
             normal.append(self.normal(text))
@@ -156,12 +185,20 @@ class Bpe:
         for piece in self.cut.split(text):
             if piece in self.added:
                 parts.append((1, str(self.added[piece]), piece))
+            elif self.strange([piece]):
+                parts.append(self._by_library(piece))
             elif piece:
                 n, ids, decoded = self.codes([piece])
                 parts.append((n[0], ids[0].as_py(), decoded[0].as_py()))
         parts = [p for p in parts if p[0]]
         return sum(p[0] for p in parts), " ".join(p[1] for p in parts), self.joined([p[2] for p in parts])
 
+    def _by_library(self, text: str) -> tuple[int, str, str]:
+        """The same for a text with characters that Python does not know: only its words come from the library."""
+        words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        found = [s for word, _ in words for s in self.merged_bytes(list(word)) if s in self.vocabulary]
+        return len(found), " ".join([self.numbers[s] for s in found]), self.joined(found)
+
     @staticmethod
     def joined(strings: list[str]) -> str:
         # the file names no decoder: its library puts a space between the vocabulary's strings
@@ -180,7 +217,10 @@ def loaded(path: str) -> Bpe:
 
 
 def encoded(docs: DataFrame, text: str = "text", path: str | None = None, tokens: bool = True) -> DataFrame:
-    """``docs`` without its text, with n_tokens, ids_sha256, decoded_sha256 (and token_ids, decoded)."""
+    """``docs`` without its text, with n_tokens, ids_sha256, decoded_sha256 (and token_ids, decoded).
+
+    Columns of ``docs`` with these names are replaced.
+    """
     added = ("n_tokens", "ids_sha256", "decoded_sha256", "token_ids", "decoded")
     keep = [c for c in docs.columns if c not in (text, *added)]
     fields = [f for f in docs.schema.fields if f.name in keep]
@@ -188,7 +228,7 @@ def encoded(docs: DataFrame, text: str = "text", path: str | None = None, tokens
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path or public_tokenizers.path(FILE))
         digest = lambda strings: pa.array([hashlib.sha256(x.encode()).hexdigest() for x in strings])
-        for batch in batches:
+        for batch in slices(batches, 2048):
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             for a, b in bounded([len(t) for t in texts], BLOCK_CHARS):
                 counts, ids, decoded = bpe.codes(texts[a:b])

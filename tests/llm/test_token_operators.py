@@ -62,6 +62,18 @@ def test_bpe_store_is_bounded(monkeypatch):
     assert once == [list(map(str, x)) for x in coder.codes([text, text])]
 
 
+def test_bpe_equals_the_library_on_every_character():
+    """Every code point below U+20000, alone, between letters and beside marks."""
+    path = public_tokenizers.path(bpe.FILE)
+    library, own = Tokenizer.from_file(path), bpe.Bpe(path)
+    characters = [chr(n) for n in range(0x20000) if not 0xD800 <= n < 0xE000]
+    for form in ("{0}", "a{0}b {0}", "Q{0}\u0301 x{0},{0}1"):
+        for start in range(0, len(characters), 8192):
+            texts = [form.format(c) for c in characters[start : start + 8192]]
+            want = [" ".join(map(str, e.ids)) for e in library.encode_batch(texts, add_special_tokens=False)]
+            assert own.codes(texts)[1].to_pylist() == want
+
+
 # -- token files ----------------------------------------------------------------------------------
 
 
@@ -193,6 +205,20 @@ def test_leaks_need_one_place(spark):
     assert got[(3, 10)]["similarity"] == 1.0 and got[(3, 10)]["last"] - got[(3, 10)]["first"] < 30
 
 
+def test_leaks_of_repeated_words(spark, monkeypatch):
+    """Places of one word in a document times those in an item are looked at by stretches."""
+    item, text = "word " * 60, "word " * 4000
+    items = spark.createDataFrame([(1, item), (2, ITEM)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, text), (2, "word " * 20), (3, text + ITEM + " " + text)], "doc_id long, text string")
+    want = None
+    for pairs in (1 << 20, 5000):
+        monkeypatch.setattr(templates, "PAIRS", pairs)
+        got = sorted(tuple(r) for r in templates.leak_query(docs, items).collect())
+        assert want in (None, got)
+        want = got
+    assert [(r[0], r[1]) for r in want] == [(1, 1), (3, 1), (3, 2)] and all(r[2] == 1.0 for r in want)
+
+
 def test_leaks_edges(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert templates.leak_query(documents(spark), bench).count() == 0
