@@ -2,7 +2,8 @@
 
 Character trigrams of the labelled texts give one multinomial per language.  A document is a mixture of
 languages: expectation-maximisation estimates its proportions, and a penalised likelihood selects how
-many languages it needs.  The predicted language is the one with the largest share.
+many languages it needs: sets of the likeliest languages grow until ``PATIENCE`` sizes in a row gain nothing.
+The predicted language is the one with the largest share.
 
 Trigrams run over code points of the lower-cased text with everything but letters as one space, hashed
 into ``BUCKETS`` cells.  The whole text counts, whatever its length.
@@ -26,9 +27,10 @@ from tallyloom.llm.common import bounded
 
 BUCKETS = 1 << 14
 MAX_LANGUAGES = 2000
-MAX_SET = 4
 ROUNDS = 12
 REFITS = 8
+PATIENCE = 2  # sizes in a row without gain that end the search
+CELLS = 1 << 24  # numbers of trigrams times languages that are held at once, or those of one text
 PENALTY = 3.0
 SMOOTHING = 0.05
 BLOCK_CHARS = 1 << 20
@@ -69,9 +71,9 @@ def trigram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return at // BUCKETS, at % BUCKETS, flat[at], with_letter
 
 
-def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _blocks(texts: list[str], languages: int = 1) -> Iterator[tuple[int, int]]:
     # a dense count table of one block stays below 64 x BUCKETS cells
-    for a, b in bounded([len(t) for t in texts], BLOCK_CHARS):
+    for a, b in bounded([len(t) for t in texts], min(BLOCK_CHARS, CELLS // max(1, languages))):
         for i in range(a, b, 64):
             yield i, min(i + 64, b)
 
@@ -139,7 +141,7 @@ class Mixture:
         known = np.zeros(len(texts), bool)
         if not self.names:
             return shares, known
-        for a, b in _blocks(texts):
+        for a, b in _blocks(texts, len(self.names)):
             docs, cells, n, letters = trigram_counts(texts[a:b])
             known[a:b] = letters
             if len(docs):
@@ -158,9 +160,9 @@ class Mixture:
         best = np.zeros((docs, langs))
         best[np.arange(docs), first] = 1
         score = alone.max(axis=1) - PENALTY * np.log1p(total)
-        open_docs = np.arange(docs)
+        open_docs, idle = np.arange(docs), np.zeros(docs, np.int64)
         lengths = np.diff(np.append(starts, len(n)))
-        for size in range(2, min(MAX_SET, langs) + 1):
+        for size in range(2, langs + 1):
             if not len(open_docs):
                 break
             rows = np.isin(np.repeat(np.arange(docs), lengths), open_docs)
@@ -171,18 +173,22 @@ class Mixture:
             value = likely - PENALTY * size * np.log1p(total[open_docs])
             better = value > score[open_docs]
             best[open_docs[better]], score[open_docs[better]] = fitted[better], value[better]
-            open_docs = open_docs[better]
+            idle[open_docs] = np.where(better, 0, idle[open_docs] + 1)
+            open_docs = open_docs[idle[open_docs] < PATIENCE]
         return best
 
 
 def identify(docs: DataFrame, model: Mixture, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score (share of that language) and lang_shares (language -> share)."""
-    names = [*model.names]
+    """``docs`` with lang_pred, score (share of that language) and lang_shares (language -> share).
+
+    Columns of ``docs`` with these names are replaced, the text is left out.
+    """
+    names, shared = [*model.names], docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column("__text").to_pylist()]
-            shares, known = model.infer(texts)
+            shares, known = shared.value.infer(texts)
             top = shares.argmax(axis=1) if names else np.zeros(len(texts), int)
             label = [names[i] if k and names else UNDETERMINED for i, k in zip(top, known, strict=True)]
             score = shares.max(axis=1) if names else np.zeros(len(texts))

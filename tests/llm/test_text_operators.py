@@ -1,9 +1,12 @@
 """Language, quality, license and URL operators against brute force and labelled rows."""
 
+import math
+import random
 import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +43,72 @@ def test_language_mixture_and_split(spark):
         assert row["h"] == (row["doc_id"] is not None and zlib.crc32(str(row["doc_id"]).encode()) % 3 == 1)
 
 
+def _invented(rng, alphabet):
+    words = ["".join(rng.choice(alphabet) for _ in range(rng.randint(2, 7))) for _ in range(60)]
+    return lambda n: " ".join(rng.choice(words) for _ in range(n))
+
+
+def _languages(spark, names, seed=3):
+    """A model of invented languages, and how to write them."""
+    rng = random.Random(seed)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    write = {name: _invented(rng, rng.sample(letters, 12)) for name in names}
+    rows = [(write[name](300), name) for name in names for _ in range(4)]
+    return language.Mixture.of(language.learn(spark.createDataFrame(rows, "text string, lang string"))), write
+
+
+def test_language_texts_of_many_languages(spark):
+    model, write = _languages(spark, ["l1", "l2", "l3", "l4", "l5", "l6", "l7", "l8"])
+    parts = ["l1", "l3", "l4", "l5", "l7", "l8"]
+    shares, _ = model.infer([". ".join(write[p](150) for p in parts), write["l2"](200)])
+    found = {n: s for n, s in zip(model.names, shares[0], strict=True) if s > 0.05}
+    assert set(found) == set(parts) and all(0.1 < s < 0.25 for s in found.values())
+    assert shares[1][model.names.index("l2")] > 0.95
+
+
+def test_language_inference_by_plain_estimation(spark):
+    """The same sets and shares as expectation-maximisation of one text at a time, trigram by trigram."""
+    model, write = _languages(spark, ["a", "b", "c", "d"])
+    rng = random.Random(5)
+    texts = [" ".join(write[rng.choice("abcd")](rng.choice([1, 4, 30])) for _ in range(rng.randint(1, 4))) for _ in range(25)]
+
+    def fit(p, n, shares, rounds):
+        for _ in range(rounds):
+            new = [0.0] * len(shares)
+            for row, times in zip(p, n, strict=True):
+                total = sum(x * s for x, s in zip(row, shares, strict=True))
+                for i, s in enumerate(shares):
+                    new[i] += times * row[i] * s / total
+            shares = [x / sum(n) for x in new]
+        return shares, sum(times * math.log(sum(x * s for x, s in zip(row, shares, strict=True))) for row, times in zip(p, n, strict=True))
+
+    got, _ = model.infer(texts)
+    for text, found in zip(texts, got, strict=True):
+        _, cells, n, _ = language.trigram_counts([text])
+        p, n = model.p[cells].tolist(), n.tolist()
+        alone = [sum(t * math.log(row[i]) for row, t in zip(p, n, strict=True)) for i in range(4)]
+        fine = language.PENALTY * math.log1p(sum(n))
+        best, value, idle = [float(i == alone.index(max(alone))) for i in range(4)], max(alone) - fine, 0
+        every, _ = fit(p, n, [0.25] * 4, language.ROUNDS)
+        order = sorted(range(4), key=lambda i: -every[i])
+        for size in (2, 3, 4):
+            if idle == language.PATIENCE:
+                break
+            guess = [max(every[i], 1e-6) if i in order[:size] else 0.0 for i in range(4)]
+            shares, likely = fit(p, n, [g / sum(guess) for g in guess], language.REFITS)
+            idle += 1
+            if likely - fine * size > value:
+                best, value, idle = shares, likely - fine * size, 0
+        assert np.allclose(found, best, atol=1e-9), text
+
+
+def test_language_ties_go_to_the_first(spark):
+    rows = [("same words here", "z"), ("same words here", "m"), ("same words here", "q")]
+    model = language.Mixture.of(language.learn(spark.createDataFrame(rows, "text string, lang string")))
+    docs = spark.createDataFrame([(1, "same words")], "doc_id long, text string")
+    assert language.identify(docs, model).first()["lang_pred"] == "m"
+
+
 def test_language_awkward_rows(spark):
     rows = language.language_query(awkward(spark)).collect()
     assert len(rows) == 15
