@@ -141,7 +141,13 @@ def caption_metrics(t):
     return r6(overlap.caption_metrics(t.pred_ref, t.pred_ref))
 
 
-@query("metrics_report_file")
+@query(
+    "metrics_report_file",
+    """SELECT 'captioner' AS model, round(avg(bleu), 6) AS bleu_mean, round(stddev_pop(bleu), 6) AS bleu_std,
+              round(min(bleu), 6) AS bleu_min, round(max(bleu), 6) AS bleu_max FROM bleu""",
+    PR,
+    _BLEU_CTES,
+)
 def metrics_report_file(t):
     """The text scores written as one JSON report and read back."""
     scores = overlap.bleu(t.pred_ref).select(F.lit("captioner").alias("model"), F.struct("*").alias("metrics"))
