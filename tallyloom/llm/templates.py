@@ -32,19 +32,17 @@ Other columns are ignored.
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_right
-from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import MIX_A, MIX_C, U64, bounded, mixed, text_or_empty, written
+from tallyloom.llm.common import MIX_A, MIX_C, U64, bounded, mixed, ranges, slices, text_or_empty, weights, written
 
 SIZE = 5
 COVERED = 0.8
@@ -53,12 +51,11 @@ NEAR = 2
 AGREED = 0.6
 LITERALS = 2
 LOCAL_WINDOWS = 2_000_000
-BLOCK_CHARS = 1 << 20
-KEPT = 200_000
+BLOCK_CHARS = 1 << 19
+PAIRS = 1 << 20  # pairs of places that are looked at together
 
 # scripts without spaces: Thai to Myanmar, Khmer, kana, Han
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
-TOKEN = re.compile(rf"\d+(?:[.,]\d+)*|(?:(?![{UNSPACED}])[^\W\d_])+|(?=[{UNSPACED}])[^\W\d_]|[.!?\n]")
 NUMBER_WORDS = frozenset(
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
     " seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand"
@@ -73,53 +70,82 @@ UNITS = frozenset(
 )
 WORD, NUMBER, UNIT, CAPITAL, STOP = range(5)
 TEMPLATE, PLAIN, WHOLE = range(3)  # windows of template words, of plain words, short items as a whole
-# what a span may consist of; its diagonals count template words in the first and plain words in the others
-BY_TEMPLATE, BY_WORD, ANY = range(3)
 NUMBER_MARK, UNIT_MARK, NAME_MARK = U64(0x4E554D), U64(0x554E4954), U64(0x4E414D45)
 
 
+# what a character is: a letter, a letter of a script without spaces, a digit, the end of a sentence
+OTHER, LETTER, DIGIT, SINGLE, END = range(5)
+
+
+@cache
+def characters() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: class, lower case, and whether it is upper case, other case, and a digit of any kind."""
+    n = 0x40000  # no letter or digit comes after it
+    known = [chr(c) if not 0xD800 <= c < 0xE000 else " " for c in range(n)]
+    alone = regex.compile(f"[{UNSPACED}]")
+    kinds = [DIGIT if c.isdecimal() else OTHER if not c.isalnum() else SINGLE if alone.match(c) else LETTER for c in known]
+    table = np.zeros(0x110000, np.uint8)
+    table[:n] = kinds
+    table[[ord(c) for c in ".!?\n"]] = END
+    lower = np.arange(0x110000, dtype=np.uint32)
+    lower[:n] = [ord(c.lower()[0]) for c in known]
+    lower[0x3C2] = 0x3C3  # the letter sigma at the end of a word
+    flags = [np.zeros(0x110000, bool) for _ in range(3)]
+    for flag, test in zip(flags, (str.isupper, lambda c: c.islower() or c.istitle() and not c.isupper(), str.isdigit), strict=True):
+        flag[:n] = [test(c) for c in known]
+    return table, lower, *flags
+
+
+def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, hash (of the lower-cased token) and class of all tokens, by array operations over code points."""
+    table, lower, upper, small, digit = characters()
+    codes = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = table[codes]
+    # a point or comma between digits belongs to the number
+    if len(codes) > 2:
+        mark = (codes[1:-1] == 0x2E) | (codes[1:-1] == 0x2C)
+        kind[1:-1][mark & (kind[:-2] == DIGIT) & (kind[2:] == DIGIT)] = DIGIT
+    begins = kind != OTHER
+    begins[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] >= SINGLE)
+    starts = np.flatnonzero(begins)
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int8)
+    inside = np.flatnonzero(kind != OTHER)
+    first = np.searchsorted(inside, starts)
+    sizes = np.diff(np.append(first, len(inside)))
+    place = np.arange(len(inside)) - np.repeat(first, sizes)
+    codes = codes[inside]
+    value = np.add.reduceat((lower[codes].astype(U64) + U64(1)) * weights(int(sizes.max()))[place], first)
+    value = mixed(value + sizes.astype(U64) * MIX_C)
+    begin = codes[first]
+    capital = upper[begin] & ((sizes == 1) | np.logical_or.reduceat(small[codes], first))
+    found = np.where(capital, np.int8(CAPITAL), np.int8(WORD))
+    found[member(word_hash(UNITS), value)] = UNIT
+    found[(kind[starts] == DIGIT) | digit[begin] | member(word_hash(NUMBER_WORDS), value)] = NUMBER
+    found[kind[starts] == END] = STOP
+    bounds = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+    return np.searchsorted(bounds, starts, "right"), value, found
+
+
+@cache
+def word_hash(words: frozenset) -> np.ndarray:
+    """The sorted hashes of a list of words."""
+    codes = [np.array([ord(c) for c in w], U64) for w in words]
+    sums = np.array([((c + U64(1)) * weights(len(c))).sum() for c in codes], U64)
+    return np.sort(mixed(sums + np.array([len(c) for c in codes], U64) * MIX_C))
+
+
 class Lexicon:
-    """Hash and class of every word seen lately, and whether it is one of ``vocabulary`` (sorted hashes)."""
+    """Reads words of texts, and whether they are among ``vocabulary`` (sorted hashes; without it all are)."""
 
     def __init__(self, vocabulary: np.ndarray | None = None):
         self.vocabulary = vocabulary
-        self.listed = np.zeros(0, bool)
-        self.places: dict[str, int] = {}
-        self.hashes: list[int] = []
-        self.kinds: list[int] = []
-
-    def place(self, token: str) -> int:
-        low = token.lower()
-        kind = WORD
-        if token in ".!?\n":
-            kind = STOP
-        elif token[0].isdigit() or low in NUMBER_WORDS:
-            kind = NUMBER
-        elif low in UNITS:
-            kind = UNIT
-        elif token[0].isupper() and (len(token) == 1 or not token.isupper()):
-            kind = CAPITAL
-        self.hashes.append(xxhash.xxh64_intdigest(low.encode("utf-8", "replace")))
-        self.kinds.append(kind)
-        self.places[token] = len(self.hashes) - 1
-        return len(self.hashes) - 1
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Document, hash, class and membership in the vocabulary of all tokens."""
-        if len(self.places) > KEPT:
-            self.__init__(self.vocabulary)
-        known, place = self.places.get, self.place
-        codes, counts = [], []
-        for text in texts:
-            found = TOKEN.findall(text)
-            counts.append(len(found))
-            codes += [p if (p := known(t)) is not None else place(t) for t in found]
-        at = np.array(codes, np.int64)
-        owner = np.repeat(np.arange(len(texts)), counts)
-        hashes = np.array(self.hashes, U64)
-        new = hashes[len(self.listed) :]
-        self.listed = np.append(self.listed, np.ones(len(new), bool) if self.vocabulary is None else member(self.vocabulary, new))
-        return owner, hashes[at], np.array(self.kinds, np.int8)[at], self.listed[at]
+        """Document, hash, class and membership in the vocabulary of all words."""
+        owner, value, kind = tokens(texts)
+        listed = np.ones(len(value), bool) if self.vocabulary is None else member(self.vocabulary, value)
+        return owner, value, kind, listed
 
 
 def member(values: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -194,7 +220,8 @@ def short_lengths(sizes: Iterable[int]) -> list[int]:
     return sorted({n for n in sizes if 0 < n < SIZE})
 
 
-SCHEMA = "key long, id long, h long, at int, begin int, end int, slots array<long>"
+# one row per document and hash: all its places there, with SIZE slot values each for template windows
+SCHEMA = "key long, id long, h long, at array<int>, begin array<int>, end array<int>, slots array<long>"
 
 
 def document_windows(docs: DataFrame, text: str, key: str, lengths: list[int], wanted: tuple | None) -> DataFrame:
@@ -206,7 +233,7 @@ def document_windows(docs: DataFrame, text: str, key: str, lengths: list[int], w
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(shared.value[0] if shared is not None else None)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(2).to_pylist()
             for a, b in bounded([len(t) for t in texts], BLOCK_CHARS):
                 template, plain = words_of(lexicon, texts[a:b])
@@ -217,24 +244,25 @@ def document_windows(docs: DataFrame, text: str, key: str, lengths: list[int], w
                         met = member(shared.value[1], h)
                         at, h = at[met], h[met]
                     of = words.owner[at]
-                    if form == WHOLE and len(at):
+                    order = np.lexsort((at, h, of))
+                    at, h, of = at[order], h[order], of[order]
+                    new = np.ones(len(at), bool)
+                    new[1:] = (of[1:] != of[:-1]) | (h[1:] != h[:-1])
+                    if form == WHOLE:
                         # one place of a short item in a document is enough
-                        order = np.lexsort((at, h, of))
-                        once = np.concatenate([[True], (np.diff(of[order]) != 0) | (h[order][1:] != h[order][:-1])])
-                        at, h, of = at[order][once], h[order][once], of[order][once]
+                        at, h, of, new = at[new], h[new], of[new], new[new]
                     first = at - np.searchsorted(words.owner, of)
+                    starts = np.append(np.flatnonzero(new), len(at)).astype(np.int32)
                     slots = np.stack([words.slot[at + j] for j in range(SIZE)], axis=1) if form == TEMPLATE else np.zeros((len(at), 0), U64)
-                    bounds = np.arange(len(at) + 1, dtype=np.int32) * slots.shape[1]
-                    rows = pa.array(of + a)
+                    rows = pa.array(of[new] + a)
+                    lists = ((starts, first), (starts, words.begin[at]), (starts, words.end[at + size - 1]))
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column(0).take(rows),
                             batch.column(1).take(rows),
-                            pa.array(h.view(np.int64)),
-                            pa.array(first.astype(np.int32)),
-                            pa.array(words.begin[at].astype(np.int32)),
-                            pa.array(words.end[at + size - 1].astype(np.int32)),
-                            pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(slots.ravel().view(np.int64))),
+                            pa.array(h[new].view(np.int64)),
+                            *(pa.ListArray.from_arrays(pa.array(o), pa.array(v.astype(np.int32))) for o, v in lists),
+                            pa.ListArray.from_arrays(pa.array(starts * slots.shape[1], pa.int32()), pa.array(slots.ravel().view(np.int64))),
                         ],
                         names=["key", "id", "h", "at", "begin", "end", "slots"],
                     )
@@ -248,16 +276,22 @@ def row_key(text: str = "text", key: str = "doc_id"):
     return F.xxhash64(F.col(key).isNull(), F.col(key), text_or_empty(text))
 
 
-INDEX = "item_key long, item long, words int, coverable int, form int, h long, item_at int, item_begin int, item_end int, item_slots array<long>"
+INDEX = (
+    "item_key long, item long, words int, coverable int, form int, h long, span int,"
+    " item_at array<int>, item_begin array<int>, item_end array<int>, item_slots array<long>"
+)
 
 
 def item_rows(lexicon: Lexicon, body: str) -> tuple[int, int, list[tuple]]:
-    """Words of an item, how many of them its template windows cover, and its windows."""
+    """Words of an item, how many of them its template windows cover, and its windows.
+
+    A window is a hash with all places it has in the item; its span is the sum of their words.
+    """
     template, plain = words_of(lexicon, [body])
-    n, rows, covered = len(plain.owner), [], set()
+    n, places, covered = len(plain.owner), {}, set()
     if 0 < n < SIZE:
         _, h = windows(plain, WHOLE, n)
-        return n, 0, [(WHOLE, int(h.view(np.int64)[0]), 0, 0, n, [])]
+        return n, 0, [(WHOLE, int(h.view(np.int64)[0]), n, [0], [0], [n], [])]
 
     def add(words: Words, form: int, only_first: bool = False) -> None:
         at, h = windows(words, form)
@@ -266,7 +300,9 @@ def item_rows(lexicon: Lexicon, body: str) -> tuple[int, int, list[tuple]]:
                 break
             begin, end = int(words.begin[i]), int(words.end[i + SIZE - 1])
             slots = words.slot[i : i + SIZE].view(np.int64).tolist() if form == TEMPLATE else []
-            rows.append((form, x, i, begin, end, slots))
+            row = places.setdefault((form, x), (form, x, [], [], [], []))
+            for values, new in zip(row[2:], ([i], [begin], [end], slots), strict=True):
+                values += new
             if form == TEMPLATE:
                 covered.update(range(begin, end))
 
@@ -280,7 +316,7 @@ def item_rows(lexicon: Lexicon, body: str) -> tuple[int, int, list[tuple]]:
         inside, _ = words_of(lexicon, [body], opened=False)
         if len(inside.mark) < len(template.mark):
             add(inside, TEMPLATE, True)
-    return n, len(covered), rows
+    return n, len(covered), [(form, x, sum(e) - sum(b), at, b, e, slots) for form, x, at, b, e, slots in places.values()]
 
 
 def item_windows(items: DataFrame, text: str, key: str) -> DataFrame:
@@ -291,12 +327,12 @@ def item_windows(items: DataFrame, text: str, key: str) -> DataFrame:
         for batch in batches:
             for own, item, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 n, coverable, rows = item_rows(lexicon, body)
-                columns = list(zip(*rows, strict=True)) or [()] * 6
-                types = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+                columns = list(zip(*rows, strict=True)) or [()] * 7
+                types = (pa.int32(), pa.int64(), pa.int32(), *[pa.list_(pa.int32())] * 3, pa.list_(pa.int64()))
                 same = [pa.array([v] * len(rows), t) for v, t in ((own, pa.int64()), (item, pa.int64()), (n, pa.int32()), (coverable, pa.int32()))]
                 yield pa.RecordBatch.from_arrays(
                     same + [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)],
-                    names=["item_key", "item", "words", "coverable", "form", "h", "item_at", "item_begin", "item_end", "item_slots"],
+                    names=["item_key", "item", "words", "coverable", "form", "h", "span", "item_at", "item_begin", "item_end", "item_slots"],
                 )
 
     rows = items.select(row_key(text, key).alias("k"), F.col(key).cast("long").alias("i"), text_or_empty(text).alias("t"))
@@ -319,11 +355,6 @@ def sent(column: DataFrame) -> np.ndarray:
     return np.sort(column.toArrow().column(0).to_numpy().view(U64))
 
 
-def width(words: str) -> Column:
-    """How far apart the diagonals of a span may be."""
-    return F.greatest(F.lit(NEAR), F.floor(F.col(words) / 4).cast("int"))
-
-
 def needed(words: str) -> Column:
     """How many of so many words must be covered."""
     return F.when(F.col("words") < SHORT, F.col(words)).otherwise(F.col(words) * COVERED)
@@ -334,60 +365,138 @@ def usable() -> Column:
     return (F.col("coverable") > 0) & (F.col("coverable") >= F.col("words") * COVERED)
 
 
-def agreement(hits: list[dict]) -> float:
+def agreement(item: np.ndarray, own: np.ndarray) -> float:
     """The share of slot values that stand for the value that their item value mostly stands for."""
-    seen: dict[int, Counter] = {}
-    for hit in hits:
-        for item, own in zip(hit["item_slots"], hit["slots"], strict=True):
-            if item and own:
-                seen.setdefault(item, Counter())[own] += 1
-    total = sum(sum(c.values()) for c in seen.values())
-    return sum(max(c.values()) for c in seen.values()) / total if total else 1.0
-
+    both = (item != 0) & (own != 0)
+    if not both.any():
+        return 1.0
+    pairs, n = np.unique(np.stack([item[both], own[both]], axis=1), axis=0, return_counts=True)
+    starts = np.flatnonzero(np.concatenate([[True], pairs[1:, 0] != pairs[:-1, 0]]))
+    return float(np.maximum.reduceat(n, starts).sum() / n.sum())
+
+
+class Lists(NamedTuple):
+    """A column of lists: where each begins, and all values."""
+
+    starts: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, column: pa.Array) -> Lists:
+        starts = column.offsets.to_numpy().astype(np.int64)
+        return cls(starts - starts[0], column.flatten().to_numpy(zero_copy_only=False))
+
+
+class Hits:
+    """The windows that documents share with items: one row per window, with its places on both sides."""
+
+    def __init__(self, rows: pa.StructArray):
+        names = [rows.type.field(i).name for i in range(rows.type.num_fields)]
+        field = lambda name: rows.field(names.index(name))
+        self.form = field("form").to_numpy()
+        self.h = field("h").to_numpy()
+        self.own = {c: Lists.of(field(c)) for c in ("at", "begin", "end", "slots")}
+        self.item = {c: Lists.of(field(f"item_{c}")) for c in ("at", "begin", "end", "slots")}
+
+    def pairs(self, rows: np.ndarray, coordinate: str, low: int | None = None, high: int | None = None) -> tuple:
+        """All pairs of a document's and an item's place (row, own place, item's place), as indices.
+
+        ``low`` and ``high`` bound the document's places.
+        """
+        starts = self.own["at"].starts
+        count = starts[rows + 1] - starts[rows]
+        own, row = ranges(starts[rows], count), np.repeat(rows, count)
+        if low is not None:
+            place = self.own[coordinate].values[own]
+            inside = (place >= low) & (place < high)
+            own, row = own[inside], row[inside]
+        first = self.item["at"].starts
+        many = first[row + 1] - first[row]
+        return np.repeat(row, many), np.repeat(own, many), ranges(first[row], many)
+
+    def slots(self, side: dict, row: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The slot values of template windows, SIZE for each."""
+        at = side["slots"].starts[row] + (place - side["at"].starts[row]) * SIZE
+        return side["slots"].values[at[:, None] + np.arange(SIZE)]
+
+
+def best_span(hits: Hits, rows: np.ndarray, words: int, of: int, coordinate: str) -> tuple | None:
+    """Similarity, agreement, first and last word of the best span of one document and item, if one suffices.
+
+    ``of`` is the number of words that can be covered; diagonals count places by ``coordinate``.  Places
+    are taken by stretches of the document, so a document of any length needs bounded memory.
+    """
+    starts, first = hits.own["at"].starts, hits.item["at"].starts
+    size = int(((starts[rows + 1] - starts[rows]) * (first[rows + 1] - first[rows])).sum())
+    reach, best = max(NEAR, words // 4), None
+    if size <= PAIRS:
+        stretches = [(None, None)]
+    else:
+        last = max(int(hits.own[coordinate].values[starts[r] : starts[r + 1]].max()) for r in rows)
+        step = max(words, (last + words) * PAIRS // size)
+        stretches = [(low, low + step) for low in range(-words, last + 1, step)]
+    for low, high in stretches:
+        # a span that begins on a diagonal in [low, high) has no place after high + reach + words
+        found = hits.pairs(rows, coordinate, low, None if high is None else high + reach + words)
+        best = max(best or (), _best(hits, *found, words, of, coordinate, reach, low, high) or ()) or None
+    return best and (best[0], best[1], -best[2], best[3])
 
-def best_span(hits: list[dict], words: int, of: int, bucket: int) -> tuple | None:
-    """Similarity, agreement, first and last word of the best span that begins in the bucket, if one suffices.
 
-    ``hits`` are sorted by diagonal; ``of`` is the number of words that can be covered.
-    """
-    reach = max(NEAR, words // 4)
-    limit = (bucket + 1) * (reach + 1)
+def _best(hits: Hits, row, own, item, words: int, of: int, coordinate: str, reach: int, low, high) -> tuple | None:
     need = of if words < SHORT else of * COVERED
-    diagonals = [h["diagonal"] for h in hits]
-    best, start = None, 0
-    while start < len(hits) and diagonals[start] < limit:
-        here = bisect_right(diagonals, diagonals[start])
-        for stop in sorted({here, bisect_right(diagonals, diagonals[start] + reach)}):
-            span = hits[start:stop]
-            if sum(h["item_end"] - h["item_begin"] for h in span) < need:
+    diagonal = hits.own[coordinate].values[own].astype(np.int64) - hits.item[coordinate].values[item]
+    order = np.argsort(diagonal, kind="stable")
+    row, own, item, diagonal = row[order], own[order], item[order], diagonal[order]
+    begin, end = hits.item["begin"].values[item], hits.item["end"].values[item]
+    total = np.concatenate([[0], np.cumsum(end - begin)])
+    start = np.flatnonzero(np.concatenate([[True], diagonal[1:] != diagonal[:-1]])) if len(diagonal) else np.zeros(0, np.int64)
+    here = np.searchsorted(diagonal, diagonal[start], "right")
+    far = np.searchsorted(diagonal, diagonal[start] + reach, "right")
+    hopeful = total[far] - total[start] >= need
+    if low is not None:
+        hopeful &= (diagonal[start] >= low) & (diagonal[start] < high)
+    best = None
+    for a, *stops in zip(start[hopeful].tolist(), here[hopeful].tolist(), far[hopeful].tolist(), strict=True):
+        for b in sorted(set(stops)):
+            if total[b] - total[a] < need:
+                continue
+            change = np.zeros(words + 1, np.int64)
+            np.add.at(change, begin[a:b], 1)
+            np.add.at(change, end[a:b], -1)
+            n = int((np.cumsum(change) > 0).sum())
+            if n < need:
                 continue
-            covered = np.zeros(words, bool)
-            for h in span:
-                covered[h["item_begin"] : h["item_end"]] = True
-            n = int(covered.sum())
-            if n >= need and (agreed := agreement(span)) >= AGREED:
-                got = (n / of, agreed, -min(h["begin"] for h in span), max(h["end"] for h in span) - 1)
+            slotted = np.flatnonzero(hits.form[row[a:b]] == TEMPLATE) + a
+            agreed = agreement(
+                hits.slots(hits.item, row[slotted], item[slotted]).ravel(), hits.slots(hits.own, row[slotted], own[slotted]).ravel()
+            )
+            if agreed >= AGREED:
+                got = (n / of, agreed, -int(hits.own["begin"].values[own[a:b]].min()), int(hits.own["end"].values[own[a:b]].max()) - 1)
                 best = got if best is None else max(best, got)
-        start = here
-    return best and (best[0], best[1], -best[2], best[3])
+    return best
 
 
 def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The best spans of groups of hits."""
+    """The best span of each document and item."""
+    names = ["key", "item_key", "id", "item", "similarity", "agreed", "first", "last"]
     for batch in batches:
-        for a in range(0, batch.num_rows, 256):
-            out = []
-            for r in batch.slice(a, 256).to_pylist():
-                of = r["coverable"] if r["view"] == BY_TEMPLATE else r["words"]
-                found = best_span(r["hits"], r["words"], of, r["bucket"])
-                if found:
-                    out.append((r["key"], r["item_key"], r["id"], r["item"], *found))
-            columns = list(zip(*out, strict=True)) or [()] * 8
-            types = [pa.int64()] * 4 + [pa.float64()] * 2 + [pa.int32()] * 2
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)],
-                names=["key", "item_key", "id", "item", "similarity", "agreed", "first", "last"],
-            )
+        out, column = [], {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True)}
+        hits = Hits(column["hits"].flatten())
+        bounds = Lists.of(column["hits"]).starts
+        plain = [column[c].to_pylist() for c in ("key", "item_key", "id", "item", "words", "coverable")]
+        for n, (*names_of, words, coverable) in enumerate(zip(*plain, strict=True)):
+            rows = np.arange(bounds[n], bounds[n + 1])
+            template = hits.form[rows] == TEMPLATE
+            views = [(rows, words, "begin"), (rows[~template], words, "begin")]
+            if coverable > 0 and coverable >= words * COVERED:
+                views.append((rows[template], coverable, "at"))
+            found = [best_span(hits, which, words, of, by) for which, of, by in views if len(which)]
+            found = [f for f in found if f]
+            if found:
+                out.append((*names_of, *max(found, key=lambda f: (f[0], f[1], -f[2], f[3]))))
+        columns = list(zip(*out, strict=True)) or [()] * 8
+        types = [pa.int64()] * 4 + [pa.float64()] * 2 + [pa.int32()] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -405,32 +514,17 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str
         if vocabulary.count() <= LOCAL_WINDOWS:
             wanted = (sent(vocabulary), sent(hashes))
     cut = document_windows(docs, text, key, lengths, wanted)
-    met = written(cut.join(index, "h").drop("h").distinct(), "template-hits")
-    pair = ["key", "item_key"]
-    template = F.col("form") == TEMPLATE
-    covered = F.expr("sequence(item_begin, item_end - 1)")
-    n = lambda which: F.size(F.array_distinct(F.flatten(F.collect_set(F.when(which, covered)))))
-    # a span covers no more than all windows of the document
-    may = met.groupBy(*pair, "words", "coverable").agg(n(template).alias("by_template"), n(F.lit(True)).alias("by_any"))
-    enough = (F.col("by_any") >= needed("words")) | (usable() & (F.col("by_template") >= needed("coverable")))
-    hits = met.join(may.filter(enough).select(*pair), pair, "left_semi")
-    # each hit takes part in the spans that begin in its bucket of diagonals or in the one before
-    views = F.expr(
-        f"""array(named_struct('view', {ANY}, 'diagonal', begin - item_begin),
-            IF(form = {TEMPLATE}, named_struct('view', {BY_TEMPLATE}, 'diagonal', at - item_at),
-                named_struct('view', {BY_WORD}, 'diagonal', begin - item_begin)))"""
-    )
-    hits = hits.withColumn("v", F.explode(views)).select("*", "v.view", "v.diagonal").drop("v")
-    hits = hits.filter((F.col("view") != BY_TEMPLATE) | usable())
-    bucket = F.floor(F.col("diagonal") / (width("words") + 1)).cast("int")
-    hits = hits.withColumn("bucket", F.explode(F.array(bucket, bucket - 1)))
-    hit = F.struct("diagonal", "form", "begin", "end", "item_begin", "item_end", "item_slots", "slots")
-    groups = hits.groupBy(*pair, "id", "item", "words", "coverable", "view", "bucket").agg(F.sort_array(F.collect_list(hit)).alias("hits"))
-    best = F.max(F.struct("similarity", "agreed", (-F.col("first")).alias("f"), "last", "id", "item")).alias("b")
-    rows = groups.mapInArrow(judged, "key long, item_key long, id long, item long, similarity double, agreed double, first int, last int")
-    return rows.groupBy(*pair).agg(best).select(
-        "key", F.col("b.id").alias(key), F.col("b.item").alias("item_id"), "b.similarity", "b.agreed", (-F.col("b.f")).alias("first"), "b.last"
+    met = cut.join(index, "h").dropDuplicates(["key", "item_key", "h"])
+    hit = F.struct("form", "h", *[p + c for p in ("", "item_") for c in ("at", "begin", "end", "slots")])
+    template = F.when(F.col("form") == TEMPLATE, F.col("span"))
+    groups = met.groupBy("key", "item_key", "id", "item", "words", "coverable").agg(
+        F.collect_list(hit).alias("hits"), F.sum("span").alias("by_any"), F.coalesce(F.sum(template), F.lit(0)).alias("by_template")
     )
+    # a span covers no more than all windows together
+    enough = (F.col("by_any") >= needed("words")) | (usable() & (F.col("by_template") >= needed("coverable")))
+    pairs = groups.filter(enough).drop("by_any", "by_template")
+    rows = pairs.mapInArrow(judged, "key long, item_key long, id long, item long, similarity double, agreed double, first int, last int")
+    return rows.select("key", F.col("id").alias(key), F.col("item").alias("item_id"), "similarity", "agreed", "first", "last")
 
 
 def without_benchmark(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
