@@ -17,8 +17,8 @@ All texts of a block are parsed at once, each behind a mark that separates it fr
 
 Defined results: a null text counts as empty and has the empty fingerprint; two empty fingerprints are alike
 (1), an empty one and another are not (0).  For the next document, rows are ordered by doc_id, null first,
-then by text; the last row is followed by the first, and a single row by itself.  Repeated rows give repeated
-rows.  Other columns are kept by ``fingerprints`` and ignored by ``with_next``.  An empty table gives an empty table.
+then by a hash of the text; the last row is followed by the first, and a single row by itself.  Repeated rows
+give repeated rows.  Other columns are kept by ``fingerprints`` and ignored by ``with_next``.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,12 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import MIX_A, MIX_B, U64, bounded, mixed, parts, written
+from tallyloom.llm.common import MIX_A, U64, bounded, mixed, parts, weights
 
 LEVEL = 2
 KEPT = 128
@@ -98,10 +96,9 @@ def _phrases(x: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     begins[marks + 1] = True
     starts = np.flatnonzero(begins)
     sizes = np.diff(np.append(starts, len(x)))
-    odd = np.arange(1, int(sizes.max()) + 1, dtype=U64) * MIX_B | U64(1)
     place = np.arange(len(x))
     place -= np.repeat(starts, sizes)
-    names = np.add.reduceat((x.astype(U64) + U64(1)) * odd[place], starts)
+    names = np.add.reduceat((x.astype(U64) + U64(1)) * weights(int(sizes.max()))[place], starts)
     names = mixed(names + sizes.astype(U64) * MIX_A) >> U64(1)
     marks = np.searchsorted(starts, marks)
     names[marks] = MARKS[8]
@@ -191,68 +188,77 @@ RESULT = pa.schema(
         ("near_next", pa.float64()),
     ]
 )
-FIRST, LAST = 1, 2
-BORDER = RESULT.append(pa.field("part", pa.int32())).append(pa.field("border", pa.int32())).append(pa.field("text", pa.string()))
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+LEAST_ID = -(1 << 63)  # orders rows without an id
 
 
-def _judged(rows: list[tuple], following: list[tuple], changed: list[str], prints: list[str]) -> list[tuple]:
-    """Result rows of (doc_id, text, fingerprint) and those that follow them."""
-    return [
-        (n, len(text), hashlib.sha256(new.encode("utf-8", "replace")).hexdigest(), own, other, likeness(own, other), likeness(own, after[2]))
-        for (n, text, own), after, new, other in zip(rows, following, changed, prints, strict=True)
+def _judged(rows: list[tuple], changed: list[str], prints: list[str]) -> pa.RecordBatch:
+    """Result rows of (doc_id, text, fingerprint), all but the last, which only follows."""
+    out = [
+        (n, len(text), hashlib.sha256(new.encode("utf-8", "replace")).hexdigest(), own, other, likeness(own, other), likeness(own, after))
+        for (n, text, own), (_, _, after), new, other in zip(rows, rows[1:], changed, prints, strict=False)
     ]
+    columns = list(zip(*out, strict=True)) or [()] * len(RESULT)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, RESULT, strict=True)], schema=RESULT)
 
 
-def _table_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+def first_rows(rows: DataFrame) -> list[tuple[int, int]]:
+    """Order and hash of the first row of each range that Spark deals the rows out to: one per partition."""
+    keys = rows.select("k", "h").repartitionByRange(parts(rows.sparkSession), "k", "h")
+    firsts = keys.groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("k", "h")).alias("first"))
+    return sorted((r["first"]["k"], r["first"]["h"]) for r in firsts.collect())
 
 
 def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Fingerprints of every text and of its edited form, and their likeness to each other and to the next.
 
-    The rows are dealt out by ranges of their id; each task streams its range in order.  Only the first and
-    the last row of a range need another task's row: they are written with their texts, one pair per range,
-    and joined by range.
+    Ranges of (id, hash of the text) are found on these two numbers alone; their first rows, one per
+    partition, go to the tasks.  Each row is then sent to its range, and a range's first row to the range
+    before too, so texts move once and every task streams its range in order, the next text at hand.
     """
+    order = F.coalesce(F.col("doc_id"), F.lit(LEAST_ID)).alias("k")
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = rows.select("doc_id", "text", order, F.xxhash64("text").alias("h"))
+    firsts = first_rows(rows)
+    starts, hashes = (np.array([f[i] for f in firsts], np.int64) for i in (0, 1))
+    n_ranges = max(1, len(firsts))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, h = (batch.column(c).to_numpy() for c in ("k", "h"))
+            part = np.searchsorted(starts, k, "right") - 1
+            low = np.searchsorted(starts, k, "left")
+            for i in np.flatnonzero(low <= part).tolist():  # ids at which a range begins
+                part[i] = low[i] + np.searchsorted(hashes[low[i] : part[i] + 1], h[i], "right") - 1
+            first = np.flatnonzero((starts[part] == k) & (hashes[part] == h))
+            first = first[np.unique(part[first], return_index=True)[1]]
+            at = np.concatenate([np.arange(len(k)), first])
+            where = np.concatenate([part, (part[first] - 1) % n_ranges]).astype(np.int32)
+            peek = np.arange(len(at)) >= len(k)
+            taken = batch.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(where), pa.array(peek)], names=["doc_id", "text", "k", "h", "part", "peek"])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last = TaskContext.get().partitionId(), None
+        last, done = [], False
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            if done:
+                continue  # further copies of the row that follows the range
+            ids, texts, peeks = (batch.column(i).to_pylist() for i in range(3))
+            if done := any(peeks):
+                stop = peeks.index(True) + 1
+                ids, texts = ids[:stop], texts[:stop]
+            texts = [t or "" for t in texts]
             for a, b in bounded([len(t) for t in texts], BLOCK_CHARS):
-                before = [last] if last else []
-                bodies = [r[1] for r in before] + texts[a:b]
+                bodies = [r[1] for r in last] + texts[a:b]
                 changed = [edited(t, n) for t, n in zip(bodies, bodies[1:])]
                 prints = sketches(texts[a:b] + changed)
-                rows = before + list(zip(ids[a:b], texts[a:b], prints, strict=False))
-                out = [(*r, part, 0, None) for r in _judged(rows[:-1], rows[1:], changed, prints[b - a :])]
-                if not last:
-                    out.append((rows[0][0], None, None, rows[0][2], None, None, None, part, FIRST, rows[0][1]))
-                last = rows[-1]
-                yield _table_of(out, BORDER)
-        if last:
-            yield _table_of([(last[0], None, None, last[2], None, None, None, part, LAST, last[1])], BORDER)
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts, prints, afters, others = (c.to_pylist() for c in batch.columns)
-            changed = [edited(t, n) for t, n in zip(texts, afters, strict=True)]
-            rows = list(zip(ids, texts, prints, strict=True))
-            following = list(zip(ids, afters, others, strict=True))
-            yield _table_of(_judged(rows, following, changed, sketches(changed)), RESULT)
+                held = last + list(zip(ids[a:b], texts[a:b], prints, strict=False))
+                yield _judged(held, changed, prints[b - a :])
+                last = held[-1:]
 
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    ordered = rows.repartitionByRange(parts(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    found = written(ordered.mapInArrow(stream, f"{SCHEMA}, part int, border int, text string"), "fingerprints")
-    first = found.filter(F.col("border") == FIRST).select(F.col("part").alias("after"), F.col("text").alias("following"), F.col("fingerprint").alias("other"))
-    last = found.filter(F.col("border") == LAST).select("doc_id", "text", "fingerprint", "part")
-    # one row per range: the next range with rows, or the first one again
-    along = W.orderBy("part")
-    nexts = last.select("part").withColumn("after", F.coalesce(F.lead("part").over(along), F.first("part").over(along)))
-    borders = last.join(nexts, "part").join(first, "after").select("doc_id", "text", "fingerprint", "following", "other")
-    return found.filter(F.col("border") == 0).select(*RESULT.names).unionByName(borders.mapInArrow(close, SCHEMA))
+    dealt = rows.mapInArrow(deal, "doc_id long, text string, k long, h long, part int, peek boolean")
+    sent = dealt.repartitionById(n_ranges, F.col("part")).sortWithinPartitions("peek", "k", "h")
+    return sent.select("doc_id", "text", "peek").mapInArrow(stream, SCHEMA)
 
 
 def fingerprint_query(documents: DataFrame) -> DataFrame:

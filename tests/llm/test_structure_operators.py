@@ -266,7 +266,7 @@ def slow_names(text: str) -> list[list[int]]:
         cuts = [0] + [i for i in range(1, len(labels) - 1) if labels[i] > labels[i - 1] and labels[i] > labels[i + 1]] + [len(labels)]
         names = []
         for a, b in zip(cuts, cuts[1:], strict=False):
-            total = sum((s + 1) * (((j + 1) * 0xBF58476D1CE4E5B9) | 1) for j, s in enumerate(symbols[a:b]))
+            total = sum((s + 1) * (mix(((j + 1) * 0x9E3779B97F4A7C15) & mask) | 1) for j, s in enumerate(symbols[a:b]))
             names.append(mix((total + (b - a) * 0x9E3779B97F4A7C15) & mask) >> 1)
         symbols, mark, first = names, 1 << 63, False
         levels.append(names)
