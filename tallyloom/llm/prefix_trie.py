@@ -71,14 +71,17 @@ class ZFastTrie:
         self.high: list[int] = []
         self.path: list[Path] = []
         self.parent: list[int] = []
+        self.root: list[int] = []
         self.ends: list[int] = []
         self.least: list[int | None] = []
         self.turns = 0
 
     def _node(self, low: int, high: int, path: Path, parent: int) -> int:
-        for values, value in ((self.low, low), (self.high, high), (self.path, path), (self.parent, parent), (self.ends, 0), (self.least, None)):
+        node = len(self.low)
+        root = self.root[parent] if parent >= 0 else node
+        for values, value in ((self.low, low), (self.high, high), (self.path, path), (self.parent, parent), (self.root, root), (self.ends, 0), (self.least, None)):
             values.append(value)
-        return len(self.low) - 1
+        return node
 
     def name(self, node: int, depth: int) -> tuple:
         path = self.path[node]
@@ -87,8 +90,9 @@ class ZFastTrie:
     def _enter(self, node: int) -> None:
         """Hash the node by its handle, and below its parent by its first turn."""
         low = self.low[node]
-        self.handles[self.name(node, fattest(low, self.high[node]))] = node
-        self.children[self.name(node, low + 1)] = node
+        # the tries of different roots may have the same names
+        self.handles[self.root[node], self.name(node, fattest(low, self.high[node]))] = node
+        self.children[self.root[node], self.name(node, low + 1)] = node
 
     def exit(self, root: int, names: list[tuple], start: int) -> tuple[int, int | None, int]:
         """The last node whose prefix begins the conversation, the node in whose depths it leaves, and where."""
@@ -96,7 +100,7 @@ class ZFastTrie:
         a, b, inside = start, end, None
         while a < b and inside is None:
             f = fattest(a, b)
-            found = self.handles.get(names[f - start])
+            found = self.handles.get((root, names[f - start]))
             if found is None:
                 b = f - 1
             elif (high := self.high[found]) <= end and self.name(found, high) == names[high - start]:
@@ -104,7 +108,7 @@ class ZFastTrie:
             else:
                 inside, a = found, f
         while inside is None and (high := self.high[node]) < end:
-            found = self.children.get(names[high + 1 - start])
+            found = self.children.get((root, names[high + 1 - start]))
             if found is None:
                 return node, None, high
             if (below := self.high[found]) <= end and self.name(found, below) == names[below - start]:
@@ -230,7 +234,7 @@ def rebuilt(pieces: DataFrame) -> DataFrame:
         F.expr("if(before = 0, 0, size(opening) + greatest(before - h, 0))").cast("long").alias("start"),
         F.expr(f"if(before = 0, concat(opening, {own}), {own})").alias("turns"),
         "last",
-    )
+    ).filter("size(turns) > 0 OR last")  # a piece left without turns would begin where the next one does
 
 
 def _hashed(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
