@@ -122,12 +122,15 @@ def live_metrics(t):
     vote_ctes(3, 20),
 )
 def online_votes(t):
-    """Votes decided as the responses arrive, in four batches; equal to the vote over the whole log."""
-    out, parts = shared_dir(t.spark, "votes"), shared_dir(t.spark, "events")
+    """Votes decided as the responses arrive, in four batches; equal to the vote over the whole log.
+
+    A quarter may be any number of files, of which none is earlier than another: a check takes all of them.
+    """
+    out, parts, checkpoint = (shared_dir(t.spark, purpose) for purpose in ("votes", "events", "checkpoint"))
     cuts = t.events.approxQuantile("event_id", [0.25, 0.5, 0.75], 0.01)
     piece = sum((F.col("event_id") > cut).cast("int") for cut in cuts) if cuts else F.lit(0)
     for n in range(4):
         t.events.where(piece == n).write.mode("append").parquet(parts)
-    stream = watch.new_files(t.spark, parts, t.events.schema, per_check=1).withColumn("ts", F.col("ts").cast("timestamp"))
-    watch.run_once(online.vote_online(vote_log_of(stream), out, shared_dir(t.spark, "checkpoint")))
+        stream = watch.new_files(t.spark, parts, t.events.schema, per_check=None).withColumn("ts", F.col("ts").cast("timestamp"))
+        watch.run_once(online.vote_online(vote_log_of(stream), out, checkpoint))
     return online.online_decisions(t.spark, out)

@@ -7,7 +7,7 @@ and its recovery are the stream's own; the emitted rows of a batch replace those
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -25,10 +25,10 @@ FIELDS = [f.split()[0] for f in STATE.split(", ")]
 DECISIONS = f"contract_id long, clause_category string, {STATE}"
 
 
-def advanced(state: tuple, rows: pd.DataFrame, k: int, max_votes: int) -> tuple:
+def advanced(state: tuple, rows: Iterable[tuple], k: int, max_votes: int) -> tuple:
     """The state of a task's vote after further responses, in order: seq, flagged, answer (null: unreadable)."""
     yes, no, drawn, flagged, unread, first, converged, closed, last = state
-    for seq, is_flagged, answer in rows.sort_values("seq").itertuples(index=False):
+    for seq, is_flagged, answer in rows:
         if seq <= last:
             raise ValueError(f"response {seq} of a task came after response {last}")
         last = seq
@@ -59,8 +59,9 @@ def vote_online(
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts))[["seq", "flagged", "answer"]]
-        rows["answer"] = rows["answer"].astype(object).where(rows["answer"].notna(), None)
+        # plain lists: a task has few responses in a batch, and a data frame of its own costs more than its vote
+        rows = [r for part in parts for r in zip(*(part[c].tolist() for c in ("seq", "flagged", "answer")), strict=True)]
+        rows = sorted(((seq, flagged, answer if isinstance(answer, str) else None) for seq, flagged, answer in rows), key=lambda r: r[0])
         now = advanced(state.get if state.exists else (0, 0, 0, 0, 0, None, False, False, -(1 << 62)), rows, k, max_votes)
         state.update(now)
         yield pd.DataFrame([(*key, *now)], columns=[*TASK, *FIELDS])

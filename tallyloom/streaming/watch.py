@@ -15,15 +15,11 @@ from pyspark.sql.types import StructType
 
 
 def new_files(
-    spark: SparkSession, path: str, schema: StructType | str, glob: str = "*.parquet", per_check: int = 1000
+    spark: SparkSession, path: str, schema: StructType | str, glob: str = "*.parquet", per_check: int | None = 1000
 ) -> DataFrame:
-    """A stream of the rows of parquet files as they arrive in a folder."""
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", per_check)
-        .parquet(path)
-    )
+    """A stream of the rows of parquet files as they arrive in a folder; without ``per_check`` a check takes all new ones."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    return (reader.option("maxFilesPerTrigger", per_check) if per_check else reader).parquet(path)
 
 
 def _trigger(interval: str | None) -> dict:

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import voting
+from tallyloom.plans import QUERIES
 from tallyloom.session import shared_dir
+from tallyloom.sources.tables import vote_log_of
 from tallyloom.streaming import online, watch
 from tests.test_voting import SCHEMA, frames, random_logs
 
@@ -90,3 +92,13 @@ def test_repeats_are_dropped(spark):
     out = shared_dir(spark, "out")
     watch.run_once(watch.collect_new(stream, out, shared_dir(spark, "check")))
     assert sorted(r["k"] for r in spark.read.parquet(out).collect()) == list(range(7))
+
+
+def test_online_votes_over_a_table_of_many_files(spark, tmp_path):
+    """Each of the four quarters is several files then, and no file of a quarter is earlier than another."""
+    data = str(tmp_path / "data")
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(8).write.parquet(f"{data}/events.parquet")
+    log = vote_log_of(spark.read.parquet(f"{data}/events.parquet"))
+    columns = ["contract_id", "clause_category", "answer", "yes_votes", "no_votes", "total_votes", "converged", "responses", "red_flagged", "discarded"]
+    want = {tuple(r) for r in voting.decide(log).select(*columns).collect()}
+    assert {tuple(r) for r in QUERIES["online_votes"](spark, data).select(*columns).collect()} == want
