@@ -20,6 +20,7 @@ from tallyloom.session import staged
 MAX_PROMPTS = 4096
 MAX_SIZE = 4096  # components of a vector whose covariances are taken
 SCALE = 100.0
+SLICE = 1024  # vectors that are multiplied with a block of prompts at once
 
 
 def prompt_list(prompts: DataFrame, name: str, vector: str, limit: int = MAX_PROMPTS) -> list[tuple]:
@@ -71,13 +72,24 @@ def best_prompt(images: DataFrame, vector: str, prompts: Sequence[tuple]) -> Dat
     return scored.select(*rest, F.get(names, at).alias("prompt"), best.alias("cosine"))
 
 
+def closest(vectors: np.ndarray, prompts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of the closest prompt of each vector, at a tie the first, and its cosine."""
+    right = _unit(np.stack(prompts).astype("float64")).T
+    at, best = np.zeros(len(vectors), np.int64), np.zeros(len(vectors))
+    for start in range(0, len(vectors), SLICE):
+        cosine = _unit(np.stack(vectors[start : start + SLICE]).astype("float64")) @ right
+        found = cosine.argmax(axis=1)
+        at[start : start + SLICE], best[start : start + SLICE] = found, cosine[np.arange(len(found)), found]
+    return at, best
+
+
 def best_of_many(
-    images: DataFrame, key: str, vector: str, prompts: DataFrame, name: str, prompt_vector: str, block: int = 1024, rows: int = 1 << 16
+    images: DataFrame, key: str, vector: str, prompts: DataFrame, name: str, prompt_vector: str, block: int = 1024, rows: int = 1 << 14
 ) -> DataFrame:
     """The closest prompt of each image (key, prompt, cosine), for prompt tables of any size; at a tie the first.
 
-    Blocks of prompts meet chunks of images: one matrix product per block and chunk, whose size does not
-    depend on the tables.  Of each product only the best prompt per image is kept.
+    Blocks of prompts meet chunks of images, whose sizes do not depend on the tables.  A chunk's products
+    are made slice by slice, and of each only the best prompt per image is kept.
     """
     numbered, seen = staged(positions(prompts.select(F.col(name).alias("prompt"), F.col(prompt_vector).alias("p")), ["prompt"], "n"), "prompts", n=F.count(F.lit(1)))
     n_blocks = max(1, -(-seen["n"] // block))
@@ -101,9 +113,8 @@ def best_of_many(
         if a.empty or b.empty:
             return pd.DataFrame({"key": a["key"][:0], "prompt": b["prompt"][:0], "cosine": pd.Series([], dtype="float64")})
         b = b.sort_values("prompt")
-        cosine = _unit(np.stack(a["v"].to_numpy()).astype("float64")) @ _unit(np.stack(b["p"].to_numpy()).astype("float64")).T
-        at = cosine.argmax(axis=1)
-        return pd.DataFrame({"key": a["key"].to_numpy(), "prompt": b["prompt"].to_numpy()[at], "cosine": cosine[np.arange(len(a)), at]})
+        at, cosine = closest(a["v"].to_numpy(), b["p"].to_numpy())
+        return pd.DataFrame({"key": a["key"].to_numpy(), "prompt": b["prompt"].to_numpy()[at], "cosine": cosine})
 
     met = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(product, f"key {kind}, prompt {text}, cosine double")
     best = met.groupBy("key").agg(F.min_by(F.struct("prompt", "cosine"), F.struct(-F.col("cosine"), F.col("prompt"))).alias("b"))

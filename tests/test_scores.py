@@ -1,6 +1,7 @@
 import math
 import random
 import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -233,3 +234,19 @@ def test_unknown_expectation(spark):
         quality.run_suite(spark.range(1), "s", [("other", "id")])
     row = quality.run_suite(spark.range(0), "s", [(quality.NOT_NULL, "id")]).first()
     assert row["passed"] and row["fraction"] == 0
+
+
+def test_closest_prompts_in_little_memory():
+    """A whole chunk times a block would be 128 MB; ties go to the first prompt, and a last slice may be short."""
+    rng = np.random.default_rng(5)
+    vectors, prompts = rng.normal(size=(16384 + 7, 8)), rng.normal(size=(1024, 8))
+    prompts[900] = 2 * prompts[3]
+    vectors[5] = prompts[3]
+    rows, given = np.array([*vectors, None], dtype=object)[:-1], np.array([*prompts, None], dtype=object)[:-1]
+    tracemalloc.start()
+    at, cosine = similarity.closest(rows, given)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24e6
+    whole = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)) @ (prompts / np.linalg.norm(prompts, axis=1, keepdims=True)).T
+    assert np.allclose(cosine, whole.max(axis=1)) and np.allclose(whole[np.arange(len(at)), at], cosine) and at[5] in (3, 900)
