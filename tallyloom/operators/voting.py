@@ -23,6 +23,9 @@ from tallyloom.operators.ordered import Scan, prefix_scan
 TASK = ("contract_id", "clause_category")
 MAX_VOTES = 20
 
+# Responses that one task is to sort.
+RESPONSES_AT_ONCE = 1 << 18
+
 COUNTS = ("yes_votes", "no_votes", "responses", "red_flagged", "discarded")
 
 
@@ -69,8 +72,11 @@ def _ballots(
 def _running(ballots: DataFrame, task: Sequence[str], k: int, max_votes: int) -> DataFrame:
     """The state of the vote after each ballot, and whether the vote ends there."""
     sums = ("yes", "no", "drawn", "flag", "none", "fail")
+    # a long log is dealt to more tasks than the session's number, so that what one sorts does not grow with it
+    parts = -(-ballots.count() // RESPONSES_AT_ONCE)
+    usual = int(ballots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     state = prefix_scan(
-        ballots, task, "seq", {f"n_{c}": Scan("sum", c) for c in sums}, costly=True
+        ballots, task, "seq", {f"n_{c}": Scan("sum", c) for c in sums}, costly=True, parts=parts if parts > usual else None
     ).where(F.col("n_fail") == 0)  # a failed call ends the vote of its task
     votes = F.col("n_yes") + F.col("n_no")
     is_vote = F.col("yes") + F.col("no") > 0
