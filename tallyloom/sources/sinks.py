@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
@@ -27,14 +28,36 @@ MANIFEST = (
 NESTED = ("source", "params", "counts", "git", "config")
 
 
-def manifests(rows: DataFrame) -> DataFrame:
-    """Rows as whole manifests: structs become variants, and columns that a kind lacks are null."""
+# Types whose JSON text is the same from a struct as from a variant.
+_PLAIN = (T.StringType, T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def _as_variant_text(value: Column, kind: T.DataType) -> Column | None:
+    """A struct of plain values whose JSON text is its variant's, with sorted keys; None if there is none."""
+    if isinstance(kind, _PLAIN):
+        return value
+    if not isinstance(kind, T.StructType) or not kind.fields:
+        return None
+    fields = sorted(kind.fields, key=lambda f: f.name.encode("utf-16-be"))
+    parts = [(f.name, _as_variant_text(value.getField(f.name), f.dataType)) for f in fields]
+    if any(part is None for _, part in parts):
+        return None
+    return F.when(value.isNotNull(), F.struct(*[part.alias(name) for name, part in parts]))
+
+
+def manifests(rows: DataFrame, text_only: bool = False) -> DataFrame:
+    """Rows as whole manifests: structs become variants, and columns that a kind lacks are null.
+
+    With ``text_only`` structs stay structs where that gives the same JSON text, which is far cheaper.
+    """
     given = {f.name: f.dataType for f in rows.schema.fields}
     columns = []
     for field in MANIFEST.split(", "):
         name, kind = field.split()
         if name not in given:
             column = F.lit(None).cast(kind)
+        elif kind == "variant" and text_only and (plain := _as_variant_text(F.col(name), given[name])) is not None:
+            column = plain
         elif kind == "variant":
             column = F.col(name) if given[name].simpleString() == "variant" else F.to_variant_object(name)
         else:
@@ -59,7 +82,7 @@ def append_manifests(rows: DataFrame, table_path: str, sidecar_path: str | None
     if sidecar_path:
         content = F.when(F.col("type") == "collection", manifest_text()).otherwise(manifest_text("annotation"))
         place = F.concat("output_dir", F.lit("/"), "type", F.lit("_manifest.json"))
-        whole.select(place.alias("path"), content.alias("content")).write.mode("append").parquet(sidecar_path)
+        manifests(rows, text_only=True).select(place.alias("path"), content.alias("content")).write.mode("append").parquet(sidecar_path)
     return table_path
 
 

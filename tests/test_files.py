@@ -268,3 +268,19 @@ def test_shared_dir_follows_the_session():
     assert "/x-" in shared_dir(Fake(None, "local[2]"), "x")
     with pytest.raises(ValueError):
         shared_dir(Fake(None, "yarn"), "x")
+
+
+def test_sidecar_texts_need_no_variants(spark):
+    """Structs of plain values are written as they are, with the text that their variants have; others by variants."""
+    rows = spark.range(3).select(
+        F.col("id").cast("string").alias("id"), F.lit("annotation").alias("type"), F.lit('a"\u00e9\n/\U0001f600').alias("name"),
+        F.struct(F.lit("x").alias("zeta"), F.when(F.col("id") > 0, F.col("id")).alias("Alpha"),
+                 F.when(F.col("id") > 1, F.struct(F.lit(True).alias("b"), F.lit("\u2028\\").alias("a"))).alias("mid")).alias("git"),
+        F.when(F.col("id") > 0, F.struct(F.lit(2).alias("k"), F.lit(None).cast("string").alias("j"))).alias("params"),
+        F.struct((F.col("id") / 3).alias("share"), F.array(F.lit(1)).alias("list")).alias("counts"),
+    )
+    text = sinks.manifest_text("annotation").alias("t")
+    got, want = (sinks.manifests(rows, text_only=only).select(text) for only in (True, False))
+    kinds = dict(sinks.manifests(rows, text_only=True).dtypes)
+    assert kinds["git"].startswith("struct") and kinds["params"].startswith("struct") and kinds["counts"] == "variant"
+    assert sorted(r.t for r in got.collect()) == sorted(r.t for r in want.collect())
