@@ -39,8 +39,8 @@ from tokenizers.normalizers import NFC
 
 from tallyloom.llm.common import Store, bounded, slices
 
-KEPT = 120_000
-BLOCK_CHARS = 1 << 22
+KEPT = 60_000
+BLOCK_CHARS = 1 << 21
 FILE = "word_bpe_49k.json"
 # white space of the file's expressions
 SPACE = "\t-\r\x20\x85\xa0  -     　"
@@ -227,13 +227,13 @@ def encoded(docs: DataFrame, text: str = "text", path: str | None = None, tokens
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path or public_tokenizers.path(FILE))
-        digest = lambda strings: pa.array([hashlib.sha256(x.encode()).hexdigest() for x in strings])
-        for batch in slices(batches, 2048):
+        digest = lambda strings: pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in strings], pa.string())
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             for a, b in bounded([len(t) for t in texts], BLOCK_CHARS):
                 counts, ids, decoded = bpe.codes(texts[a:b])
                 columns = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
-                columns += [pa.array(counts, pa.int64()), digest(ids.to_pylist()), digest(decoded.to_pylist())]
+                columns += [pa.array(counts, pa.int64()), digest(ids), digest(decoded)]
                 if tokens:
                     numbers = pc.split_pattern(ids, " ").flatten()
                     numbers = numbers.filter(pc.not_equal(numbers, "")).cast(pa.int32())

@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -14,6 +15,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tallyloom.llm import bpe, near_dups, pii, quality, templates, token_files
+from tallyloom.llm.common import slices
 from tests.llm.cases import SF_DIR, awkward, clashing, documents, empty
 
 ODD = [
@@ -62,6 +64,16 @@ def test_bpe_store_is_bounded(monkeypatch):
     assert once == [list(map(str, x)) for x in coder.codes([text, text])]
 
 
+def test_slices_give_memory_back(monkeypatch):
+    """A worker that outlives its task does not hold what Arrow no longer uses."""
+    released = []
+    pool = SimpleNamespace(release_unused=lambda: released.append(1))
+    monkeypatch.setattr(pa, "default_memory_pool", lambda: pool)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2500))], names=["x"])
+    sizes = [(part.num_rows, len(released)) for part in slices(iter([batch]))]
+    assert sizes == [(1024, 0), (1024, 1), (452, 2)] and len(released) == 4
+
+
 def test_bpe_equals_the_library_on_every_character():
     """Every code point below U+20000, alone, between letters and beside marks."""
     path = public_tokenizers.path(bpe.FILE)
