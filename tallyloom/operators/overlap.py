@@ -17,7 +17,8 @@ from tallyloom.functions.stemming import stem_word
 
 # Fixed value: what a zero overlap counts as.
 EPSILON = 0.1
-ROWS_AT_ONCE = 64
+# Rows whose n-grams are counted together, and about how many words are made numbers together.
+ROWS_AT_ONCE, WORDS_AT_ONCE = 64, 1 << 20
 
 
 def spread(pairs: DataFrame) -> DataFrame:
@@ -40,14 +41,6 @@ def scored_stem(word: str) -> str:
     return stem_word(word) if len(word) > 3 else word
 
 
-def stem_words(tokens: pa.Array) -> pa.Array:
-    """The stems of words; each distinct word of a batch once, and words seen lately not at all."""
-    words = tokens.flatten().dictionary_encode()
-    stems = [scored_stem(w) for w in words.dictionary.to_pylist()]
-    values = pa.array(stems, pa.string()).take(words.indices)
-    return pa.ListArray.from_arrays(_offsets(tokens), values)
-
-
 def _offsets(lists: pa.Array) -> pa.Array:
     sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
     return pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
@@ -68,7 +61,7 @@ def rouge_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"))
 
 
-# Items of one side that are compared at once, and steps along the other side, in a rectangle of a pair.
+# Lanes that move together, of one pair or several, and steps along the other side in a rectangle of a long pair.
 LANES, STEPS = 4096, 2048
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -82,14 +75,14 @@ def _rectangle(rows: np.ndarray, tiles: np.ndarray, masks: np.ndarray, base: np.
     ``items[start + step]`` is the item of a step, with zeros around each pair's items.  ``given`` are the
     carries that come into lane 0 from the rectangle before.
     """
-    n, first = len(rows), tiles == 0
-    carry, at = np.zeros(n, np.uint64), start - tiles
+    n, first = len(rows), np.flatnonzero(tiles == 0)
+    carry, at, into = np.zeros(n, np.uint64), start - tiles, np.zeros(n, np.uint64)
     out = np.zeros(steps, np.uint64)
     for wave in range(steps + int(tiles.max()) + (given is not None)):
-        into = np.empty(n, np.uint64)
-        into[0], into[1:] = 0, carry[:-1]
+        into[1:] = carry[:-1]
         into[first] = given[wave] if given is not None and wave < steps else 0
-        mask = masks[base + items[at + wave]]
+        mask = masks.take(base + items.take(at))
+        at += 1
         low = rows + (rows & mask)
         total = low + into
         carry = ((low < rows) | (total < low)).astype(np.uint64)
@@ -152,36 +145,41 @@ def lcs_lengths(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[int]:
         if len(b):
             todo.append((n, a, b))
     todo.sort(key=lambda t: len(t[2]))
-    held, lanes = [], 0
+    held, lanes, cells = [], 0, 0
     for n, a, b in todo:
-        if -(-len(a) // 64) > LANES // 8 or len(b) > STEPS:
+        known, code = np.unique(b, return_inverse=True)
+        tiles = -(-len(a) // 64)
+        size = tiles * (len(known) + 1)
+        if tiles > LANES or size > LANES * STEPS // 2:
             out[n] += _long_pair(a, b)
             continue
-        if held and lanes + -(-len(a) // 64) > LANES // 8:
+        # shorter pairs wait for the longest, so a wide rectangle takes only those of about its length
+        uneven = lanes > LANES // 8 and 2 * len(b) > 3 * len(held[0][3])
+        if held and (uneven or lanes + tiles > LANES or cells + size > LANES * STEPS // 2):
             _together(held, out)
-            held, lanes = [], 0
-        held.append((n, a, b))
-        lanes += -(-len(a) // 64)
+            held, lanes, cells = [], 0, 0
+        held.append((n, a, known, code))
+        lanes, cells = lanes + tiles, cells + size
     if held:
         _together(held, out)
     return out
 
 
-def _together(held: list[tuple[int, np.ndarray, np.ndarray]], out: list[int]) -> None:
-    """Add the lengths of several pairs to ``out``."""
-    tiles_of = np.array([-(-len(a) // 64) for _, a, _ in held])
+def _together(held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], out: list[int]) -> None:
+    """Add the lengths of several pairs to ``out``: one side, and the distinct items and codes of the other."""
+    tiles_of = np.array([-(-len(a) // 64) for _, a, _, _ in held])
     widest = int(tiles_of.max())
     masks, bases, items, starts, sizes, used, at = [], [], [np.zeros(widest, np.int64)], [], [], 0, widest
-    steps = max(len(b) for _, _, b in held)
-    for (_, a, b), n in zip(held, tiles_of.tolist(), strict=True):
-        known, code = np.unique(b, return_inverse=True)
+    steps = max(len(code) for _, _, _, code in held)
+    for (_, a, known, code), n in zip(held, tiles_of.tolist(), strict=True):
         place = np.minimum(np.searchsorted(known, a), len(known) - 1)
         hit = np.flatnonzero(known[place] == a)
         masks.append(_tile_masks(hit >> 6, place[hit] + 1, hit, len(known) + 1, n))
         tiles = np.arange(n)
         bases.append(used + tiles * (len(known) + 1))
         used += len(masks[-1])
-        items += [code + 1, np.zeros(steps - len(b) + 2 * widest, np.int64)]
+        # a lane is read from ``tiles`` places before its pair's items to ``widest`` places behind the last step
+        items += [code + 1, np.zeros(steps - len(code) + 2 * widest, np.int64)]
         starts.append(np.full(n, at))
         at += steps + 2 * widest
         sizes.append(np.minimum(len(a) - 64 * tiles, 64))
@@ -189,49 +187,63 @@ def _together(held: list[tuple[int, np.ndarray, np.ndarray]], out: list[int]) ->
     tiles = np.concatenate([np.arange(n) for n in tiles_of])
     rows, _ = _rectangle(rows, tiles, np.concatenate(masks), np.concatenate(bases), np.concatenate(items), np.concatenate(starts), steps, None)
     zeros = _zeros(rows, np.concatenate(sizes))
-    for (n, _, _), common in zip(held, np.add.reduceat(zeros, np.cumsum(tiles_of) - tiles_of).tolist(), strict=True):
+    for (n, _, _, _), common in zip(held, np.add.reduceat(zeros, np.cumsum(tiles_of) - tiles_of).tolist(), strict=True):
         out[n] += common
 
 
-def _word_numbers(*sides: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words of several list columns as numbers, with the row and the end of their list."""
-    words = pa.concat_arrays([side.flatten().cast(pa.string()) for side in sides]).dictionary_encode()
-    sizes = np.concatenate([np.diff(_offsets(side).to_numpy()) for side in sides])
-    rows = np.tile(np.arange(len(sides[0])), len(sides))
-    return words.indices.to_numpy().astype("int64"), np.repeat(rows, sizes), np.repeat(np.cumsum(sizes), sizes)
+def _word_numbers(a: pa.Array, b: pa.Array, stemmed: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words (or stems) of two list columns as numbers, and where the lists of either column begin and end.
+
+    Each distinct word of both columns is stemmed once, and words seen lately not at all.
+    """
+    words = pa.concat_arrays([side.flatten().cast(pa.string()) for side in (a, b)]).dictionary_encode()
+    numbers = words.indices.to_numpy().astype("int64")
+    if stemmed:
+        stems = pa.array([scored_stem(w) for w in words.dictionary.to_pylist()], pa.string()).dictionary_encode()
+        numbers = stems.indices.to_numpy().astype("int64")[numbers]
+    left, right = _offsets(a).to_numpy().astype("int64"), _offsets(b).to_numpy().astype("int64")
+    return numbers, left, right + left[-1]
 
 
-def common_subsequences(a: pa.Array, b: pa.Array) -> np.ndarray:
-    numbers, _, _ = _word_numbers(a, b)
-    left, right = _offsets(a).to_numpy(), _offsets(b).to_numpy() + len(a.flatten())
+def common_subsequences(numbers: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     pairs = [(numbers[i:j], numbers[k:m]) for i, j, k, m in zip(left, left[1:], right, right[1:])]
     return np.array(lcs_lengths(pairs), dtype="int32").reshape(-1, 1)
 
 
-def count_shared_ngrams(p: pa.Array, r: pa.Array, max_n: int) -> np.ndarray:
+def count_shared_ngrams(numbers: np.ndarray, left: np.ndarray, right: np.ndarray, max_n: int) -> np.ndarray:
     """Per row and n, the n-grams both lists have, each as often as in the list with fewer.
 
-    All rows of a batch are counted together: an n-gram is the number of its first n - 1 words
+    All these rows are counted together: an n-gram is the number of its first n - 1 words
     together with its last word, and numbers start anew in each row.
     """
-    word, row, end = _word_numbers(p, r)
-    is_left = np.arange(len(word)) < len(p.flatten())
+    word = np.concatenate([numbers[left[0] : left[-1]], numbers[right[0] : right[-1]]])
+    sizes = np.concatenate([np.diff(left), np.diff(right)])
+    rows = len(left) - 1
+    row, end = np.repeat(np.tile(np.arange(rows), 2), sizes), np.repeat(np.cumsum(sizes), sizes)
+    is_left = np.arange(len(word)) < left[-1] - left[0]
     n_words = int(word.max(initial=0)) + 1
     at, gram = np.arange(len(word)), row
-    out = np.zeros((len(p), max_n), dtype="int32")
+    out = np.zeros((rows, max_n), dtype="int32")
     for n in range(1, max_n + 1):
         fits = at + n <= end[at]
         at, gram = at[fits], gram[fits]
         gram, _ = pd.factorize(gram * n_words + word[at + n - 1])
         size = int(gram.max(initial=-1)) + 1
-        left = np.bincount(gram[is_left[at]], minlength=size)
-        right = np.bincount(gram[~is_left[at]], minlength=size)
+        ours = np.bincount(gram[is_left[at]], minlength=size)
+        theirs = np.bincount(gram[~is_left[at]], minlength=size)
         home = np.zeros(size, dtype="int64")
         home[gram] = row[at]
-        out[:, n - 1] = np.bincount(home, weights=np.minimum(left, right), minlength=len(p))
+        out[:, n - 1] = np.bincount(home, weights=np.minimum(ours, theirs), minlength=rows)
     return out
 
 
+def word_blocks(a: pa.Array, b: pa.Array) -> list[tuple[int, int]]:
+    """Ranges of rows with about ``WORDS_AT_ONCE`` words; a longer row is alone."""
+    total = (_offsets(a).to_numpy().astype("int64") + _offsets(b).to_numpy())[:-1]
+    cuts = np.flatnonzero(np.diff(total // WORDS_AT_ONCE)) + 1
+    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(a)])) if len(a) else []
+
+
 def clipped_overlaps(
     p: Column, r: Column, max_n: int, stemmed: bool = False, longest: bool = False
 ) -> Column:
@@ -244,16 +256,15 @@ def clipped_overlaps(
     width = max_n + longest
 
     def count(a: pa.Array, b: pa.Array) -> np.ndarray:
-        if stemmed:
-            a, b = stem_words(a), stem_words(b)
-        grams = count_shared_ngrams(a, b, max_n)
-        return np.hstack([grams, common_subsequences(a, b)]) if longest else grams
+        numbers, left, right = _word_numbers(a, b, stemmed)
+        # few rows at a time, so that the n-gram tables stay in the processor's cache; subsequences of all rows by size
+        parts = [slice(i, i + ROWS_AT_ONCE + 1) for i in range(0, len(a), ROWS_AT_ONCE)]
+        grams = np.concatenate([count_shared_ngrams(numbers, left[part], right[part], max_n) for part in parts])
+        return np.hstack([grams, common_subsequences(numbers, left, right)]) if longest else grams
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def overlaps(a: pa.Array, b: pa.Array) -> pa.Array:
-        # few rows at a time, so that the number tables stay in the processor's cache
-        parts = [(a[i : i + ROWS_AT_ONCE], b[i : i + ROWS_AT_ONCE]) for i in range(0, len(a), ROWS_AT_ONCE)]
-        counts = np.concatenate([np.zeros((0, width), "int32"), *[count(*ab) for ab in parts]])
+        counts = np.concatenate([np.zeros((0, width), "int32"), *[count(a[i:j], b[i:j]) for i, j in word_blocks(a, b)]])
         offsets = np.arange(len(a) + 1, dtype="int32") * width
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(counts.ravel()))
 

@@ -5,6 +5,7 @@ import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,31 @@ def test_lcs(monkeypatch, lanes, steps):
         assert overlap.lcs_lengths(pairs) == [lcs_by_table(a.tolist(), b.tolist()) for a, b in pairs]
 
 
+def test_lcs_of_many_pairs_in_few_rectangles(monkeypatch):
+    """Pairs of up to some thousand words share rectangles; only a pair that fills one goes alone."""
+    rng, calls, rectangle = np.random.default_rng(8), [], overlap._rectangle
+
+    def counted(*args):
+        calls.append(len(args[0]))
+        return rectangle(*args)
+
+    monkeypatch.setattr(overlap, "_rectangle", counted)
+    pairs = [(rng.integers(0, 90, n), rng.integers(0, 90, n)) for n in (*[300] * 200, 2500, 2600)]
+    found = overlap.lcs_lengths(pairs)
+    assert len(calls) == 2 and max(calls) <= overlap.LANES
+    assert [found[i] for i in (0, 99, 199)] == [lcs_by_table(*(x.tolist() for x in pairs[i])) for i in (0, 99, 199)]
+    monkeypatch.setattr(overlap, "LANES", 16)
+    assert overlap.lcs_lengths(pairs[-2:]) == found[-2:]
+
+
+def test_blocks_of_words():
+    lists = pa.array([["a"] * n for n in (5, 0, 3, 40, 2)])
+    blocks = overlap.word_blocks(lists, lists)
+    assert blocks == [(0, 5)] and overlap.word_blocks(lists[:0], lists[:0]) == []
+    numbers, left, right = overlap._word_numbers(lists[2:], lists[1:4], True)
+    assert (left.tolist(), right.tolist(), len(numbers)) == ([0, 3, 43, 45], [45, 45, 48, 88], 88)
+
+
 def test_lcs_of_long_unrelated_texts():
     rng = np.random.default_rng(4)
     a, b = rng.integers(0, 3000, 20_000), rng.integers(0, 3000, 20_000)
