@@ -2,12 +2,13 @@
 
 A word becomes a doubly linked list of symbols.  A heap holds the merge rank of every adjacent pair; the
 lowest rank is merged first, and entries whose symbols have changed since are skipped when they come up.
-Decoding concatenates the vocabulary's strings as the vocabulary's library does.
+Symbols are numbers and a heap entry is one number, rank and place; the bytes of all new words of a block and
+the ranks of their first pairs come from tables at once.  Decoding concatenates the vocabulary's strings as the vocabulary's library does.
 
 The file's steps are followed: its added tokens are cut out of the raw text, the rest is put into NFC,
 white space becomes one space, letters are lowered, and words are split, mapped to byte characters and
 closed by the word-end mark.  White space separates words for good, so the codes of a run of
-non-space characters can be kept and used again; the stores hold at most twice ``KEPT`` runs and words per worker.
+non-space characters can be kept and used again; the store holds at most twice ``KEPT`` runs and words per worker.
 
 Python's Unicode tables may lack characters that the vocabulary's library knows.  A text with a code point
 that Python does not assign, or a mark that it orders otherwise, is put into normal form and cut into words by the library; its words are merged
@@ -21,11 +22,11 @@ give repeated rows; an empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import public_tokenizers
@@ -41,6 +42,12 @@ from tallyloom.llm.common import Store, bounded, slices
 
 KEPT = 60_000
 BLOCK_CHARS = 1 << 21
+# characters of the words that are merged together
+WORD_CHARS = 1 << 18
+# symbols: 256 bytes, the same at the end of a word, the stop behind a word, then what merges make
+LAST, STOP = 256, 512
+# a heap entry is rank * PLACES + place
+PLACE_BITS = 32
 FILE = "word_bpe_49k.json"
 # white space of the file's expressions
 SPACE = "\t-\r\x20\x85\xa0  -     　"
@@ -71,10 +78,9 @@ class Bpe:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
-        self.end = model["end_of_word_suffix"]
         self.vocabulary: dict[str, int] = model["vocab"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.ranks = {pair: i for i, pair in enumerate(pairs)}
+        self._number({pair: i for i, pair in enumerate(pairs)}, model["end_of_word_suffix"])
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in self.vocabulary.items()} | {i: s for s, i in self.added.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")")
@@ -82,52 +88,116 @@ class Bpe:
         self.other_spaces = regex.compile("[" + SPACE.replace("\x20", "") + "]")
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(pattern.replace(r"\s", SPACE))
-        self.characters = byte_characters()
-        self.numbers = {s: str(i) for s, i in self.vocabulary.items()}
-        self.kept, self.words_kept = Store(KEPT), Store(KEPT)
-
-    def merged(self, word: str) -> list[str]:
-        """The symbols of a word after all merges."""
-        return self.merged_bytes([self.characters[b] for b in word.encode("utf-8", "replace")])
-
-    def merged_bytes(self, symbols: list[str | None]) -> list[str]:
-        """The same for the characters that stand for the word's bytes."""
-        if not symbols:
-            return []
-        symbols[-1] += self.end
-        n, ranks = len(symbols), self.ranks
-        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [
-            (rank, i, symbols[i], symbols[i + 1])
-            for i in range(n - 1)
-            if (rank := ranks.get((symbols[i], symbols[i + 1]))) is not None
-        ]
-        heapq.heapify(heap)
+        size = max(self.strings) + 1
+        self.shown = pa.array(map(str, range(size)), pa.string()), pa.array([self.strings.get(i) for i in range(size)], pa.string())
+        self.kept = Store(KEPT)
+
+    def _number(self, ranks: dict[tuple[str, str], int], end: str) -> None:
+        """The tables of the merges, with numbers for symbols."""
+        characters = byte_characters()
+        self.bytes = {c: b for b, c in enumerate(characters)}
+        names = [*characters, *(c + end for c in characters), None]
+        numbers = {s: i for i, s in enumerate(names)}
+        for a, b in ranks:
+            for s in (a, b, a + b):
+                if s not in numbers:
+                    numbers[s] = len(names)
+                    names.append(s)
+        # id of each symbol, -1 without one, as at the stop and for a symbol that was merged into another
+        self.ids = np.array([*(self.vocabulary.get(s, -1) for s in names), -1], np.int64)
+        self.ids[STOP] = -1
+        self.made = [0] * (max(ranks.values(), default=-1) + 1)
+        none: dict[int, int] = {}
+        self.after = [none] * len(names)
+        self.first = np.full((STOP + 1, STOP + 1), -1, np.int64)
+        for (a, b), rank in ranks.items():
+            left, right, entry = numbers[a], numbers[b], rank << PLACE_BITS
+            self.made[rank] = numbers[a + b]
+            if self.after[left] is none:
+                self.after[left] = {}
+            self.after[left][right] = entry
+            if left < STOP and right < STOP:
+                self.first[left, right] = entry
+
+    def merged(self, words: list[bytes]) -> list[bytes]:
+        """The ids (four bytes each) of each word after all merges."""
+        stops = np.cumsum(np.fromiter((len(w) + 1 for w in words), np.int64, len(words))) - 1
+        starts = np.concatenate([[0], stops + 1])[:-1]
+        symbols = np.frombuffer(b"\0".join([*words, b""]), np.uint8).astype(np.int64)
+        symbols[stops[stops > starts] - 1] += LAST
+        symbols[stops] = STOP
+        entries = np.full(len(symbols), -1, np.int64)
+        entries[:-1] = self.first[symbols[:-1], symbols[1:]]
+        found = np.flatnonzero(entries >= 0)
+        entries[found] += found - starts[np.searchsorted(starts, found, "right") - 1]
+        heaps = np.searchsorted(found, np.append(starts, len(symbols))).tolist()
+        held, entries, symbols = entries[found].tolist(), entries.tolist(), symbols.tolist()
+        for n, (start, stop) in enumerate(zip(starts.tolist(), stops.tolist(), strict=True)):
+            if heaps[n] < heaps[n + 1]:
+                symbols[start:stop] = self._merge(symbols[start : stop + 1], entries[start : stop + 1], held[heaps[n] : heaps[n + 1]])[:-1]
+        ids = self.ids[symbols]
+        kept = np.concatenate([[0], np.cumsum(ids >= 0)]) * 4
+        data = ids[ids >= 0].astype("<u4").tobytes()
+        return [data[a:b] for a, b in zip(kept[starts].tolist(), kept[stops].tolist(), strict=True)]
+
+    def _merge(self, symbols: list[int], now: list[int], heap: list[int]) -> list[int]:
+        """The symbols of a word and the stop after all merges, -1 for those that went into the one before.
+
+        ``now`` has the heap entry of the pair that begins at each place; the place before the first one is the stop's.
+        """
+        n, after, made, mask = len(symbols), self.after, self.made, (1 << PLACE_BITS) - 1
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = right[i]
-            if symbols[i] != a or j < 0 or symbols[j] != b:
+            entry = heappop(heap)
+            i = entry & mask
+            if now[i] != entry:
                 continue  # stale
-            symbols[i], symbols[j] = a + b, None
-            right[i] = right[j]
-            if right[j] >= 0:
-                left[right[j]] = i
-            for p, q in ((left[i], i), (i, right[i])):
-                if p >= 0 and q >= 0 and (rank := ranks.get((symbols[p], symbols[q]))) is not None:
-                    heapq.heappush(heap, (rank, p, symbols[p], symbols[q]))
-        return [s for s in symbols if s is not None]
-
-    def _run(self, run: str) -> tuple[int, str, str]:
-        """Number of tokens, ids and strings (each joined by spaces) of a run without white space."""
-        found, words = [], self.words.findall(run)
-        for word, symbols in zip(words, self.words_kept.all(words), strict=True):
-            if symbols is None:
-                symbols = [s for s in self.merged(word) if s in self.vocabulary]
-                self.words_kept.put(word, symbols)
-            found += symbols
-        got = (len(found), " ".join([self.numbers[s] for s in found]), self.joined(found))
-        self.kept.put(run, got)
-        return got
+            j = right[i]
+            k = right[i] = right[j]
+            left[k] = i
+            symbols[i] = new = made[entry >> PLACE_BITS]
+            symbols[j] = now[j] = -1
+            if (entry := after[new].get(symbols[k])) is None:
+                now[i] = -1
+            else:
+                now[i] = entry = entry + i
+                heappush(heap, entry)
+            p = left[i]
+            if (entry := after[symbols[p]].get(new)) is None:
+                now[p] = -1
+            else:
+                now[p] = entry = entry + p
+                heappush(heap, entry)
+        return symbols
+
+    def _runs(self, runs: list[str]) -> list[bytes]:
+        """The ids of runs without white space."""
+        data = self.kept.all(runs)
+        # letters alone are one word
+        cut = {run: [run] if run.isalpha() else self.words.findall(run) for run, d in zip(runs, data, strict=True) if d is None}
+        words = list({word: None for found in cut.values() for word in found})
+        known = dict(zip(words, self.kept.all(words), strict=True))
+        words = [w for w, d in known.items() if d is None]
+        for a, b in bounded([len(w) for w in words], WORD_CHARS):
+            for word, ids in zip(words[a:b], self.merged([w.encode("utf-8", "replace") for w in words[a:b]]), strict=True):
+                known[word] = ids
+                self.kept.put(word, ids)
+        for i, run in enumerate(runs):
+            if data[i] is None:
+                data[i] = known.get(run)
+                if data[i] is None:
+                    data[i] = b"".join([known[w] for w in cut[run]])
+                    self.kept.put(run, data[i])
+        return data
+
+    def _shown(self, data: list[bytes]) -> tuple[np.ndarray, list[pa.Array]]:
+        """Number of tokens, and ids and strings (each joined by one space), of what ids stand for."""
+        sizes = np.fromiter(map(len, data), np.int64, len(data)) // 4
+        bounds = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        ids = pa.array(np.frombuffer(b"".join(data), "<u4"))
+        # the file names no decoder: its library puts a space between the vocabulary's strings
+        return sizes, [pc.binary_join(pa.ListArray.from_arrays(bounds, s.take(ids)), " ") for s in self.shown]
 
     def normal(self, text: str) -> str:
         text = self.other_spaces.sub(" ", unicodedata.normalize("NFC", text))
@@ -160,18 +230,15 @@ class Bpe:
         offsets -= offsets[0]
         coded = lists.flatten().dictionary_encode()
         runs = coded.dictionary.to_pylist()
-        known = self.kept.all(runs)
-        found = [k if k is not None else self._run(r) for k, r in zip(known, runs, strict=True)]
-        sizes = np.fromiter((n for n, _, _ in found), np.int64, len(found))
+        sizes, shown = self._shown(self._runs(runs))
         codes = coded.indices.to_numpy()
         counts = sizes[codes]
         held = counts > 0  # runs without tokens would leave empty strings in the joined ones
         bounds = pa.array(np.concatenate([[0], np.cumsum(held)])[offsets], pa.int32())
         totals = np.diff(np.concatenate([[0], np.cumsum(counts)])[offsets]).tolist()
         out = []
-        for part in (1, 2):
-            strings = pa.array([f[part] for f in found], pa.string()).take(pa.array(codes[held]))
-            out.append(pc.binary_join(pa.ListArray.from_arrays(bounds, strings), " "))
+        for strings in shown:
+            out.append(pc.binary_join(pa.ListArray.from_arrays(bounds, strings.take(pa.array(codes[held]))), " "))
         if specials:
             ids, decoded = (x.to_pylist() for x in out)
             for n, text in specials.items():
@@ -196,8 +263,9 @@ class Bpe:
     def _by_library(self, text: str) -> tuple[int, str, str]:
         """The same for a text with characters that Python does not know: only its words come from the library."""
         words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
-        found = [s for word, _ in words for s in self.merged_bytes(list(word)) if s in self.vocabulary]
-        return len(found), " ".join([self.numbers[s] for s in found]), self.joined(found)
+        data = self.merged([bytes([self.bytes[c] for c in word]) for word, _ in words])
+        sizes, shown = self._shown([b"".join(data)])
+        return int(sizes[0]), *(x[0].as_py() for x in shown)
 
     @staticmethod
     def joined(strings: list[str]) -> str:

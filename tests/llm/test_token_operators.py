@@ -1,6 +1,7 @@
 """Encoders against their library, token files by round trip, leaks by brute force, the pipeline."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -64,6 +65,20 @@ def test_bpe_store_is_bounded(monkeypatch):
     assert once == [list(map(str, x)) for x in coder.codes([text, text])]
 
 
+def test_bpe_merges_new_words_together(monkeypatch):
+    """The new words of a block are merged once each and many at a time, in words of any length as the library does."""
+    monkeypatch.setattr(bpe, "WORD_CHARS", 3000, raising=False)
+    path, calls, rng = public_tokenizers.path(bpe.FILE), [], random.Random(4)
+    coder, library = bpe.Bpe(path), Tokenizer.from_file(path)
+    merge = coder.merged
+    monkeypatch.setattr(coder, "merged", lambda words: calls.append(words) or merge(words))
+    words = ["".join(rng.choices("aaabnt\u00e9\u00df\u65e5", k=rng.randrange(1, 30))) for _ in range(900)] + ["ab" * 4000, "a" * 5000]
+    texts = [" ".join(rng.choices(words, k=80)) + rng.choice(["", "$$$", "12!"]) for _ in range(60)] + [" ".join(words), "", "$$$"]
+    assert coder.codes(texts)[1].to_pylist() == [" ".join(map(str, library.encode(t, add_special_tokens=False).ids)) for t in texts]
+    merged = [word for call in calls for word in call]
+    assert len(merged) == len(set(merged)) and len(calls) < 20
+
+
 def test_slices_give_memory_back(monkeypatch):
     """A worker that outlives its task does not hold what Arrow no longer uses."""
     released = []
