@@ -1,14 +1,18 @@
 """Personal data, earlier strings and near duplicates against brute force."""
 
+import functools
 import hashlib
+import os
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm import common, near_dups, pii, substrings
+from tallyloom.session import shared_dir
 from tests.llm.cases import awkward, clashing, documents, empty
 
 # -- personal data --------------------------------------------------------------------------------
@@ -199,6 +203,30 @@ def test_substrings_by_brute_force(spark, monkeypatch, hot):
         assert sum(r[2] for r in got) > 0
 
 
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_substrings_in_small_units(spark, monkeypatch, hot):
+    monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "UNIT_BYTES", 1500)
+    # rows of one id in different units share their fate; what one unit flags, others need not ask
+    docs = overlapping(spark).union(overlapping(spark).selectExpr("doc_id % 110", "substr(text, 20)"))
+    want = removed_by_brute_force([tuple(r) for r in docs.collect()])
+    assert Counter(tuple(r) for r in substrings.substring_query(docs).collect()) == want
+
+
+def test_substrings_move_no_more_where_all_is_repeated(spark):
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    folders = [*env.blockManager().diskBlockManager().localDirsString(), os.path.dirname(shared_dir(spark, "x").removeprefix("file:"))]
+    files = lambda: {p: os.path.getsize(p) for f in folders for d, _, names in os.walk(f) for n in names if os.path.isfile(p := os.path.join(d, n))}
+    one = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    docs = functools.reduce(DataFrame.union, [one.withColumn("doc_id", F.col("doc_id") + n * 10**6) for n in range(8)])
+    before = files()
+    found = substrings.substring_query(docs)
+    rows = found.collect()
+    wrote = sum(size for p, size in files().items() if p not in before)
+    assert wrote < 1.2 * sum(r["n_bytes"] for r in rows)
+    assert all(r["n_removed"] == (r["n_bytes"] if r["n_bytes"] >= 50 else 0) for r in rows if r["doc_id"] >= 10**6)
+
+
 def test_substrings_edges(spark):
     assert substrings.substring_query(empty(spark)).count() == 0
     docs = clashing(awkward(spark), "id", "bucket", "kept")
